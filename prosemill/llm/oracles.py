@@ -35,3 +35,22 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from j group by doc_id
 """
+
+ORACLES["op2_near_duplicates"] = """
+with recursive w as (
+  select doc_id, list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda x: x <> '') as w
+  from documents
+),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle
+  from w
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+m as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+e as (select m.a, m.b from m join n x on m.a = x.doc_id join n y on m.b = y.doc_id where 100 * shared >= 75 * (x.n + y.n - shared)),
+f as (select a as u, b as v from e union all select b, a from e),
+r as (select doc_id as node, doc_id as root from documents union select f.v, r.root from r join f on r.node = f.u),
+c as (select node, min(root) as component_id from r group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, c.component_id = d.doc_id as kept
+from documents d left join n on d.doc_id = n.doc_id join c on d.doc_id = c.node
+"""
