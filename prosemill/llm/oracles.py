@@ -54,3 +54,19 @@ c as (select node, min(root) as component_id from r group by node)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, c.component_id = d.doc_id as kept
 from documents d left join n on d.doc_id = n.doc_id join c on d.doc_id = c.node
 """
+
+ORACLES["op6_near_vectors"] = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as x from embeddings
+  where label is not null and embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0
+),
+e as (
+  select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.x, b.x) >= 0.98
+),
+r as (select vec_id as node, vec_id as root from embeddings union select e.v, r.root from r join e on r.node = e.u),
+c as (select node, min(root) as component_id from r group by node),
+n as (select u, count(*) as n from e group by u)
+select d.vec_id, coalesce(n.n, 0) as n_links, c.component_id, c.component_id = d.vec_id as kept
+from embeddings d left join n on d.vec_id = n.u join c on d.vec_id = c.node
+"""
