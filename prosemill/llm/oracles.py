@@ -70,3 +70,13 @@ n as (select u, count(*) as n from e group by u)
 select d.vec_id, coalesce(n.n, 0) as n_links, c.component_id, c.component_id = d.vec_id as kept
 from embeddings d left join n on d.vec_id = n.u join c on d.vec_id = c.node
 """
+
+ORACLES["op7_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) as raw from pages),
+d as (select page_id, octet_length(raw) as n, sha256(raw) as digest from p),
+f as (select digest, min(page_id) as first from d where n >= 100 group by digest)
+select d.page_id, d.n as payload_bytes, d.digest as payload_digest,
+  case when f.first < d.page_id and d.n >= 100 then 'revisit' else 'response' end as record_type,
+  case when f.first < d.page_id and d.n >= 100 then f.first end as refers_to
+from d left join f on d.digest = f.digest
+"""
