@@ -80,3 +80,22 @@ select d.page_id, d.n as payload_bytes, d.digest as payload_digest,
   case when f.first < d.page_id and d.n >= 100 then f.first end as refers_to
 from d left join f on d.digest = f.digest
 """
+
+ORACLES["op10_substring_dedup"] = """
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, n, h, unnest(range(0, n - 49)) as i from h where n >= 50),
+k as (select doc_id, i, md5(substr(h, 2 * i + 1, 100)) as k from w),
+f as (select k, min(doc_id) as first from k group by k having min(doc_id) < max(doc_id)),
+g as (select k.doc_id, k.i from k join f on k.k = f.k where f.first < k.doc_id),
+s as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 50 or lag(i) over (partition by doc_id order by i) is null then 1 else 0 end as new from g),
+r as (select doc_id, i, sum(new) over (partition by doc_id order by i rows unbounded preceding) as run from s),
+p as (select doc_id, run, min(i) as a, max(i) + 50 as z from r group by doc_id, run),
+q as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) as b, row_number() over (partition by doc_id order by a desc) as last from p),
+t as (
+  select q.doc_id, sum(z - a) as n_removed, count(*) as n_spans,
+    string_agg(substr(h.h, 2 * b + 1, 2 * (a - b)), '' order by a) || max(case when last = 1 then substr(h.h, 2 * z + 1, 2 * (h.n - z)) else '' end) as kept
+  from q join h on q.doc_id = h.doc_id group by q.doc_id
+)
+select h.doc_id, h.n as n_bytes, cast(coalesce(t.n_removed, 0) as bigint) as n_removed, coalesce(t.n_spans, 0) as n_spans, sha256(unhex(coalesce(t.kept, h.h))) as kept_sha256
+from h left join t on h.doc_id = t.doc_id
+"""
