@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemill.llm import language_id as lid
 from prosemill.llm.common import Scratch, table
 from prosemill.llm.line_dedup import dedup_lines
 from prosemill.llm.mixing import mix
+from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import pack
 
 
+#: A document goes if no language scores so much; short but clean texts score 0.27 and more.
+LEAST_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those that no language's classifier takes, go."""
+    model = lid.fit(spark, docs)
+    clash = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    scored = lid.predict(spark, docs.withColumnsRenamed(clash), model)
+    kept = scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; a document without any character left goes too."""
     kept = dedup_lines(spark, docs).drop("n_lines")
@@ -18,6 +33,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near-duplicates stays; rows of one doc_id stay or go together."""
+    gone = near_duplicates(spark, docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source gets the same share of a mix as large as its input."""
     return mix(spark, docs).select(*docs.columns)
@@ -28,7 +49,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", language_id),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("mixing", mixing),
     ("packing", packing),
 ]
