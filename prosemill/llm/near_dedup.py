@@ -13,10 +13,11 @@ Every link that counts is confirmed on the full sets:
    smallest member: as many pairs as members, not their square.  Confirmed
    links give components.
 3. A link that step 2 didn't try lies inside a bucket.  Where all members of a
-   bucket are in one component it changes nothing.  The members of the other
-   buckets are compared across components, in blocks, by size and by the
-   signatures' estimate (at 0.55 a pair of 0.75 is five standard deviations
-   away); those that come near are confirmed too.
+   bucket are in one component it changes nothing.  In the other buckets the
+   members outside the largest component are compared with all members of
+   other components, in blocks: by size, by the signatures' estimate (at 0.55 a
+   pair of 0.75 is five standard deviations away), and then on the full sets,
+   by matrix products.  Pairs stay inside the task; links leave it as a forest.
 
 Defined results: null or wordless text has an empty set and links with
 nothing; with fewer words than a shingle the whole sequence is the one
@@ -32,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, map_arrow, mix64, pieces
+from .common import Scratch, components, forest, map_arrow, mix64, pieces
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 #: Members of a bucket that one task compares with each other at a time.
-BLOCK = 512
+BLOCK = 256
 #: Members that one task confirms against a group's first member.
 CHUNK = 256
 
@@ -153,46 +154,134 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, least: int, of: int) -> D
     return map_arrow(dealt.select("g", "salt", "role", "id", "text"), "u long, v long", _confirm, k, least, of)
 
 
-def _across(batches, least, of):
-    """Rows sorted by (bucket, block pair): pairs across components that come near by size and estimate."""
-    held: list = []
-    key = None
-
-    def near():
-        comp = np.array([r[3] for r in held])
-        if len(held) < 2 or (comp == comp[0]).all():
-            return [], []
-        doc = np.array([r[1] for r in held])
-        size = np.array([r[2] for r in held], dtype=np.int64)
-        centre = held[0][6]
-        sig = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), -1)
-        block = np.array([r[5] for r in held])
-        us, vs = [], []
-        for n in range(len(held) - 1):
-            rest = slice(n + 1, None)
-            ok = (comp[rest] != comp[n]) & (np.minimum(size[rest], size[n]) * of >= least * np.maximum(size[rest], size[n]))
-            if block[0] != block[-1]:
-                ok &= block[rest] != block[n]
-            ok &= (doc[rest] != centre) & (doc[n] != centre)
-            at = np.flatnonzero(ok)
-            if len(at):
-                same = (sig[n + 1 + at] == sig[n]).mean(1)
-                at = at[same >= least / of - 0.2]
-                us += np.maximum(doc[n + 1 + at], doc[n]).tolist()
-                vs += np.minimum(doc[n + 1 + at], doc[n]).tolist()
-        return us, vs
-
+def _candidates(rows: list[dict], least: int, of: int) -> tuple[list[dict], list[dict], np.ndarray, np.ndarray]:
+    """The two sides of a block pair, and the pairs across components that may reach the similarity.
+
+    A pair counts in the first bucket that both share, so it is confirmed once.
+    """
+    head = rows[0]
+    a = [r for r in rows if r["side"] == 0]
+    c = a if head["t"] == 1 and head["r"] == head["j"] else [r for r in rows if r["side"] == 1]
+    none = np.empty(0, np.int64)
+    if not a or not c:
+        return a, c, none, none
+    x, y = ({k: np.array([r[k] for r in side], dtype=np.int64) for k in ("doc", "comp", "n")} for side in (a, c))
+    sx, sy = (np.frombuffer(b"".join(r["sig"] for r in side), np.uint8).reshape(len(side), -1) for side in (a, c))
+    ok = x["comp"][:, None] != y["comp"][None, :]
+    ok &= np.minimum(x["n"][:, None], y["n"][None, :]) * of >= least * np.maximum(x["n"][:, None], y["n"][None, :])
+    centre = head["centre"]
+    ok &= (x["doc"] != centre)[:, None] & (y["doc"] != centre)[None, :]
+    if a is c:
+        ok = np.triu(ok, 1)
+    u, v = np.nonzero(ok)
+    parts = [none], [none]
+    for i in range(0, len(u), 1 << 14):
+        p, q = u[i : i + (1 << 14)], v[i : i + (1 << 14)]
+        near = (sx[p] == sy[q]).mean(1) >= least / of - 0.2
+        parts[0].append(p[near])
+        parts[1].append(q[near])
+    u, v = np.concatenate(parts[0]), np.concatenate(parts[1])
+    if len(u):
+        bx, by = (np.array([r["bands"] for r in side], dtype=np.int64) for side in (a, c))
+        this = int(np.flatnonzero(bx[0] == head["key"])[0])
+        first = np.concatenate([np.argmax(bx[u[i : i + 4096]] == by[v[i : i + 4096]], axis=1) for i in range(0, len(u), 4096)])
+        u, v = u[first == this], v[first == this]
+    return a, c, u, v
+
+
+def _block_pairs(batches):
+    """Sorted rows of each (bucket, block pair)."""
+    held: list[dict] = []
+    last = None
     for b in batches:
-        us, vs = [], []
-        for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "n", "comp", "sig", "block", "centre", "i", "j")), strict=True):
-            if (row[0], row[7], row[8]) != key:
-                for out, more in zip((us, vs), near(), strict=True):
-                    out += more
-                held, key = [], (row[0], row[7], row[8])
-            held.append(row[:7])
-        yield {"u": us, "v": vs}
-    us, vs = near()
-    yield {"u": us, "v": vs}
+        for i, j in pieces(b, "sig" if "text" not in b.schema.names else "text", 1 << 20):
+            for row in b.slice(i, j - i).to_pylist():
+                key = (row["key"], row["t"], row["r"], row["j"])
+                if key != last:
+                    if held:
+                        yield held
+                    held, last = [], key
+                held.append(row)
+    if held:
+        yield held
+
+
+def _in_question(batches, least, of):
+    """The rows of each block pair that a candidate pair needs."""
+    for rows in _block_pairs(batches):
+        a, c, u, v = _candidates(rows, least, of)
+        if len(u):
+            need = [a[k] for k in np.unique(u)] + [c[k] for k in np.unique(v)]
+            need = list({(r["doc"], r["side"]): r for r in need}.values())
+            yield {k: [r[k] for r in need] for k in rows[0]}
+
+
+def _common_sizes(x: list[np.ndarray], y: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of x[u] and y[v]."""
+    if len(u) < 16 * (len(x) + len(y)):
+        return np.array([len(np.intersect1d(x[p], y[q], assume_unique=True)) for p, q in zip(u, v, strict=True)], dtype=np.int64)
+    flat = np.concatenate([*x, *y])
+    shingle, spot, many = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    keep = many[spot] > 1
+    number = np.cumsum(many > 1) - 1
+    row, col = row[keep], number[spot[keep]]
+    total = np.zeros((len(x), len(y)), dtype=np.float64)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for c in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        own = slice(np.searchsorted(col, c), np.searchsorted(col, c + 4096))
+        m = np.zeros((len(x) + len(y), 4096), dtype=np.float32)
+        m[row[own], col[own] - c] = 1
+        total += m[: len(x)] @ m[len(x) :].T
+    return total[u, v].astype(np.int64)
+
+
+def _confirm_blocks(batches, k, least, of):
+    """The links of each block pair, as a spanning forest: pairs stay inside the task."""
+    words = _Words()
+    for rows in _block_pairs(batches):
+        if len(words) > 500_000:
+            words.clear()
+        a, c, u, v = _candidates(rows, least, of)
+        if not len(u):
+            continue
+        x = [shingle_set(r["text"], k, words) for r in a]
+        y = x if a is c else [shingle_set(r["text"], k, words) for r in c]
+        both = _common_sizes(x, y, u, v)
+        sizes = np.array([len(s) for s in x])[u] + np.array([len(s) for s in y])[v]
+        hit = of * both >= least * (sizes - both)
+        if hit.any():
+            fu, fv = forest(np.array([r["doc"] for r in a])[u[hit]], np.array([r["doc"] for r in c])[v[hit]])
+            yield {"u": fu, "v": fv}
+
+
+def _spread(members: DataFrame) -> DataFrame:
+    """Each member of a bucket of several components, once for each pair of blocks that it is in.
+
+    Members of the bucket's largest component (t = 0, side 1) meet only members
+    of the others; those meet each other as well (t = 1).
+    """
+    main = F.col("comp") == F.col("main")
+    block = F.pmod(F.xxhash64("doc"), F.when(main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    members = members.withColumn("block", block)
+
+    def place(r, t, j, side):
+        return F.struct(r.cast("int").alias("r"), F.lit(t).alias("t"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    own = F.col("block")
+    rests, mains = F.sequence(F.lit(0), F.col("rests") - 1), F.sequence(F.lit(0), F.col("mains") - 1)
+    of_main = F.transform(rests, lambda r: place(r, 0, own, F.lit(1)))
+    of_rest = F.concat(
+        F.transform(mains, lambda j: place(own, 0, j, F.lit(0))),
+        F.transform(rests, lambda o: place(F.least(own, o), 1, F.greatest(own, o), (own > o))),
+    )
+    places = members.withColumn("p", F.explode(F.when(main, of_main).otherwise(of_rest)))
+    return places.select("key", "p.t", "p.r", "p.j", "p.side", "doc", "comp", "centre")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "t", "r", "j").sortWithinPartitions("key", "t", "r", "j", "side", "doc")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 5, least: int = 75, of: int = 100) -> DataFrame:
@@ -206,24 +295,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 5, least:
     bands = chosen.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
     centres = bands.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre < last")
     member = scratch.write(bands.join(centres, "key").select("key", "doc", "centre"), "buckets")
+    texts = scratch.write(docs.join(member.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     star = member.where("doc <> centre").select(F.col("doc").alias("u"), F.col("centre").alias("v")).distinct()
-    links = scratch.write(confirm(docs, star, k, least, of), "links")
-    first = scratch.write(components(spark, links), "components")
-
-    inner = member.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "centre", F.coalesce("component", "doc").alias("comp"))
-    mixed = inner.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a <> b and members > 2").select("key", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    spread = inner.join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", "doc", "centre", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    info = chosen.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["doc"])
-    rows = spread.join(info, "doc").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "doc")
-    near = map_arrow(rows.select("key", "doc", "n", "comp", "sig", "block", "centre", "i", "j"), "u long, v long", _across, least, of)
-    near = scratch.write(near.distinct(), "near")
-    if near.isEmpty():
-        comps = first
-    else:
-        more = confirm(docs, near, k, least, of)
+    links = scratch.write(confirm(texts, star, k, least, of), "links")
+    comps = scratch.write(components(spark, links), "components")
+
+    inner = member.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "centre", F.coalesce("component", "doc").alias("comp"))
+    sizes = inner.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("members"), F.count("*").alias("comps")).where("comps > 1 and members > 2")
+    mixed = mixed.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("members") - F.col("top.c")) / BLOCK).cast("int").alias("rests"))
+    info = chosen.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["doc"])
+    rows = _spread(inner.join(mixed, "key")).join(info, "doc")
+    asked = map_arrow(_dealt(rows), rows.schema, _in_question, least, of)
+    asked = scratch.write(asked, "asked")
+    if not asked.isEmpty():
+        full = asked.join(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc"), "doc")
+        more = map_arrow(_dealt(full), "u long, v long", _confirm_blocks, k, least, of)
         comps = scratch.write(components(spark, links.unionByName(more)), "components")
 
     named = rep.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
