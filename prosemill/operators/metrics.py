@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prosemill.functions import hangul as H
 from prosemill.plans.rules import RULES, Rule, by_id
@@ -221,7 +222,7 @@ def values(rules=RULES) -> dict[str, Column]:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def py_round(value: pd.Series, places: pd.Series) -> pd.Series:
     """Rounding half to even on the exact binary value, which no built-in function does."""
     return pd.Series([None if pd.isna(v) else float(round(v, int(p))) for v, p in zip(value, places, strict=True)])

@@ -7,9 +7,11 @@ import difflib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prosemill.functions import hangul as H
 from prosemill.functions import markdown as M
+from prosemill.functions.plan import settled
 from prosemill.sources.readers import normal
 
 from .metrics import metrics, unicode_rx
@@ -25,6 +27,9 @@ DIGITS = r"(?<![\w.])\d+(?:[.,]\d+)*"
 LIST_LINE = r"^[ \t]*(?:[-*+]|\d{1,3}[.)])[ \t]+\S"
 HEADING_LINE = r"^ {0,3}#{1,6}[ \t]+\S"
 
+#: A glossary goes to every task only up to so many terms.
+MOST_TERMS = 10_000
+
 # What two tones may differ in.
 TAIL_WORDS = 2
 CONTRACTIONS = (("것은", "건"), ("것이", "게"), ("것을", "걸"), ("이것은", "이건"), ("그것은", "그건"), ("이것이", "이게"), ("그것이", "그게"), ("무엇을", "뭘"), ("무엇이", "뭐가"))
@@ -71,10 +76,13 @@ def fidelity(pairs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     out = gone.unionByName(p.select("pair_id", F.inline(diffs)).select("pair_id", "metric_id", "value", none))
     if terms is None:
         return out.unionByName(p.select("pair_id", F.lit("F8.terms").alias("metric_id"), F.lit(0).alias("value"), none))
+    terms = terms.where("en <> '' and ko <> ''")
+    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        terms = F.broadcast(terms)
     prose = F.regexp_replace(F.regexp_replace("source", FENCED, " "), SPAN, " ")
     escaped = F.concat(F.lit("\\Q"), F.col("en"), F.lit("\\E"))
     form = F.concat(F.when(F.col("en") == F.lower("en"), "(?i)").otherwise(""), F.lit("(?<![A-Za-z])"), escaped, F.lit("(?![A-Za-z])"))
-    wrong = p.select("pair_id", prose.alias("prose"), "target").join(F.broadcast(terms.where("en <> '' and ko <> ''").limit(100_000)), F.col("prose").rlike(form) & ~F.col("target").contains(F.col("ko")))
+    wrong = p.select("pair_id", prose.alias("prose"), "target").join(terms, F.regexp_like("prose", form) & ~F.col("target").contains(F.col("ko")))
     wrong = wrong.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.concat_ws(" → ", "en", "ko"))).alias("items"))
     eight = p.select("pair_id").join(wrong, "pair_id", "left").select("pair_id", F.lit("F8.terms").alias("metric_id"), F.coalesce(F.size("items"), F.lit(0)).alias("value"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.unionByName(eight)
@@ -96,7 +104,7 @@ def _tone_units(text: str | None) -> list[dict]:
 _TONE_UNIT = pa.list_(pa.struct([("kind", pa.string()), ("line", pa.int32()), ("raw", pa.string()), ("clean", pa.string()), ("sents", pa.list_(pa.string()))]))
 
 
-@F.arrow_udf("array<struct<kind:string,line:int,raw:string,clean:string,sents:array<string>>>")
+@F.arrow_udf(T.ArrayType(T.StructType().add("kind", T.StringType()).add("line", T.IntegerType()).add("raw", T.StringType()).add("clean", T.StringType()).add("sents", T.ArrayType(T.StringType()))))
 def _tone(text: pa.Array) -> pa.Array:
     return pa.array([_tone_units(t) for t in text.to_pylist()], _TONE_UNIT)
 
@@ -170,7 +178,8 @@ def _sentence_issues(s: DataFrame) -> DataFrame:
         ("GEUDEUN", "WARN", F.col("cword").endswith("거든요") & ~d.rlike(CAUSE)),
     )
     found = F.filter(F.array(*(F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"))) for code, level, hit in checks)), lambda x: x.isNotNull())
-    return s.select("pair_id", "d_line", "c_line", "sent", F.substring(d, 1, 160).alias("default"), F.substring(c, 1, 160).alias("casual"), F.inline(found))
+    s = settled(s.select("pair_id", "d_line", "c_line", "sent", F.substring(d, 1, 160).alias("default"), F.substring(c, 1, 160).alias("casual"), found.alias("found")))
+    return s.select("pair_id", "d_line", "c_line", "sent", "default", "casual", F.inline("found"))
 
 
 def _unquoted(s: Column) -> Column:
@@ -183,7 +192,7 @@ def _unquoted(s: Column) -> Column:
 # draft and revision
 
 
-@F.arrow_udf("struct<kept:int,changed:int,written:int,places:array<int>>")
+@F.arrow_udf(T.StructType().add("kept", T.IntegerType()).add("changed", T.IntegerType()).add("written", T.IntegerType()).add("places", T.ArrayType(T.IntegerType())))
 def _alignment(before: pa.Array, after: pa.Array) -> pa.Array:
     out = []
     for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True):

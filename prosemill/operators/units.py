@@ -10,20 +10,23 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prosemill.functions import hangul as H
 from prosemill.functions import markdown
+from prosemill.functions.plan import settled
 
-UNIT = "pos int, kind string, block int, type string, line int, level int, list_id int, depth int, section int, in_refs boolean, para int, nth int, last boolean, question boolean, after string, bold int, text string, masked string, raw string"
-_ARROW = pa.list_(
-    pa.struct([(n, {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in UNIT.split(", "))])
-)
+_TEXT, _INT, _BOOL = (T.StringType(), pa.string()), (T.IntegerType(), pa.int32()), (T.BooleanType(), pa.bool_())
+UNIT = {
+    "pos": _INT, "kind": _TEXT, "block": _INT, "type": _TEXT, "line": _INT, "level": _INT, "list_id": _INT, "depth": _INT, "section": _INT, "in_refs": _BOOL,
+    "para": _INT, "nth": _INT, "last": _BOOL, "question": _BOOL, "after": _TEXT, "bold": _INT, "text": _TEXT, "masked": _TEXT, "raw": _TEXT,
+}
+_ARROW = pa.list_(pa.struct([(n, t[1]) for n, t in UNIT.items()]))
 
 
-@F.arrow_udf(f"array<struct<{UNIT.replace(' ', ':').replace(',:', ',')}>>")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, t[0]) for n, t in UNIT.items()])))
 def _units(text: pa.Array) -> pa.Array:
-    names = [f.name for f in _ARROW.value_type]
-    return pa.array([[{n: u[n] for n in names} for u in markdown.units(t)] for t in text.to_pylist()], _ARROW)
+    return pa.array([[{n: u[n] for n in UNIT} for u in markdown.units(t)] for t in text.to_pylist()], _ARROW)
 
 
 def units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -40,7 +43,7 @@ def labelled(units: DataFrame) -> DataFrame:
     out = out.withColumn("cls", F.when(s, H.ending_class(F.col("word"), F.col("question"))))
     out = out.withColumn("bucket", F.when(s, H.ending_bucket(F.col("text"), F.col("word"), F.col("cls"))))
     body = s & ((F.col("type") == "paragraph") | ~F.col("cls").isin("NOUN", "OTHER"))
-    return out.withColumn("body", body)
+    return settled(out.withColumn("body", body))
 
 
 def sentences(docs: DataFrame, **params) -> DataFrame:

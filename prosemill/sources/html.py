@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tags that are left out with all they hold, and tags that part blocks.
 LEFT_OUT = frozenset("style script noscript svg figcaption button nav footer iframe select option template header".split())
@@ -154,7 +155,7 @@ def to_markdown(html: str | None) -> str:
     return "\n\n".join(walk.out) + "\n"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _markdown(html: pa.Array) -> pa.Array:
     return pa.array([to_markdown(x) for x in html.to_pylist()], pa.string())
 
