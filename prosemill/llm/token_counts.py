@@ -75,11 +75,12 @@ def count_tokens(spark: SparkSession, docs: DataFrame, *, tokenizer: str | None
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first")).join(known, "digest", "left_anti")
     misses = full.alias("d").join(first.alias("f"), (F.col("d.doc_id").eqNullSafe(F.col("f.first"))) & (F.col("d.digest") == F.col("f.digest")), "left_semi").select("digest", "text")
-    scratch_misses = map_arrow(misses, CACHE_SCHEMA, _encode, path)
+    # rows that repeat both doc_id and text are encoded alike and stored once
+    counted = map_arrow(misses, CACHE_SCHEMA, _encode, path).groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens"))
     before = spark.conf.get(Scratch.CLEAN, "false")
     spark.conf.set(Scratch.CLEAN, "true")
     try:
-        scratch_misses.write.mode("append").option("compression", "zstd").parquet(cache)
+        counted.write.mode("append").option("compression", "zstd").parquet(cache)
     finally:
         spark.conf.set(Scratch.CLEAN, before)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
