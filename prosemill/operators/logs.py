@@ -53,7 +53,7 @@ def usage_share(ev: DataFrame, start: Column, end: Column | None = None) -> Data
     rows = rows.withColumn("off", F.max(stop).over(so_far))
     got = rows.groupBy("run").agg(
         F.sum("tokens").alias("total"), F.sum(F.when(F.col("on") & ~F.col("off"), F.col("tokens")).otherwise(0)).alias("within"),
-        F.min("t").alias("first"), F.max("t").alias("last"), F.min(F.when("on", F.col("now"))).alias("start"), F.min(F.when("off", F.col("now"))).alias("end"),
+        F.min("t").alias("first"), F.max("t").alias("last"), F.min(F.when(F.col("on"), F.col("now"))).alias("start"), F.min(F.when(F.col("off"), F.col("now"))).alias("end"),
     )
     span = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 1e6
     until = F.coalesce("end", "last")

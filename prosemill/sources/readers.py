@@ -22,10 +22,10 @@ def normal(text: Column) -> Column:
 
 def read_text(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
     """doc_id (the file's path) and text of whole files, below folders too."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("doc_id"), normal(F.col("value")).alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), normal(F.col("value")).alias("text"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no and json of the lines of log files, each file's lines in order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "json"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "json"))
     return rows.where(F.trim("json") != "")
 
 
