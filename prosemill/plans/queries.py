@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from prosemill.functions import hangul as H
 from prosemill.operators import cohort, islands, logs, pairs, repeats, verdict
 from prosemill.operators.metrics import any_of, metrics, stats
+from prosemill.operators.terms import all_metrics, term_metrics
 from prosemill.operators.units import sentences
 from prosemill.sources.html import pages_to_markdown
 
@@ -402,7 +403,13 @@ def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all documents against the published limits."""
-    return verdict.verdicts(verdict.judge(metrics(table(spark, sf_dir, "documents")), registry(spark)))
+    return verdict.verdicts(verdict.judge(all_metrics(table(spark, sf_dir, "documents")), registry(spark)))
+
+
+@query()
+def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of terms, sources and verbs."""
+    return term_metrics(table(spark, sf_dir, "documents"))
 
 
 @query()
