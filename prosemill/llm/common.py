@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,13 +75,23 @@ def map_arrow(df: DataFrame, schema: str | T.StructType, kernel: Callable[..., I
     fields = to_arrow_schema(out)
 
     def run(batches):
-        for columns in kernel(batches, *args):
-            arrays = [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type) for f in fields]
-            yield pa.RecordBatch.from_arrays(arrays, schema=fields)
+        try:
+            for columns in kernel(batches, *args):
+                arrays = [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type) for f in fields]
+                yield pa.RecordBatch.from_arrays(arrays, schema=fields)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept between stages, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch, each of about ``most`` bytes of ``column`` or one row."""
     col = batch.column(column)

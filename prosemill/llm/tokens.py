@@ -37,11 +37,7 @@ class Encoder:
 
             self.pieces = sentencepiece.SentencePieceProcessor(model_proto=raw)
             return
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_str(raw.decode())
-        self.full.no_truncation()
-        self.full.no_padding()
+        self.raw = raw
         spec = json.loads(raw)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         if self._plain(spec):
@@ -51,6 +47,16 @@ class Encoder:
             ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
             self.quick = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def full(self):
+        """The library's own tokenizer, made where the quick one doesn't do."""
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_str(self.raw.decode())
+        t.no_truncation()
+        t.no_padding()
+        return t
+
     @staticmethod
     def _plain(spec: dict) -> bool:
         """Whether merge order is id order and nothing but byte-level splitting happens before it."""
