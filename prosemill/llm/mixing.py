@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: The rates go to every task only up to this many sources; beyond it they are joined by shuffle.
 MOST_BROADCAST = 100_000
+MOST_RATE = 500.0
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -41,6 +42,13 @@ def poisson_inverse(u: Column, rate: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda a: a["n"])
 
 
+def copies(seed: int, doc_id: Column, rate: Column, most: Column) -> Column:
+    """A Poisson number of the rate; a high one is a sum of several of at most MOST_RATE, whose exp(-rate) is above 0."""
+    parts = F.ceil(rate / MOST_RATE).cast("int")
+    each = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson_inverse(uniform(seed, doc_id, j), rate / parts, F.lit(int(MOST_RATE + 10 * MOST_RATE**0.5) + 20)))
+    return F.when(rate <= MOST_RATE, poisson_inverse(uniform(seed, doc_id), rate, most)).otherwise(F.aggregate(each, F.lit(0), lambda a, n: a + n))
+
+
 def rates(docs: DataFrame, weights: dict[str | None, float] | None, size: float) -> DataFrame:
     """source, rate, most: counts per source are the only thing that is gathered."""
     n = docs.groupBy("source").agg(F.count("*").alias("n"))
@@ -49,9 +57,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, size: float)
     else:
         w = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, w double")
         n = n.join(w.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
-    total = n.agg(F.sum("n").alias("all"), F.sum("w").alias("ws"))
-    rate = F.col("w") / F.col("ws") * F.col("all") * F.lit(float(size)) / F.col("n")
-    r = n.join(F.broadcast(total)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    total = n.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    rate = F.col("w") / F.lit(total["w"] or None).cast("double") * F.lit(float(total["n"] or 0)) * F.lit(float(size)) / F.col("n")
+    r = n.select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
     # beyond this many copies a 48-bit uniform number cannot reach
     return r.withColumn("most", (F.ceil(F.col("rate") + 10 * F.sqrt("rate")) + 20).cast("int"))
 
@@ -64,7 +72,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
     r = r.select(F.col("source").alias("_mix_source"), F.col("rate").alias("mix_rate"), F.col("most").alias("_mix_most"))
     n_sources = docs.select("source").distinct().count()
     joined = docs.join(F.broadcast(r) if n_sources <= MOST_BROADCAST else r, F.col("source").eqNullSafe(F.col("_mix_source")))
-    counted = joined.withColumn("n_copies", poisson_inverse(uniform(seed, F.col("doc_id")), F.col("mix_rate"), F.col("_mix_most")))
+    counted = joined.withColumn("n_copies", copies(seed, F.col("doc_id"), F.col("mix_rate"), F.col("_mix_most")))
     kept = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
     out = kept.withColumn("mix_key", key).drop("_mix_source", "_mix_most")

@@ -207,6 +207,15 @@ def test_mixing(spark, rows, docs, empty):
     none = mix(spark, docs, weights={"s1": 1.0, None: 0.0})
     assert {r.source for r in none.select("source").distinct().collect()} <= {"s1"}
     assert mix(spark, empty).count() == 0
+    assert mix(spark, docs, weights={"s0": 0.0}).count() == 0
+
+
+def test_mixing_at_high_rates(spark):
+    from prosemill.llm.mixing import mix
+
+    docs = spark.createDataFrame([(k, "t", "rare" if k < 5 else "most") for k in range(4_000)], "doc_id long, text string, source string")
+    got = {r["source"]: r["count"] for r in mix(spark, docs, weights={"rare": 0.95, "most": 0.05}).groupBy("source").count().collect()}
+    assert abs(got["rare"] - 3_800) < 5 * 3_800**0.5 and abs(got["most"] - 200) < 5 * 200**0.5
 
 
 def test_fingerprints(spark, rows, docs, empty):
