@@ -47,7 +47,9 @@ from .common import Scratch, map_arrow, mix64, pieces
 
 GRAM = 16
 CHUNK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
+#: Bytes of fragments whose suffixes are sorted together.
+SORT_BYTES = 1 << 20
 #: Windows that are looked at together.
 BLOCK = 1 << 18
 #: Occurrences from which an anchor is hot.
@@ -97,8 +99,9 @@ class Chunk:
     def fragments(self, whole: bool) -> dict[str, np.ndarray]:
         """anchor, start (first window), n (windows), doc (row in the chunk), and with ``whole`` name, a hash of the fragment."""
         out: dict[str, list] = {k: [] for k in ("anchor", "start", "n", "doc", "name")}
-        last = len(self.text) - self.length + 1
-        for a in range(0, max(0, last), BLOCK):
+        last = max(0, len(self.text) - self.length + 1)
+        self.windows = np.empty(last if whole else 0, dtype=np.uint64)
+        for a in range(0, last, BLOCK):
             n = min(BLOCK, last - a)
             self._block(a, n, whole, out)
         kinds = {"anchor": np.uint64, "name": np.uint64}
@@ -136,6 +139,7 @@ class Chunk:
         out["doc"].append(doc[first])
         if whole:
             full = self._windows(a, n)
+            self.windows[a : a + n] = full
             out["name"].append(mix64(full[first] * np.uint64(3) + mix64(full[stop - 1]) + (stop - first).astype(np.uint64)))
 
     def _windows(self, a: int, n: int) -> np.ndarray:
@@ -150,15 +154,6 @@ class Chunk:
                 h, size = _joined(h, h, size, size), 2 * size
         return mix64(res[:n])
 
-    def windows_at(self, starts: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), dtype=np.uint64)
-        for a in range(0, len(self.text) - self.length + 1, BLOCK):
-            n = min(BLOCK, len(self.text) - self.length + 1 - a)
-            own = (starts >= a) & (starts < a + n)
-            if own.any():
-                out[own] = self._windows(a, n)[starts[own] - a]
-        return out
-
 
 def _joined(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> np.ndarray:
     """Hashes of nx + ny bytes from those of nx bytes and of the ny bytes that follow."""
@@ -271,17 +266,22 @@ def _entries(chunk: Chunk, answers: dict[int, bytes], shards: int) -> dict[str,
     take &= ~single
     starts, counts = f["start"][single], f["n"][single]
     each = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    names = chunk.windows_at(each)
+    names = chunk.windows[each]
     key = np.concatenate([f["anchor"][take], names])
     name = np.concatenate([f["name"][take], names])
     n = np.concatenate([f["n"][take], np.ones(len(each), np.int64)])
     start = np.concatenate([f["start"][take], each])
     doc = np.concatenate([ids[take], np.repeat(ids[single], counts)])
-    order = np.lexsort((start, doc, name, key))
-    key, name, n, start, doc = key[order], name[order], n[order], start[order], doc[order]
+    # equal fragments side by side, shards in order: one sort of 64-bit names, one of small numbers
+    whole = mix64(key + mix64(name) + n.astype(np.uint64))
+    order = np.argsort(whole)
+    order = order[np.argsort(_shards(key[order], shards).astype(np.uint32), kind="stable")]
+    whole, key, n, start, doc = whole[order], key[order], n[order], start[order], doc[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1])
-    return {"key": key[new], "shard": _shards(key[new], shards), "n": n[new], "doc": doc[new], "start": start[new], "of": np.cumsum(new) - 1, "o_start": start, "o_doc": doc}
+    new[1:] = whole[1:] != whole[:-1]
+    head = np.flatnonzero(new)
+    low = np.minimum.reduceat(doc, head) if len(head) else doc
+    return {"key": key[head], "shard": _shards(key[head], shards), "n": n[head], "doc": low, "start": start[head], "of": np.cumsum(new) - 1, "o_start": start, "o_doc": doc}
 
 
 def _bytes_of(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -319,16 +319,17 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         gram = (gram << np.uint64(8)) | padded[k : k + size]
     bucket = np.unique(gram, return_inverse=True)[1]
     depth = min(8, length)
+    top = size
     while depth < length:
         step = min(depth, length - depth)
         last = depth + step == length  # from here on only the asked suffixes count
         open_ = np.bincount(bucket)[bucket] > 1
         at = starts[open_[starts]] if last else np.flatnonzero(open_)
         later = np.where(at + step < size, bucket[np.minimum(at + step, size - 1)] + 1, 0)
-        number = np.unique(bucket[at].astype(np.uint64) * np.uint64(size + 2) + later.astype(np.uint64), return_inverse=True)[1]
-        new = bucket + size  # buckets of one member keep their own numbers
-        new[at] = number
-        bucket = np.unique(new, return_inverse=True)[1] if not last else new
+        number = np.unique(bucket[at].astype(np.uint64) * np.uint64(top + 2) + later.astype(np.uint64), return_inverse=True)[1]
+        bucket = bucket + size  # buckets of one member keep numbers of their own, above the refined ones
+        bucket[at] = number
+        top += size
         depth += step
     return bucket[starts]
 
@@ -345,7 +346,9 @@ def _sort_shards(batches, length):
             ns.append(raw[4 + 16 * n : 4 + 17 * n].astype(np.int64))
             texts.append(raw[4 + 17 * n :])
             sizes.append(n)
+            row["data"] = None
         key, doc, n, text = np.concatenate(keys), np.concatenate(docs), np.concatenate(ns), np.concatenate(texts)
+        del keys, docs, ns, texts
         size = n + length - 1
         begin = np.cumsum(size) - size
         # equal fragments are taken together, by their exact bytes
@@ -362,27 +365,30 @@ def _sort_shards(batches, length):
         fn = n[first]
         offset = np.cumsum(fn) - fn
         lowest = np.repeat(least, fn)
-        if len(mixed):
-            k = first[mixed]
+        # fragments of a key stay together; some SORT_BYTES of them are sorted at a time
+        mixed = mixed[np.argsort(group[mixed], kind="stable")]
+        key_ends = np.flatnonzero(np.append(np.diff(group[mixed]) != 0, True)) + 1 if len(mixed) else np.empty(0, np.int64)
+        part_of = np.cumsum(size[first[mixed]])[key_ends - 1] // SORT_BYTES if len(mixed) else key_ends
+        ends_of_parts = key_ends[np.append(np.diff(part_of) != 0, True)] if len(mixed) else key_ends
+        for a, z in zip(np.append(0, ends_of_parts)[: len(ends_of_parts)], ends_of_parts, strict=True):
+            some = mixed[a:z]
+            k = first[some]
             part = _bytes_of(text, begin[k], size[k])
             local = np.cumsum(size[k]) - size[k]
-            nth = np.arange(fn[mixed].sum()) - np.repeat(np.cumsum(fn[mixed]) - fn[mixed], fn[mixed])
-            names = refine(part, np.repeat(local, fn[mixed]) + nth, length)
+            nth = np.arange(fn[some].sum()) - np.repeat(np.cumsum(fn[some]) - fn[some], fn[some])
+            names = refine(part, np.repeat(local, fn[some]) + nth, length)
             _, names = np.unique(names, return_inverse=True)
             best = np.full(names.max() + 1, np.iinfo(np.int64).max)
-            where = np.repeat(offset[mixed], fn[mixed]) + nth
+            where = np.repeat(offset[some], fn[some]) + nth
             np.minimum.at(best, names, lowest[where])
             lowest[where] = best[names]
-        spot = np.repeat(offset[same], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        gone = lowest[spot] < np.repeat(doc, n)
-        ends = np.cumsum(n)
         cuts = np.cumsum([0, *sizes])
-        bounds = np.concatenate([[0], ends])[cuts]
-        yield {
-            "shard": [shard] * len(rows),
-            "chunk": [r["chunk"] for r in rows],
-            "data": [_zipped(np.packbits(gone[a:z])) for a, z in zip(bounds, bounds[1:], strict=False)],
-        }
+        answers = []
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            own = n[a:z]
+            spot = np.repeat(offset[same[a:z]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            answers.append(_zipped(np.packbits(lowest[spot] < np.repeat(doc[a:z], own))))
+        yield {"shard": [shard] * len(rows), "chunk": [r["chunk"] for r in rows], "data": answers}
 
 
 def _spans(batches, length, shards, keep):
@@ -430,10 +436,11 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, *, length: int = 50,
     chunks = scratch.write(map_arrow(docs.where("doc_id is not null"), CHUNKS, _pack_chunks), "chunks")
     total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = max(8, -(-3 * total // SHARD_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-shards // 8))
     width = min(8, max(5, -(-(int(total).bit_length() + 6) // 8)))
 
     def by_shard(df: DataFrame) -> DataFrame:
-        return df.repartition("shard").sortWithinPartitions("shard", "chunk")
+        return df.repartition(tasks, "shard").sortWithinPartitions("shard", "chunk")
 
     def by_chunk(*answers: DataFrame) -> DataFrame:
         rows = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), "ids", "sizes", "data")
