@@ -69,9 +69,46 @@ def is_count(metric: Column, whole: Column) -> Column:
     return whole & ~reduce(lambda a, b: a | b, (metric.endswith(s) for s in RATIO_SUFFIXES))
 
 
+#: Cuts of a group's value range from an approximate sketch: a task sorts one such range of one group.
+RANGES = 200
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], **more: Column) -> DataFrame:
-    """Exact quantiles by linear interpolation at (n - 1) q."""
-    return df.groupBy(*by).agg(*(F.percentile(value, q).alias(k) for k, q in qs.items()), F.count(value).alias("n"), *(c.alias(k) for k, c in more.items()))
+    """by, a column for each of qs, n: exact quantiles by linear interpolation at (n - 1) q, and aggregates of ``more``.
+
+    A bounded sketch cuts each group's values into ranges; counts of ranges tell
+    which of them hold the wanted ranks, and only those are ranked exactly.  No
+    task holds a group, and equal values are counted before they are ranked.
+    """
+    at = [k / RANGES for k in range(1, RANGES)]
+    df = df.where(F.col(value).isNotNull())
+    keys = {k: F.col(k) for k in by}
+    whole = df.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(value, at, 20 * RANGES).alias("_cuts"), *(c.alias(k) for k, c in more.items()))
+    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    place = F.size(F.filter("g._cuts", lambda c: c < F.col("v._v")))
+    counts = counts.alias("v").join(whole.select(*by, "_cuts").alias("g"), same("v", "g")).select("v.*", place.alias("_range"))
+    sums = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_in"))
+    w = Window.partitionBy(*by).orderBy("_range")
+    sums = sums.withColumn("_before", F.sum("_in").over(w) - F.col("_in"))
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor((F.col("n") - 1) * q), F.ceil((F.col("n") - 1) * q)) for q in qs.values()))))
+    wanted = whole.select(*by, ranks.alias("_ranks"))
+    held = F.filter("w._ranks", lambda r: (r >= F.col("s._before")) & (r < F.col("s._before") + F.col("s._in")))
+    few = sums.alias("s").join(wanted.alias("w"), same("s", "w")).select("s.*", held.alias("_held")).where(F.size("_held") > 0)
+    inner = counts.alias("c").join(few.alias("f"), same("c", "f") & (F.col("c._range") == F.col("f._range"))).select("c.*", "f._before", "f._held")
+    w = Window.partitionBy(*by, "_range").orderBy("_v")
+    inner = inner.withColumn("_at", F.col("_before") + F.sum("_c").over(w) - F.col("_c"))
+    hit = F.filter("_held", lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_c")))
+    found = inner.withColumn("_hit", hit).where(F.size("_hit") > 0).select(*by, F.explode("_hit").alias("_r"), "_v")
+    found = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))
+
+    def between(q: float) -> Column:
+        pos = (F.col("g.n") - 1) * q
+        low, high = F.col("m._m")[F.floor(pos)], F.col("m._m")[F.ceil(pos)]
+        return low + (high - low) * (pos - F.floor(pos))
+
+    out = whole.alias("g").join(found.alias("m"), same("g", "m"))
+    return out.select(*(f"g.{k}" for k in by), *(between(q).alias(k) for k, q in qs.items()), "g.n", *(f"g.{k}" for k in more))
 
 
 def calibrate(values: DataFrame, limits: DataFrame, *, groups: tuple[str, ...] = ("default", "casual")) -> DataFrame:

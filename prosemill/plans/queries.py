@@ -75,11 +75,15 @@ from prof group by lang"""
 )
 def sentence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence measures by language: per-document rates, then exact quantiles of each cohort."""
-    q = lambda c, p, name: F.round(F.percentile(c, p), 6).alias(name)
-    return profile(table(spark, sf_dir, "documents")).groupBy("lang").agg(
-        F.count("*").alias("n_docs"), F.sum("n_sentences").alias("n_sentences"),
-        q("len_mean", 0.05, "mean_p05"), q("len_mean", 0.5, "mean_p50"), q("len_mean", 0.95, "mean_p95"),
-        q("len_cv", 0.5, "cv_p50"), q("commas", 0.95, "commas_p95"), q("long_ratio", 0.5, "long_p50"),
+    p = profile(table(spark, sf_dir, "documents"))
+    named = F.array(*(F.struct(F.lit(c).alias("m"), F.col(c).alias("v")) for c in ("len_mean", "len_cv", "commas", "long_ratio")))
+    long = p.select("lang", "n_sentences", F.inline(named))
+    q = cohort.quantiles(long, ["lang", "m"], "v", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, total=F.sum("n_sentences"))
+    pick = lambda m, c, name: F.round(F.max(F.when(F.col("m") == m, F.col(c))), 6).alias(name)
+    return q.groupBy("lang").agg(
+        F.max("n").alias("n_docs"), F.max("total").alias("n_sentences"),
+        pick("len_mean", "p05", "mean_p05"), pick("len_mean", "p50", "mean_p50"), pick("len_mean", "p95", "mean_p95"),
+        pick("len_cv", "p50", "cv_p50"), pick("commas", "p95", "commas_p95"), pick("long_ratio", "p50", "long_p50"),
     )
 
 

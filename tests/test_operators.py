@@ -151,6 +151,22 @@ def test_holdout(spark):
     assert {r.id: r.h for r in df.collect()} == {i: int(hashlib.sha1(i.encode()).hexdigest(), 16) % 5 == 0 for i in ids}
 
 
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    groups = {"even": rng.normal(size=3_000), "ties": np.repeat([1.0, 2.0, 5.0], [2_000, 3, 700]), "one": np.array([7.0]), "two": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("even", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    qs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 0.999, "f": 1.0}
+    got = {r.g: r for r in cohort.quantiles(df, ["g"], "v", qs, top=F.max("v")).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g].n == len(vs) and got[g].top == vs.max()
+        for k, q in qs.items():
+            assert got[g][k] == pytest.approx(np.quantile(vs, q), abs=1e-12)
+
+
 def test_calibration(spark):
     rows = [("n", float(v), 1000, "default", "s", False) for v in (1, 2, 3, 10)] + [("n", 99.0, 1000, "default", "s", True)]
     rows += [("x_ratio", v, 1000, "default", "s", False) for v in (0.1, 0.2)] + [("p", 1.0, 500, "default", "s", False), ("p", 2.0, 1500, "casual", "s", False)]
