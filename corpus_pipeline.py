@@ -1,4 +1,12 @@
-"""A training-data pipeline over ``documents``: five stages, each written and read again by the next."""
+"""A training-data pipeline over ``documents``: five stages, each written and read again by the next.
+
+Every stage takes and, but for the last, returns all columns of its input,
+whatever their names, and works on empty tables.  Null and empty texts have no
+letter and go in the first stage; a null language or source is a value like any
+other, but isn't trained on; a null doc_id is no copy of anything and stays.
+Rows that repeat a doc_id are one document until mixing, whose copies repeat
+doc_ids on purpose; packing places each row.
+"""
 
 from __future__ import annotations
 

@@ -45,7 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, name: str, *, bucket: tuple[int, str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
         before = self.spark.conf.get(self.CLEAN, "false")
         self.spark.conf.set(self.CLEAN, "true")
@@ -69,6 +69,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Removes all tables that operators have left in the shared folder; results that read them end with it."""
+    remove(spark, f"{shared_dir(spark).rstrip('/')}/prosemill")
+
+
 def map_arrow(df: DataFrame, schema: str | T.StructType, kernel: Callable[..., Iterator[dict]], *args) -> DataFrame:
     """``kernel(batches, *args)`` gets an iterator of record batches and yields dicts of columns."""
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

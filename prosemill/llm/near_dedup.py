@@ -313,6 +313,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 5, least:
         more = map_arrow(_dealt(full), "u long, v long", _confirm_blocks, k, least, of)
         comps = scratch.write(components(spark, links.unionByName(more)), "components")
 
+    scratch.drop(member, texts, links, asked)  # the result reads none of them
+
     named = rep.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
