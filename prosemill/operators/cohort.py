@@ -47,22 +47,35 @@ def select(articles: DataFrame, reasons: list[tuple[str, Column]], *, author: st
     return a.withColumn("reason", F.when(F.col("_over"), f"more than {most} of an author").otherwise(F.col("reason"))).drop("_over").withColumn("included", F.col("reason").isNull())
 
 
+# Reasons to leave an article out, in the order in which they are asked.
+NO_TEXT, NOT_TECHNICAL, NO_KOREAN, LITTLE_KOREAN, SHORT, MIXED, GAP, LATE = (
+    "no text", "not technical", "no Korean text", "little Korean text", "below 1,500 characters or 30 sentences", "mixed tone", "outside the periods", "formal but late",
+)
+
+
 def measure(meta: DataFrame, stats: DataFrame, classes: DataFrame) -> DataFrame:
-    """Articles (id, site, date, title, author, error) joined with their measures, with reason, group and holdout."""
+    """Articles (id, site, date, title, author, error, technical, hangul) joined with their measures, with reason, group and holdout.
+
+    stats(doc_id, chars, sentences, ...); classes(doc_id, classes): a map of
+    ending classes; hangul: the number of Korean letters.
+    """
     a = meta.join(stats.withColumnRenamed("doc_id", "id").drop("tone", "title"), "id", "left").join(classes.withColumnRenamed("doc_id", "id"), "id", "left")
     a = a.withColumn("t", tone_group(F.coalesce("classes", F.create_map().cast("map<string,bigint>")))).withColumn("period", period(F.coalesce("date", F.lit(""))))
     a = a.withColumns({"tone": F.col("t.tone"), "tone_share": F.col("t.share")}).drop("t", "classes")
+    c = F.col
     reasons = [
-        ("no text", F.col("error").isNotNull() | F.col("chars").isNull()),
-        ("not technical", ~F.col("technical")),
-        ("below 1,500 characters or 30 sentences", (F.col("chars") < 1500) | (F.col("sentences") < 30)),
-        ("mixed tone", F.col("tone").isin("mixed", "unknown")),
-        ("outside the periods", F.col("period") == "gap"),
-        ("formal but late", (F.col("tone") == "default") & (F.col("period") == "2023-2024H1")),
+        (NO_TEXT, c("error").isNotNull() | c("chars").isNull()),
+        (NOT_TECHNICAL, ~c("technical")),
+        (NO_KOREAN, c("hangul") < 300),
+        (LITTLE_KOREAN, c("hangul") < 1000),
+        (SHORT, (c("chars") < 1500) | (c("sentences") < 30)),
+        (MIXED, c("tone").isin("mixed", "unknown")),
+        (GAP, c("period") == "gap"),
+        (LATE, (c("tone") == "default") & (c("period") == "2023-2024H1")),
     ]
     got = select(a, reasons, by=["tone", "period"])
     group = F.when(F.col("period") == "drift", F.concat(F.lit("drift-"), F.col("tone"))).otherwise(F.col("tone"))
-    return got.withColumn("group", F.when("included", group)).withColumn("holdout", F.col("included") & holdout(F.col("id")))
+    return got.withColumn("group", F.when(F.col("included"), group)).withColumn("holdout", F.col("included") & holdout(F.col("id")))
 
 
 def is_count(metric: Column, whole: Column) -> Column:
@@ -137,6 +150,7 @@ def calibrate(values: DataFrame, limits: DataFrame, *, groups: tuple[str, ...] =
         up(c("p95")).alias("new_pass_max"), F.greatest(up(c("p95")), up(top)).alias("new_warn_max"),
         down(c("p05")).alias("new_pass_min"), F.least(down(c("p05")), down(bottom)).alias("new_warn_min"),
         F.round(F.when(c("chars") > 0, c("total") / c("chars") * 1000), 3).alias("new_rate"),
+        F.round("p05", 3).alias("new_pass_lo"), F.round("p95", 3).alias("new_pass_hi"), F.round(bottom, 3).alias("new_warn_lo"), F.round(F.greatest("p99", "high") * 1.2, 3).alias("new_warn_hi"),
     )
     old = limits.withColumn("tone", F.coalesce("tone", F.lit(""))).join(q, key, "left")
     free = (c("kind") != "gate") & ~F.coalesce("fixed", F.lit(False)) & c("n").isNotNull()
@@ -144,10 +158,11 @@ def calibrate(values: DataFrame, limits: DataFrame, *, groups: tuple[str, ...] =
     def moved(kind: str, new: str, was: str):
         return F.when(free & (c("kind") == kind), c(new)).otherwise(c(was)).alias(was)
 
-    kept = [x for x in limits.columns if x not in ("pass_max", "warn_max", "pass_min", "warn_min", "rate_per_1k", "tone")]
+    ranges = ("pass_lo", "pass_hi", "warn_lo", "warn_hi")
+    kept = [x for x in limits.columns if x not in ("pass_max", "warn_max", "pass_min", "warn_min", "rate_per_1k", "tone", *ranges)]
     return old.select(
         *kept, F.when(c("tone") != "", c("tone")).alias("tone"), moved("upper", "new_pass_max", "pass_max"), moved("upper", "new_warn_max", "warn_max"),
-        moved("lower", "new_pass_min", "pass_min"), moved("lower", "new_warn_min", "warn_min"), moved("poisson", "new_rate", "rate_per_1k"), "n", "p10", "p50", "p90",
+        moved("lower", "new_pass_min", "pass_min"), moved("lower", "new_warn_min", "warn_min"), moved("poisson", "new_rate", "rate_per_1k"), *(moved("range", f"new_{k}", k) for k in ranges), "n", "p10", "p50", "p90",
     )
 
 

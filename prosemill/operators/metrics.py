@@ -228,9 +228,17 @@ def py_round(value: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else float(round(v, int(p))) for v, p in zip(value, places, strict=True)])
 
 
-def metrics(docs: DataFrame, rules=RULES, *, rounded: bool = True, given_tone: str | None = None, **params) -> DataFrame:
-    """doc_id, metric_id, value, chars, tone: every metric of every document."""
+def metrics(docs: DataFrame, rules=RULES, *, rounded: bool = True, given_tone: str | None = None, facts: str | None = None, **params) -> DataFrame:
+    """doc_id, metric_id, value, chars, tone: every metric of every document.
+
+    Words of style whose stem stands in the document's fact sheet don't count.
+    """
     w = wide(docs, rules, **params)
+    style = next((f"r_{i}" for i, r in enumerate(rules) if r.id == "A5.style_words"), None)
+    if facts and style:
+        sheets = docs.select(F.col(params.get("doc_id", "doc_id")).alias("doc_id"), F.col(facts).alias("_facts"))
+        w = w.join(sheets, "doc_id", "left").withColumn("stems", F.filter("stems", lambda s: ~((s != "") & F.coalesce(F.col("_facts").contains(s), F.lit(False)))))
+        w = w.withColumn(style, F.size("stems").cast("long"))
     w = w.withColumn("tone", F.lit(given_tone) if given_tone else tone(w))
     named = F.array(*(F.struct(F.lit(k).alias("metric_id"), v.cast("double").alias("value"), F.lit(PLACES.get(k, 3)).alias("places")) for k, v in values(rules).items()))
     long = w.select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), "tone", F.inline(named))

@@ -175,7 +175,7 @@ def term_metrics(docs: DataFrame, rules=RULES, *, doc_id: str = "doc_id", text:
 
 def all_metrics(docs: DataFrame, rules=RULES, *, facts: str | None = None, **params) -> DataFrame:
     """doc_id, metric_id, value, chars, tone: the aggregate's metrics and those of terms."""
-    main = metrics(docs, rules, **params)
+    main = metrics(docs, rules, facts=facts, **params)
     of = {k: v for k, v in params.items() if k in ("doc_id", "text")}
     about = main.where("metric_id = 'A1.np'").select("doc_id", "chars", "tone")
     more = term_metrics(docs, rules, facts=facts, **of).join(about, "doc_id").select("doc_id", "metric_id", "value", "chars", "tone")

@@ -58,3 +58,27 @@ def verdicts(results: DataFrame, *, max_warn: int = MAX_WARN) -> DataFrame:
     n = {k.lower(): F.count_if(F.col("status") == k).alias(k.lower()) for k in ("GATE", "FAIL", "WARN", "OVER")}
     out = results.groupBy("doc_id").agg(*n.values())
     return out.withColumn("verdict", F.when((F.col("gate") == 0) & (F.col("fail") == 0) & (F.col("warn") <= max_warn), "PASS").otherwise("FAIL"))
+
+
+def short_profile(limits: DataFrame, *, drop: list[str] = (), counts: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Limits for short texts: ids (or prefixes that end in a dot) left out, and rates judged as numbers of hits.
+
+    ``counts`` gives a metric's new PASS and WARN limits; its values are to be
+    numbers of hits.
+    """
+    c = F.col
+    for d in drop:
+        limits = limits.where(~c("metric_id").startswith(d) if d.endswith(".") else c("metric_id") != d)
+    for metric, (passes, warns) in (counts or {}).items():
+        own = c("metric_id") == metric
+        new = {"kind": F.lit("upper"), "pass_max": F.lit(float(passes)), "warn_max": F.lit(float(warns)), "min_chars": F.lit(None).cast("long")}
+        limits = limits.withColumns({k: F.when(own, v).otherwise(c(k)) for k, v in new.items()})
+    return limits
+
+
+def as_counts(metrics: DataFrame, hits: DataFrame, ids: list[str]) -> DataFrame:
+    """metrics with the number of hits(doc_id, metric_id) in place of the rates of ``ids``."""
+    base = F.regexp_replace("metric_id", "_per_1k$", "")
+    n = hits.groupBy("doc_id", F.col("metric_id").alias("_base")).agg(F.count("*").cast("double").alias("_n"))
+    j = metrics.withColumn("_base", F.when(F.col("metric_id").isin(*ids), base)).join(n, ["doc_id", "_base"], "left")
+    return j.withColumn("value", F.when(F.col("_base").isNotNull(), F.coalesce("_n", F.lit(0.0))).otherwise(F.col("value"))).drop("_base", "_n")
