@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +17,21 @@ def settled(df: DataFrame) -> DataFrame:
     what the JVM compiles.  A filter on a row number made here stays above.
     """
     return df.withColumn("_settled", F.monotonically_increasing_id()).where("_settled >= 0").drop("_settled")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A read table, dealt evenly if it has fewer partitions than there are cores: only small ones have."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+_own: dict[str, str] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir: for what several branches of a plan read."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="prosemill-"))
+    path = f"{base.rstrip('/')}/prosemill/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ REPORT = ("A14.report_write", "A14.report_write_check")
 
 def rule_hits(docs: DataFrame, rules=RULES, **params) -> DataFrame:
     """doc_id, metric_id, ord, line, text, match: sentences in order, then headings, then table rows."""
-    u = labelled(units(docs, **params)).where("kind in ('sentence', 'heading', 'row')")
+    u = labelled(units(docs, **params)).where("kind in ('sentence', 'heading', 'row')").withColumn("_ko", F.col("text").rlike("[가-힣]"))
     found = []
     for r in rules:
         target = F.col("text") if r.raw else F.col("masked")

@@ -7,6 +7,7 @@ dealt by doc_id already, so the plan has one exchange, of the texts.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosemill.functions import hangul as H
+from prosemill.functions.plan import settled
 from prosemill.plans.rules import RULES, Rule, by_id
 
 from .units import labelled, units
@@ -33,6 +35,7 @@ LABEL_RAW = r"^\s*(\*\*|__)[^*_]{1,40}(\*\*|__)\s*[:：]"
 LABEL_TEXT = r"^[^\s:：]{1,20}\s*[:：]\s"
 CONTRAST_RULES = ("A1.np_anira", "A1.np_rather", "A1.np_geuchi", "A1.np_neomeo", "A1.np_deoisang", "A1.np_simple")
 PER_1K = ("A5.style_words", "A5.policy_verbs", "A12.progressive", "A13.demonstrative_start", "A14.translationese")
+REPORT_RULES = ("A14.report_write", "A14.report_write_check")
 LONG_CHARS, HIT_CHARS, CONTRAST_WORDS = 80, 160, 12
 
 #: Decimal places of metrics that are shares, means or rates.
@@ -52,8 +55,39 @@ def first_match(target: Column, patterns) -> Column:
     return F.coalesce(*(F.when(target.rlike(unicode_rx(p)), F.regexp_extract(target, unicode_rx(p), 0)) for p in patterns))
 
 
+def needs_hangul(pattern: str) -> bool:
+    """Whether whatever the pattern matches holds a Korean letter."""
+    parts = re._parser
+
+    def hangul(code: int) -> bool:
+        return 0xAC00 <= code < 0xAC00 + 11172
+
+    def member(op, arg) -> bool:
+        name = str(op)
+        if name == "LITERAL":
+            return hangul(arg)
+        return name == "RANGE" and hangul(arg[0]) and hangul(arg[1])
+
+    def needs(seq) -> bool:
+        for op, arg in seq:
+            name = str(op)
+            if name == "LITERAL" and hangul(arg):
+                return True
+            if name == "IN" and all(member(*x) for x in arg):
+                return True
+            if name == "BRANCH" and all(needs(x) for x in arg[1]):
+                return True
+            if name == "SUBPATTERN" and needs(arg[3]):
+                return True
+            if name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0 and needs(arg[2]):
+                return True
+        return False
+
+    return needs(parts.parse(pattern))
+
+
 def rule_hit(rule: Rule) -> Column:
-    """Whether a unit counts for the rule."""
+    """Whether a unit counts for the rule.  Patterns that need Korean letters run on text that has some (_ko)."""
     kind, sentence = F.col("kind"), F.col("kind") == "sentence"
     pool = {
         "para_last": sentence & (F.col("type") == "paragraph") & F.col("last"),
@@ -66,6 +100,8 @@ def rule_hit(rule: Rule) -> Column:
         pool = pool | (kind == "heading")
     if rule.tables:
         pool = pool | ((kind == "row") & ~F.col("in_refs"))
+    if all(map(needs_hangul, rule.patterns)):
+        pool = F.col("_ko") & pool
     return pool & any_of(F.col("text") if rule.raw else F.col("masked"), rule.patterns)
 
 
@@ -80,87 +116,111 @@ def largest_count(values: Column) -> Column:
     return F.aggregate(F.array_sort(values), state, step, lambda a: a["best"])
 
 
+def declared(word: Column) -> Column:
+    """The last word of a declarative sentence outside references; null of any other."""
+    c = F.col
+    ok = ~c("in_refs") & ~c("question") & H.ending_class(word, c("question")).isin("HAPNIDA", "HAEYO", "HAERA")
+    ok = ok & ~H.ends(word, ["십시오", "세요", "시다", "니까"]) & word.rlike("^[가-힣]+$")
+    return F.when(ok, word)
+
+
+def features(u: DataFrame, rules=RULES) -> DataFrame:
+    """Labelled units as narrow rows: flags and numbers that metrics sum up, and text only where a metric needs it.
+
+    All of it is made before units are dealt by document, so what is dealt is
+    small beside the texts.
+    """
+    c = F.col
+    kind, text, masked, body = c("kind"), c("text"), c("masked"), c("body")
+    sentence, heads = kind == "sentence", kind == "heading"
+    prose = (kind == "block") & c("type").isin("paragraph", "list_item")
+    item = (kind == "block") & (c("type") == "list_item")
+    sub = heads & (c("level") >= 2)
+    in_para = sentence & (c("type") == "paragraph")
+    some = lambda cond, v: F.when(cond, v)
+    u = u.withColumns({"_ko": text.rlike("[가-힣]"), "_plain": some(sentence, F.ltrim(H.last_word(masked), F.lit("*_~")))})
+    u = settled(u)
+    hit = {r.id: rule_hit(r) for r in rules}
+    contrast = reduce(lambda a, b: a | b, (hit[k] for k in CONTRAST_RULES if k in hit), F.lit(False))
+    opener = F.regexp_extract(masked, r"(?U)^(\S+?)\s*[,，]", 1)
+    head = H.words(F.regexp_replace(masked, r"(?U)^[^\w가-힣⟦]+", ""))
+    toks = H.words(masked)
+    joined = F.transform(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))), lambda t, i: F.struct(H.strip_end_marks(t).alias("w"), t.rlike("[,，]$").alias("c"), i.alias("i")))
+    links = F.filter(joined, lambda x: ~((x["i"] == 0) & x["w"].isin(*H.SENTENCE_ADVERBS)) & H.is_connective(x["w"]))
+    target = F.regexp_replace(F.when(kind == "row", c("raw")).otherwise(text), unicode_rx(MATH), "⟦M⟧")
+    marked = heads | (kind == "row") | ((kind == "block") & c("type").isin("paragraph", "list_item", "blockquote"))
+    in_list = c("in_refs") & ~heads
+    marks = lambda rx: F.regexp_count(target, F.lit(unicode_rx(rx)))
+    style = by_id(rules).get("A5.style_words")
+    out = {
+        "f_body": body, "f_prose": prose, "f_item": item, "f_sub": sub, "f_head": heads, "f_in_para": in_para, "f_para": body & (c("type") == "paragraph"),
+        "chars": some(prose, H.visible_chars(text)), "size": some(sentence, F.length(text)), "n_bold": some(prose, c("bold")),
+        "f_label": item & (c("raw").rlike(unicode_rx(LABEL_RAW)) | text.rlike(unicode_rx(LABEL_TEXT))),
+        "f_colon": sub & text.rlike("[:：]"), "f_asked": sub & F.rtrim(text).rlike(unicode_rx(QUESTION_HEADING)),
+        "n_commas": some(body, H.comma_count(masked)), "links": some(body & c("_ko"), F.transform(links, lambda x: x["c"])),
+        "opener": some(body & (F.size(head) >= 2), F.concat_ws(" ", F.slice(head, 1, 2))),
+        "f_triad": some(sentence, H.is_triad(masked)), "n_words": some(sentence, F.size(toks)),
+        "f_contrast": contrast, "np_text": some(contrast, F.substring(text, 1, HIT_CHARS)),
+        "split_text": some(in_para & c("_ko") & masked.rlike(unicode_rx(SPLIT_CONTRAST)), text),
+        "stem": some(hit["A5.style_words"], F.regexp_replace(first_match(masked, style.patterns), unicode_rx(STEM_ENDING), "")) if style else F.lit(None).cast("string"),
+        "f_g2": body & H.ends(c("word"), H.EXPERIENCE), "f_g7": body & opener.isin(*H.CONJUNCTIONS),
+        "f_adverb": body & opener.isin(*H.SENTENCE_ADVERBS) & ~opener.isin(*H.CONJUNCTIONS),
+        "f_emoji": (heads | prose) & text.rlike(EMOJI), "f_semicolon": prose & ~c("in_refs") & F.regexp_replace(text, H.PLACEHOLDER, "").contains(";"),
+        "n_emdash": some(marked & ~in_list, marks(EM_DASH) + marks(SPACED_HYPHEN)), "n_policy": some(marked, F.when(in_list, marks(DIGIT_RANGE)).otherwise(marks(POLICY_MARKS))),
+        "f_question": body & c("question"), "f_beyond": heads & any_of(masked, by_id(rules)["G8.beyond_simple"].patterns) if "G8.beyond_simple" in hit else F.lit(False),
+        "f_off_default": _off_tone("HAPNIDA", "default"), "f_off_casual": _off_tone("HAEYO", "casual"), "f_banned": _judged() & H.ends(c("word"), H.BANNED),
+        "decl": some(in_para, declared(c("_plain"))), "title_text": some(heads, text), "title_masked": some(heads, masked),
+    }
+    quoted = hit.get("A14.quoted_english_token", F.lit(False))
+    out |= {f"r_{i}": hit[r.id] & ~quoted if r.id in REPORT_RULES else hit[r.id] for i, r in enumerate(rules)}
+    keep = ("doc_id", "pos", "block", "line", "level", "list_id", "depth", "para", "cls", "bucket")
+    return u.select(*keep, *(v.alias(k) for k, v in out.items()))
+
+
 def prepared(docs: DataFrame, rules=RULES, **params) -> DataFrame:
-    """Labelled units with a column for each rule and what neighbours bring."""
-    u = labelled(units(docs, **params))
+    """Features with what neighbours bring, from one window order."""
+    u = settled(features(labelled(units(docs, **params)), rules))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    sentence, masked = F.col("kind") == "sentence", F.col("masked")
-    u = u.withColumns({f"r_{i}": rule_hit(r) for i, r in enumerate(rules)})
-    plain = F.ltrim(H.last_word(masked), F.lit("*_~"))
-    u = u.withColumn("_plain", F.when(sentence, plain))
-    declares = ~F.col("in_refs") & ~F.col("question") & H.ending_class(F.col("_plain"), F.col("question")).isin("HAPNIDA", "HAEYO", "HAERA")
-    declares = declares & ~H.ends(F.col("_plain"), ["십시오", "세요", "시다", "니까"]) & F.col("_plain").rlike("^[가-힣]+$")
-    u = u.withColumn("_decl", F.when(sentence & (F.col("type") == "paragraph") & declares, F.col("_plain")))
-    in_seq = F.col("body") & (F.col("type") == "paragraph")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    c = F.col
+    same_block = lambda shift: shift("block").over(w) == c("block")
     u = u.withColumns({
-        "_prev_decl": F.when(F.lag("block").over(w) == F.col("block"), F.lag("_decl").over(w)),
-        "_next_words": F.when(F.lead("block").over(w) == F.col("block"), F.lead(F.size(H.words(F.col("text")))).over(w)),
-        "_prev_bucket": F.last(F.when(in_seq, F.col("bucket")), ignorenulls=True).over(before),
-        "_seq": F.sum(in_seq.cast("int")).over(w),
+        "_prev_decl": F.when(same_block(F.lag), F.lag("decl").over(w)),
+        "_next_words": F.when(same_block(F.lead), F.lead("n_words").over(w)),
+        "_prev_bucket": F.last(F.when(c("f_para"), c("bucket")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "_seq": F.sum(F.coalesce(c("f_para"), F.lit(False)).cast("int")).over(w),
     })
-    goes_on = (F.col("bucket") == F.col("_prev_bucket")) & ~F.col("bucket").isin("NOUN", "OTHER")
-    u = u.withColumn("_run_start", F.when(in_seq & ~F.coalesce(goes_on, F.lit(False)), F.col("_seq")))
-    u = u.withColumn("_run", F.when(in_seq, F.col("_seq") - F.last("_run_start", ignorenulls=True).over(w) + 1))
-    cross = sentence & (F.col("type") == "paragraph") & masked.rlike(unicode_rx(SPLIT_CONTRAST)) & (F.col("_next_words") <= CONTRAST_WORDS)
-    return u.withColumn("_cross", F.coalesce(cross, F.lit(False)))
+    goes_on = (c("bucket") == c("_prev_bucket")) & ~c("bucket").isin("NOUN", "OTHER")
+    u = u.withColumn("_run_start", F.when(c("f_para") & ~F.coalesce(goes_on, F.lit(False)), c("_seq")))
+    u = u.withColumn("_run", F.when(c("f_para"), c("_seq") - F.last("_run_start", ignorenulls=True).over(w) + 1))
+    return u.withColumn("_cross", F.coalesce(c("split_text").isNotNull() & (c("_next_words") <= CONTRAST_WORDS), F.lit(False)))
 
 
 def wide(docs: DataFrame, rules=RULES, **params) -> DataFrame:
     """One row for each document: counts and sums from which the metrics are made."""
     u = prepared(docs, rules, **params)
-    place = {r.id: F.col(f"r_{i}") for i, r in enumerate(rules)}
-    body, sentence, block = F.col("body"), F.col("kind") == "sentence", F.col("kind") == "block"
-    prose = block & F.col("type").isin("paragraph", "list_item")
-    item = block & (F.col("type") == "list_item")
-    sub = (F.col("kind") == "heading") & (F.col("level") >= 2)
-    para = body & (F.col("type") == "paragraph")
-    text, masked = F.col("text"), F.col("masked")
-    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    some = lambda c, v: F.when(c, v)
-    chars = H.visible_chars(text)
-    size = F.length(text)
-    target = F.regexp_replace(F.when(F.col("kind") == "row", F.col("raw")).otherwise(text), unicode_rx(MATH), "⟦M⟧")
-    seen = (F.col("kind").isin("heading", "row") | (block & F.col("type").isin("paragraph", "list_item", "blockquote")))
-    in_list = F.col("in_refs") & (F.col("kind") != "heading")
-    hits = lambda rx: F.regexp_count(target, F.lit(unicode_rx(rx)))
-    opener = F.regexp_extract(masked, r"(?U)^(\S+?)\s*[,，]", 1)
-    head = H.words(F.regexp_replace(masked, r"(?U)^[^\w가-힣⟦]+", ""))
-    toks = H.words(masked)
-    joined = F.transform(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))), lambda t, i: F.struct(H.strip_end_marks(t).alias("w"), t.rlike("[,，]$").alias("c"), i.alias("i")))
-    links = F.filter(joined, lambda x: ~((x["i"] == 0) & x["w"].isin(*H.SENTENCE_ADVERBS)) & H.is_connective(x["w"]))
-    contrast = reduce(lambda a, b: a | b, (place[k] for k in CONTRAST_RULES if k in place))
-    key = lambda t: F.struct(F.col("line").alias("l"), t.alias("t"))
-    listed = F.filter(F.collect_list(some(item & (F.col("depth") == 0), F.col("list_id"))), lambda x: x.isNotNull())
-    heads = F.col("kind") == "heading"
-    title = F.min(some(heads, F.struct((F.col("level") != 1).alias("other"), F.col("pos").alias("pos"), text.alias("text"), masked.alias("masked"))))
+    c = F.col
+    count = lambda k: F.count_if(F.coalesce(c(k), F.lit(False)))
+    listed = lambda cond, v: F.collect_list(F.when(c(cond), v))
+    para = F.struct(c("para").alias("p"), c("f_triad").alias("triad"), (c("f_contrast") & (c("size") <= HIT_CHARS) | c("_cross")).alias("np"))
+    title = F.min(F.when(c("f_head"), F.struct((c("level") != 1).alias("other"), c("pos"), c("title_text").alias("text"), c("title_masked").alias("masked"))))
+    size = F.when(c("f_para"), c("size"))
+    key = lambda t: F.when(c(t).isNotNull(), F.struct(c("line").alias("l"), c(t).alias("t")))
     aggs = {
-        "chars": F.sum(some(prose, chars)), "sentences": count(body), "headings": count(sub), "list_items": count(item), "title": title,
-        "bold": F.sum(some(prose, F.col("bold"))), "list_chars": F.sum(some(item, chars)),
-        "labels": count(item & (F.col("raw").rlike(unicode_rx(LABEL_RAW)) | text.rlike(unicode_rx(LABEL_TEXT)))),
-        "colons": count(sub & text.rlike("[:：]")), "asked": count(sub & F.rtrim(text).rlike(unicode_rx(QUESTION_HEADING))),
-        "commas": F.sum(some(body, H.comma_count(masked))), "with_comma": count(body & (H.comma_count(masked) > 0)),
-        "links": F.sum(some(body, F.size(links))), "link_commas": F.sum(some(body, F.size(F.filter(links, lambda x: x["c"])))),
-        "openers": F.collect_list(some(body & (F.size(head) >= 2), F.concat_ws(" ", F.slice(head, 1, 2)))),
-        "n_para": count(para), "len": F.sum(some(para, size)), "len_mean": F.avg(some(para, size)), "len_sd": F.stddev_pop(some(para, size)), "long": count(para & (size >= LONG_CHARS)),
-        "buckets": F.collect_list(some(body, F.col("bucket"))), "classes": F.collect_list(some(body, F.col("cls"))),
-        "per_para": F.collect_list(some(sentence & (F.col("type") == "paragraph"), F.struct(F.col("para").alias("p"), H.is_triad(masked).alias("triad"), (contrast & (size <= HIT_CHARS) | F.col("_cross")).alias("np")))),
-        "listed": listed, "triads": count(body & H.is_triad(masked)),
-        "np_rule": F.collect_set(some(contrast, key(F.substring(text, 1, HIT_CHARS)))), "np_cross": F.collect_set(some(F.col("_cross"), key(text))),
-        "stems": F.collect_list(some(place["A5.style_words"], F.regexp_replace(first_match(masked, by_id(rules)["A5.style_words"].patterns), unicode_rx(STEM_ENDING), ""))) if "A5.style_words" in place else F.array(),
-        "g2": count(body & H.ends(F.col("word"), H.EXPERIENCE)), "g7": count(body & opener.isin(*H.CONJUNCTIONS)),
-        "adverbs": count(body & opener.isin(*H.SENTENCE_ADVERBS) & ~opener.isin(*H.CONJUNCTIONS)),
-        "emoji": count((heads | prose) & text.rlike(EMOJI)), "semicolon": count(prose & ~F.col("in_refs") & F.regexp_replace(text, H.PLACEHOLDER, "").contains(";")),
-        "emdash": F.sum(some(seen & ~in_list, hits(EM_DASH) + hits(SPACED_HYPHEN))), "policy": F.sum(some(seen, F.when(in_list, hits(DIGIT_RANGE)).otherwise(hits(POLICY_MARKS)))),
-        "questions": count(body & F.col("question")), "run4": count(F.col("_run") == 4), "same": count(F.col("_decl") == F.col("_prev_decl")),
-        "beyond": count(heads & any_of(masked, by_id(rules)["G8.beyond_simple"].patterns)) if "G8.beyond_simple" in place else F.lit(0),
-        "off_default": count(_off_tone("HAPNIDA", "default")), "off_casual": count(_off_tone("HAEYO", "casual")),
-        "banned": count(body & _judged() & H.ends(F.col("word"), H.BANNED)),
+        "chars": F.sum("chars"), "sentences": count("f_body"), "headings": count("f_sub"), "list_items": count("f_item"), "title": title, "bold": F.sum("n_bold"),
+        "list_chars": F.sum(F.when(c("f_item"), c("chars"))), "labels": count("f_label"), "colons": count("f_colon"), "asked": count("f_asked"),
+        "commas": F.sum("n_commas"), "with_comma": F.count_if(F.coalesce(c("n_commas") > 0, F.lit(False))),
+        "links": F.sum(F.when(c("links").isNotNull(), F.size("links"))), "link_commas": F.sum(F.when(c("links").isNotNull(), F.size(F.filter("links", lambda x: x)))), "openers": F.collect_list("opener"),
+        "n_para": count("f_para"), "len_mean": F.avg(size), "len_sd": F.stddev_pop(size), "long": F.count_if(F.coalesce(size >= LONG_CHARS, F.lit(False))),
+        "buckets": listed("f_body", c("bucket")), "classes": listed("f_body", c("cls")), "per_para": listed("f_in_para", para),
+        "listed": F.collect_list(F.when(c("f_item") & (c("depth") == 0), c("list_id"))), "triads": F.count_if(F.coalesce(c("f_body") & c("f_triad"), F.lit(False))),
+        "np_rule": F.collect_set(key("np_text")), "np_cross": F.collect_set(F.when(c("_cross"), key("split_text"))), "stems": F.collect_list("stem"),
+        "g2": count("f_g2"), "g7": count("f_g7"), "adverbs": count("f_adverb"), "emoji": count("f_emoji"), "semicolon": count("f_semicolon"),
+        "emdash": F.sum("n_emdash"), "policy": F.sum("n_policy"), "questions": count("f_question"), "run4": F.count_if(F.coalesce(c("_run") == 4, F.lit(False))),
+        "same": F.count_if(F.coalesce(c("decl") == c("_prev_decl"), F.lit(False))), "beyond": count("f_beyond"),
+        "off_default": count("f_off_default"), "off_casual": count("f_off_casual"), "banned": count("f_banned"),
     }
-    report = {"A14.report_write", "A14.report_write_check"}
-    quoted = place.get("A14.quoted_english_token", F.lit(False))
-    aggs |= {f"r_{i}": count(F.col(f"r_{i}") & ~quoted if r.id in report else F.col(f"r_{i}")) for i, r in enumerate(rules)}
-    return u.groupBy("doc_id").agg(*(c.alias(k) for k, c in aggs.items()))
+    aggs |= {f"r_{i}": count(f"r_{i}") for i in range(len(rules))}
+    return u.groupBy("doc_id").agg(*(v.alias(k) for k, v in aggs.items()))
 
 
 def _judged() -> Column:

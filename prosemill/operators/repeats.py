@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import hangul as H
+from prosemill.functions.plan import written
 
 from . import islands
-from .metrics import prepared, unicode_rx
+from .metrics import declared, unicode_rx
 from .units import labelled, units
 
 # Endings, openers and patterns.
@@ -36,15 +37,23 @@ ORDER = ("R6", "R7", "R1", "R4", "R3", "R5")
 SHOWN = 8
 
 
-def records(docs: DataFrame, *, include_refs: bool = False, **params) -> DataFrame:
-    """Declarative sentences in order: doc_id, idx (from 0), and a unit's columns, with toks."""
-    u = labelled(units(docs, **params)).where("kind = 'sentence' and (type = 'paragraph' or cls not in ('NOUN', 'OTHER'))")
+def _sentences(docs: DataFrame, **params) -> DataFrame:
+    return labelled(units(docs, **params)).where("kind = 'sentence'")
+
+
+def _records(sentences: DataFrame, include_refs: bool) -> DataFrame:
+    u = sentences.where("type = 'paragraph' or cls not in ('NOUN', 'OTHER')")
     if not include_refs:
         u = u.where("not in_refs")
     w = Window.partitionBy("doc_id").orderBy("pos")
     return u.withColumn("idx", F.row_number().over(w) - 1).withColumn("toks", H.tokens(F.col("masked")))
 
 
+def records(docs: DataFrame, *, include_refs: bool = False, **params) -> DataFrame:
+    """Declarative sentences in order: doc_id, idx (from 0), and a unit's columns, with toks."""
+    return _records(_sentences(docs, **params), include_refs)
+
+
 def baseline_keys(toks):
     """Up to three words that end at what is compared against, if a number is among them."""
     places = F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
@@ -73,7 +82,8 @@ def baseline_keys(toks):
 
 def find_repeats(docs: DataFrame, **params) -> DataFrame:
     """doc_id, id, key, count, adjacent, lines, text, rank: all candidates, in the order in which they are shown."""
-    recs = records(docs, **params)
+    cut = written(_sentences(docs, **params).select("doc_id", "pos", "block", "type", "line", "section", "in_refs", "question", "after", "text", "masked", "word", "cls"), "sentences")
+    recs = _records(cut, False)
     w = Window.partitionBy("doc_id").orderBy("idx")
     one = F.lit(0).alias("adjacent")
     cols = ["doc_id", "id", "key", "count", "adjacent", "lines", "text"]
@@ -112,9 +122,10 @@ def find_repeats(docs: DataFrame, **params) -> DataFrame:
     short = F.when((F.col("type") == "paragraph") & (F.length("text") < SHORT_CHARS), F.col("section").cast("string"))
     parts = [r6, r1, r4, run("R4", ["doc_id"], same, 3), run("R3", ["doc_id"], opens, 3), run("R5", ["doc_id"], short, 4)]
 
-    p = prepared(docs, (), **params)
     pw = Window.partitionBy("doc_id").orderBy("pos")
-    seen = p.withColumn("_line", F.lag("line").over(pw)).withColumn("_text", F.lag("text").over(pw)).where(F.col("_decl") == F.col("_prev_decl"))
+    p = cut.where("type = 'paragraph'").withColumn("_plain", F.ltrim(H.last_word(F.col("masked")), F.lit("*_~"))).withColumn("_decl", declared(F.col("_plain")))
+    p = p.select("doc_id", "pos", "block", "line", "text", "_decl").withColumns({f"_{k}": F.lag(k).over(pw) for k in ("block", "line", "text")}).withColumn("_before", F.lag("_decl").over(pw))
+    seen = p.where((F.col("_block") == F.col("block")) & (F.col("_decl") == F.col("_before")))
     parts.append(seen.select("doc_id", F.lit("R7").alias("id"), F.col("_decl").alias("key"), F.lit(1).cast("long").alias("count"), one, F.array("_line", "line").alias("lines"), F.concat_ws(" ", F.substring("_text", 1, 160), F.substring("text", 1, 160)).alias("text")))
 
     out = parts[0].select(cols)

@@ -25,6 +25,7 @@ ALWAYS = ("G10.num_particle", "A19.term_mix", "A20.species_first", "A20.term_in_
 WITH_FACTS = ("A19.term_avoid", "A20.term_first", "A20.table_combined_row", "A20.untabled", "A15.unknown_numbers")
 MOST = {"A19.term_mix": 5, "A19.term_avoid": 10, "A20.species_first": 5, "A18.bare_author": 10}
 REPORT_RULES = ("A14.report_write", "A14.report_write_check")
+HANGUL = re.compile("[가-힣]")
 NUMBER = re.compile(
     r"(?<![\w.\-])(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?"
     r"(\s*(?:%p|%|배|x|×|ms|초|분|시간|개|건|명|만|억|천|조|GB|MB|KB|TB|토큰|단어|문장|편|회|번|자|어절|쌍|년|점))?"
@@ -49,6 +50,7 @@ class Article:
         self.units = M.units(text)
         self.sentences = [u for u in self.units if u["kind"] == "sentence"]
         self.body = [u for u in self.sentences if not u["in_refs"]]
+        self.korean = [u for u in self.body if HANGUL.search(u["masked"])]
         self.headings = [u for u in self.units if u["kind"] == "heading"]
         self.prose = self.headings + self.body
         raws = [u["raw"] for u in self.units if u["kind"] == "block" and u["type"] in ("paragraph", "list_item")]
@@ -60,6 +62,8 @@ class Article:
         """Glossed pairs of which both sides come again outside parentheses."""
         pairs = {}
         for u in self.prose:
+            if "(" not in u["masked"]:
+                continue
             for term, gloss, latin in K.glossed(u["masked"]):
                 pairs.setdefault((term.lower(), gloss.lower()), (term, gloss, latin))
         bare = [K.unbracketed(u["masked"]) for u in self.prose]
@@ -80,9 +84,10 @@ class Article:
     def in_lists(self, terms: list[str]) -> int:
         """Terms first named in an enumeration, not taken up in the next sentence, and later used alone."""
         found = 0
+        low = [u["masked"].lower() for u in self.body]
         for term in terms:
-            pattern = K.term_pattern(term)
-            places = [(k, p) for k, u in enumerate(self.body) if (p := K.place_in_list(u["masked"], pattern))]
+            pattern, near = K.term_pattern(term), term.lower()
+            places = [(k, p) for k, u in enumerate(self.body) if near in low[k] and (p := K.place_in_list(u["masked"], pattern))]
             if len(places) < 2:
                 continue
             (k, (listed, _, described)), (after, _) = places[:2]
@@ -112,7 +117,7 @@ class Article:
 
     def verb_senses(self, reports: list[re.Pattern]) -> int:
         """1 if one verb is used both for using and for reporting what a source says."""
-        writing = [u for u in self.body if K.WRITE.search(u["masked"])]
+        writing = [u for u in self.korean if K.WRITE.search(u["masked"])]
         said = [any(r.search(u["masked"]) for r in reports) or bool(K.CITED_WORK.search(u["text"])) for u in writing]
         used = any(not s and K.WRITE_AS_USE.search(u["masked"]) for u, s in zip(writing, said, strict=True))
         return int(used and any(said))
@@ -130,15 +135,15 @@ def measure(text: str | None, facts: str | None, reports: list[re.Pattern]) -> d
     inside = {m.group().lower() for d in described for m in K.LATIN_RUN.finditer(d)}
     listed = described + [r for r, n in a.runs.items() if n >= 2 and r not in inside]
     out = {
-        "G10.num_particle": sum(len(K.wrong_particles(u["masked"])) for u in a.prose),
+        "G10.num_particle": sum(len(K.wrong_particles(u["masked"])) for u in a.prose if HANGUL.search(u["masked"])),
         "A19.term_mix": a.term_mix(),
         "A20.species_first": a.species(),
         "A20.term_in_list": a.in_lists(listed),
         "A20.abbr_first": a.abbreviations(described),
         "A18.bare_author": a.bare_authors(),
         "A21.sseuda_senses": a.verb_senses(reports),
-        "A5.native_verbs": sum(bool(K.native_verbs(u["masked"])) for u in a.body),
-        "A7.see_judgment": sum(K.judgement(u["masked"]) is not None for u in a.body),
+        "A5.native_verbs": sum(bool(K.native_verbs(u["masked"])) for u in a.korean),
+        "A7.see_judgment": sum(K.judgement(u["masked"]) is not None for u in a.korean),
     }
     if facts is not None:
         bare = [K.unbracketed(u["masked"]) for u in a.prose]

@@ -1,8 +1,8 @@
 """Units of documents: one Arrow kernel, then Column expressions.
 
-``units`` deals documents by doc_id once.  The kernel's array is exploded in
-place, so every window and aggregate by doc_id that follows needs no further
-exchange.
+The kernel's array is exploded where the document lies: nothing is dealt.  What
+is summed by document is first cut down to flags and numbers, so the exchange
+that windows and aggregates share moves no texts.
 """
 
 from __future__ import annotations
@@ -31,8 +31,7 @@ def _units(text: pa.Array) -> pa.Array:
 
 def units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to keep, and a row for each heading, block, table row and sentence."""
-    dealt = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text")).repartition("doc_id")
-    parsed = dealt.select("doc_id", *keep, _units("_text").alias("_u"))
+    parsed = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text")).select("doc_id", *keep, _units("_text").alias("_u"))
     return parsed.select("doc_id", *keep, F.explode_outer("_u").alias("_u")).select("doc_id", *keep, "_u.*")
 
 

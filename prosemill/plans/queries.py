@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import hangul as H
+from prosemill.functions.plan import spread
 from prosemill.operators import cohort, islands, logs, pairs, repeats, verdict
 from prosemill.operators.metrics import any_of, metrics, stats
 from prosemill.operators.terms import all_metrics, term_metrics
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose every row is work for a kernel or for many patterns."""
+    return spread(table(spark, sf_dir, name))
+
+
 def flat_sentences(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, pos, s: text cut after stops that white space follows."""
     cut = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.?!…])\s+", "$1" + FLAT_MARK), FLAT_MARK)
@@ -75,7 +81,7 @@ from prof group by lang"""
 )
 def sentence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence measures by language: per-document rates, then exact quantiles of each cohort."""
-    p = profile(table(spark, sf_dir, "documents"))
+    p = profile(texts(spark, sf_dir, "documents"))
     named = F.array(*(F.struct(F.lit(c).alias("m"), F.col(c).alias("v")) for c in ("len_mean", "len_cv", "commas", "long_ratio")))
     long = p.select("lang", "n_sentences", F.inline(named))
     q = cohort.quantiles(long, ["lang", "m"], "v", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, total=F.sum("n_sentences"))
@@ -89,7 +95,7 @@ def sentence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PROFILE_SQL + " select doc_id, n_sentences, round(commas, 6) as commas, round(len_mean, 6) as len_mean, round(len_cv, 6) as len_cv, round(long_ratio, 6) as long_ratio from prof")
 def sentence_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile(table(spark, sf_dir, "documents"))
+    p = profile(texts(spark, sf_dir, "documents"))
     return p.select("doc_id", "n_sentences", *(F.round(c, 6).alias(c) for c in ("commas", "len_mean", "len_cv", "long_ratio")))
 
 
@@ -102,7 +108,7 @@ select doc_id, max(n) as opener_repeat, min(opener) filter (where n = m) as open
 def opener_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the most frequent first two words open a sentence; ties by the openers' order."""
     w = F.split("s", r"\s+")
-    o = flat_sentences(table(spark, sf_dir, "documents")).where(F.size(w) >= 2).select("doc_id", F.concat_ws(" ", F.slice(w, 1, 2)).alias("opener"))
+    o = flat_sentences(texts(spark, sf_dir, "documents")).where(F.size(w) >= 2).select("doc_id", F.concat_ws(" ", F.slice(w, 1, 2)).alias("opener"))
     n = o.groupBy("doc_id", "opener").agg(F.count("*").alias("n")).withColumn("m", F.max("n").over(Window.partitionBy("doc_id")))
     return n.where("n = m").groupBy("doc_id").agg(F.max("n").alias("opener_repeat"), F.min("opener").alias("opener"))
 
@@ -115,7 +121,7 @@ select doc_id, key, count(*) as n, min(pos)::integer as first from g group by do
 )
 def opener_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of sentences that open with the same word."""
-    s = flat_sentences(table(spark, sf_dir, "documents"))
+    s = flat_sentences(texts(spark, sf_dir, "documents"))
     return islands.runs(s, ["doc_id"], "pos", F.split("s", r"\s+")[0], 2, {})
 
 
@@ -128,7 +134,7 @@ select doc_id, count(*) filter (where word = before) as same_last_word, count(*)
 def same_last_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring sentences that end in the same word."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    s = flat_sentences(table(spark, sf_dir, "documents")).withColumn("word", F.regexp_extract("s", r"(\S+)$", 1))
+    s = flat_sentences(texts(spark, sf_dir, "documents")).withColumn("word", F.regexp_extract("s", r"(\S+)$", 1))
     s = s.withColumn("before", F.lag("word").over(w))
     return s.groupBy("doc_id").agg(F.count_if(F.col("word") == F.col("before")).alias("same_last_word"), F.count_if(F.length("s") < 35).alias("short"))
 
@@ -264,7 +270,7 @@ s as (select doc_id, metric_id, case
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile(table(spark, sf_dir, "documents"))
+    p = profile(texts(spark, sf_dir, "documents"))
     named = F.array(*(F.struct(F.lit(k).alias("metric_id"), F.col(k).alias("value")) for k in ("commas", "len_cv", "long_ratio")))
     m = p.select("doc_id", F.lit(2000).alias("chars"), F.lit("default").alias("tone"), F.inline(named))
     from .thresholds import _row
@@ -295,7 +301,7 @@ def calibrated_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new upper limit from percentiles of the calibration groups, holdout left out."""
     from .thresholds import _row
 
-    p = profile(table(spark, sf_dir, "documents"))
+    p = profile(texts(spark, sf_dir, "documents"))
     v = p.select(F.lit("commas").alias("metric_id"), F.col("commas").alias("value"), F.lit(2000).alias("chars"), F.col("lang").alias("grp"), F.col("source").alias("site"), cohort.holdout(F.col("doc_id")).alias("holdout"))
     return cohort.calibrate(v, registry(spark, [_row("commas", "upper", pass_max=0.88)]), groups=("en", "de")).select("metric_id", "pass_max", "warn_max", "n")
 
@@ -396,43 +402,43 @@ def repeat_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of all documents."""
-    return metrics(table(spark, sf_dir, "documents"))
+    return metrics(texts(spark, sf_dir, "documents"))
 
 
 @query()
 def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats(table(spark, sf_dir, "documents"))
+    return stats(texts(spark, sf_dir, "documents"))
 
 
 @query()
 def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all documents against the published limits."""
-    return verdict.verdicts(verdict.judge(all_metrics(table(spark, sf_dir, "documents")), registry(spark)))
+    return verdict.verdicts(verdict.judge(all_metrics(texts(spark, sf_dir, "documents")), registry(spark)))
 
 
 @query()
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of terms, sources and verbs."""
-    return term_metrics(table(spark, sf_dir, "documents"))
+    return term_metrics(texts(spark, sf_dir, "documents"))
 
 
 @query()
 def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences(table(spark, sf_dir, "documents")).select("doc_id", "pos", "para", "nth", "text", "word", "cls", "bucket")
+    return sentences(texts(spark, sf_dir, "documents")).select("doc_id", "pos", "para", "nth", "text", "word", "cls", "bucket")
 
 
 @query()
 def document_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+    return repeats.find_repeats(texts(spark, sf_dir, "documents"))
 
 
 @query()
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_to_markdown(table(spark, sf_dir, "pages")).select("page_id", "markdown")
+    return pages_to_markdown(texts(spark, sf_dir, "pages")).select("page_id", "markdown")
 
 
 @query()
 def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through extraction and all metrics."""
-    p = pages_to_markdown(table(spark, sf_dir, "pages"))
+    p = pages_to_markdown(texts(spark, sf_dir, "pages"))
     return metrics(p, doc_id="page_id", text="markdown")
