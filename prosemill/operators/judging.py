@@ -126,11 +126,13 @@ def lint_summaries(results: DataFrame, summary: DataFrame) -> DataFrame:
 SHELLS = ("Bash", "PowerShell")
 
 
-def run_steps(calls: DataFrame, *, script: str, target: str, review: str = "korean-review.md") -> DataFrame:
+def run_steps(calls: DataFrame, *, script: str, target: str, review: str, listing: str) -> DataFrame:
     """One row a run of tool calls(run, nth, name, input): which steps ran, in which order, and what was read and edited.
 
     ``script`` names the checking script, whose first word after it is the step
-    (start, repeats, check); ``target`` is the file that is revised.
+    (start, repeats, check); ``target`` is the file that is revised, ``review`` a
+    file of instructions whose readers are counted, ``listing`` how names of
+    files with candidates end.
     """
     command = F.when(F.col("name").isin(*SHELLS), F.coalesce(F.get_json_object("input", "$.command"), F.lit("")))
     path = F.regexp_replace(F.coalesce(F.get_json_object("input", "$.file_path"), F.lit("")), r"\\", "/")
@@ -140,7 +142,7 @@ def run_steps(calls: DataFrame, *, script: str, target: str, review: str = "kore
     first = lambda cond: F.min(F.when(cond, F.col("nth"))).over(w)
     reads = (F.col("name") == "Read") & (F.col("_file") == target)
     edits = F.col("name").isin("Edit", "Write") & (F.col("_file") == target)
-    listed = (F.col("name") == "Read") & F.col("_path").endswith(".repeats.md")
+    listed = (F.col("name") == "Read") & F.col("_path").endswith(listing)
     c = c.withColumns({"start": first(step("start")), "check": first(step("check")), "_shell": first(step("repeats")), "_list": first(listed)})
     c = c.withColumn("repeats", F.least("_shell", "_list"))
     c = c.withColumn("_last_edit", F.coalesce(F.max(F.when(edits & (F.col("nth") < F.col("start")), F.col("nth"))).over(w), F.lit(-1)))
@@ -150,7 +152,7 @@ def run_steps(calls: DataFrame, *, script: str, target: str, review: str = "kore
     n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     return c.groupBy("run").agg(
         *(F.first(k).alias(k) for k in ("start", "repeats", "check")), n(step("check")).alias("checks"), n(edits & after).alias("edits_after_start"),
-        n(agents).alias("agents"), n(agents & F.col("input").contains(review)).alias("reviewers"), (n((F.col("name") == "Read") & F.col("_path").endswith("references/" + review)) > 0).alias("review_read"),
+        n(agents).alias("agents"), n(agents & F.col("input").contains(review)).alias("reviewers"), (n((F.col("name") == "Read") & F.col("_path").endswith("/" + review)) > 0).alias("review_read"),
         F.when(F.first("start").isNotNull() & F.first("repeats").isNotNull(), n(between) > 0).alias("read_before_repeats"),
     )
 

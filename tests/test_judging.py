@@ -89,9 +89,9 @@ def test_matched_cases(spark):
 
 
 def test_run_steps(spark):
-    calls = [("Write", '{"file_path": "/w/article.md"}'), ("Read", '{"file_path": "/w/article.md"}'), ("Bash", '{"command": "python revise.py start article.md"}'), ("Read", '{"file_path": "C:\\\\w\\\\article.repeats.md"}'), ("Task", '{"prompt": "read korean-review.md"}'), ("Edit", '{"file_path": "/w/article.md"}'), ("Bash", '{"command": "python revise.py check article.md"}'), ("Bash", '{"command": "python revise.py check article.md"}')]
+    calls = [("Write", '{"file_path": "/w/article.md"}'), ("Read", '{"file_path": "/w/article.md"}'), ("Bash", '{"command": "python revise.py start article.md"}'), ("Read", '{"file_path": "C:\\\\w\\\\article.candidates.md"}'), ("Task", '{"prompt": "read how-to-review.md"}'), ("Edit", '{"file_path": "/w/article.md"}'), ("Bash", '{"command": "python revise.py check article.md"}'), ("Bash", '{"command": "python revise.py check article.md"}')]
     df = spark.createDataFrame([("r", k, n, i) for k, (n, i) in enumerate(calls)], "run string, nth int, name string, input string")
-    r = judging.run_steps(df, script="revise.py", target="article.md").first()
+    r = judging.run_steps(df, script="revise.py", target="article.md", review="how-to-review.md", listing=".candidates.md").first()
     assert (r.start, r.repeats, r.check, r.checks, r.edits_after_start, r.agents, r.reviewers, r.review_read, r.read_before_repeats) == (2, 3, 6, 2, 1, 1, 1, False, True)
 
 

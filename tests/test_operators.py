@@ -146,7 +146,7 @@ def test_selection_caps_named_authors_after_other_reasons(spark):
 def test_holdout(spark):
     import hashlib
 
-    ids = [f"kakao-{k}" for k in range(390, 420)]
+    ids = [f"site-{k}" for k in range(390, 420)]
     df = spark.createDataFrame([(i,) for i in ids], "id string").withColumn("h", cohort.holdout(F.col("id")))
     assert {r.id: r.h for r in df.collect()} == {i: int(hashlib.sha1(i.encode()).hexdigest(), 16) % 5 == 0 for i in ids}
 
