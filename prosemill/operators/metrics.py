@@ -288,10 +288,11 @@ def py_round(value: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else float(round(v, int(p))) for v, p in zip(value, places, strict=True)])
 
 
-def metrics(docs: DataFrame, rules=RULES, *, rounded: bool = True, given_tone: str | None = None, facts: str | None = None, **params) -> DataFrame:
+def metrics(docs: DataFrame, rules=RULES, *, rounded: bool = True, given_tone: str | None = None, facts: str | None = None, more: DataFrame | None = None, **params) -> DataFrame:
     """doc_id, metric_id, value, chars, tone: every metric of every document.
 
     Words of style whose stem stands in the document's fact sheet don't count.
+    ``more``(doc_id, more: array of metric_id and value) adds counts made elsewhere.
     """
     w = wide(docs, rules, **params)
     style = next((f"r_{i}" for i, r in enumerate(rules) if r.id == "A5.style_words"), None)
@@ -301,6 +302,10 @@ def metrics(docs: DataFrame, rules=RULES, *, rounded: bool = True, given_tone: s
         w = w.withColumn(style, F.size("stems").cast("long"))
     w = w.withColumn("tone", F.lit(given_tone) if given_tone else tone(w))
     named = F.array(*(F.struct(F.lit(k).alias("metric_id"), v.cast("double").alias("value"), F.lit(PLACES.get(k, 3)).alias("places")) for k, v in values(rules).items()))
+    if more is not None:
+        added = F.transform("more", lambda x: F.struct(x["metric_id"].alias("metric_id"), x["value"].alias("value"), F.lit(0).alias("places")))
+        w = w.join(more, "doc_id", "left")
+        named = F.concat(named, F.coalesce(added, F.array().cast("array<struct<metric_id:string,value:double,places:int>>")))
     long = w.select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), "tone", F.inline(named))
     value = py_round("value", "places") if rounded else F.col("value")
     return long.select("doc_id", "metric_id", value.alias("value"), "chars", "tone")

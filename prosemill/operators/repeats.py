@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import hangul as H
-from prosemill.functions.plan import written
+from prosemill.functions.plan import settled, written
 
-from . import islands
 from .metrics import declared, unicode_rx
 from .units import labelled, units
 
@@ -35,6 +34,7 @@ NUMBER = r"(?<![\w.\-])(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?"
 SHORT_CHARS = 35
 ORDER = ("R6", "R7", "R1", "R4", "R3", "R5")
 SHOWN = 8
+RUNS = ("k_same", "k_opens", "k_short")
 
 
 def _sentences(docs: DataFrame, **params) -> DataFrame:
@@ -80,53 +80,70 @@ def baseline_keys(toks):
     return F.array_distinct(F.transform(numeric, key))
 
 
+def _ordered(docs: DataFrame, **params) -> DataFrame:
+    """Sentences with their place among declarative ones (idx), what stands before, and the numbers of their runs.
+
+    One exchange and one sort by document serve all detectors.
+    """
+    c = F.col
+    u = _sentences(docs, **params)
+    counts = (c("type") == "paragraph") | ~c("cls").isin("NOUN", "OTHER")
+    u = u.withColumn("counts", counts & ~c("in_refs")).withColumn("toks", H.tokens(c("masked")))
+    decl = F.when(c("type") == "paragraph", declared(F.ltrim(H.last_word(c("masked")), F.lit("*_~"))))
+    subject = F.get("toks", F.lit(0))
+    u = u.withColumns({
+        "decl": decl,
+        "k_same": F.when((c("word") != "") & ~c("word").isin(*GENERIC_PREDICATES), c("word")),
+        "k_opens": F.when(H.ends(subject, SUBJECT_ENDINGS) & (F.length(subject) >= 2), F.concat_ws("\t", c("section").cast("string"), subject)),
+        "k_short": F.when((c("type") == "paragraph") & (F.length("text") < SHORT_CHARS), c("section").cast("string")),
+    })
+    u = settled(u.select("doc_id", "pos", "block", "type", "line", "section", "after", "text", "masked", "word", "toks", "counts", "decl", "k_same", "k_opens", "k_short"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    u = u.withColumns({f"prev_{k}": F.lag(k).over(w) for k in ("block", "line", "text", "decl")})
+    own = Window.partitionBy("doc_id", "counts").orderBy("pos")
+    u = u.withColumn("idx", F.row_number().over(own) - 1).withColumn("prev_masked", F.lag("masked").over(own))
+    u = u.withColumns({f"n_{k}": (~F.coalesce(F.lag(k).over(own) == c(k), F.lit(False))).cast("int") for k in RUNS})
+    return u.withColumns({f"run_{k}": F.sum(f"n_{k}").over(own) for k in RUNS}).drop(*(f"n_{k}" for k in RUNS))
+
+
 def find_repeats(docs: DataFrame, **params) -> DataFrame:
     """doc_id, id, key, count, adjacent, lines, text, rank: all candidates, in the order in which they are shown."""
-    cut = written(_sentences(docs, **params).select("doc_id", "pos", "block", "type", "line", "section", "in_refs", "question", "after", "text", "masked", "word", "cls"), "sentences")
-    recs = _records(cut, False)
-    w = Window.partitionBy("doc_id").orderBy("idx")
+    c = F.col
+    cut = written(_ordered(docs, **params), "sentences")
+    recs = cut.where("counts")
     one = F.lit(0).alias("adjacent")
     cols = ["doc_id", "id", "key", "count", "adjacent", "lines", "text"]
 
     amounts = F.regexp_extract_all("masked", F.lit(unicode_rx(AMOUNT)), F.lit(1))
     suffix = F.regexp_extract_all("masked", F.lit(unicode_rx(AMOUNT)), F.lit(2))
     change = F.exists(F.arrays_zip(amounts.alias("u"), suffix.alias("s")), lambda x: (x["u"] == "배") | (x["s"] == ""))
-    bare = lambda c: ~F.coalesce(c.rlike(unicode_rx(BASELINE)), F.lit(False))
-    before = F.when(F.col("after").isin("sentence", "paragraph"), F.lag("masked").over(w))
+    bare = lambda x: ~F.coalesce(x.rlike(unicode_rx(BASELINE)), F.lit(False))
+    before = F.when(c("after").isin("sentence", "paragraph"), c("prev_masked"))
     distinct = (F.size(amounts) < 2) | (F.size(F.array_distinct(amounts)) == F.size(amounts))
-    says = F.col("masked").rlike(unicode_rx(CHANGE)) | F.col("masked").rlike(unicode_rx(TIMES))
-    r6 = recs.withColumn("_before", before).where(change & says & bare(F.col("masked")) & distinct & bare(F.col("_before")))
-    r6 = r6.select("doc_id", F.lit("R6").alias("id"), F.col("after").alias("key"), F.lit(1).cast("long").alias("count"), one, F.array("line").alias("lines"), "text")
-
-    k = recs.select("doc_id", "idx", "section", "line", "text", F.explode(baseline_keys(F.col("toks"))).alias("key"))
-    kw = Window.partitionBy("doc_id", "key").orderBy("idx")
-    k = k.withColumn("_next", (F.lead("idx").over(kw) == F.col("idx") + 1) & (F.lead("section").over(kw) == F.col("section")))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]).alias("lines")
-    r1 = k.groupBy("doc_id", "key").agg(F.count("*").alias("count"), F.count_if(F.coalesce("_next", F.lit(False))).cast("int").alias("adjacent"), lines, F.min_by("text", "idx").alias("text"))
-    r1 = r1.where("count >= 3 or adjacent >= 1").withColumn("id", F.lit("R1"))
-
-    usable = recs.where((F.size("toks") >= 3) & (F.col("word") != "") & ~F.col("toks")[0].isin(*H.SENTENCE_ADVERBS) & ~F.col("word").isin(*GENERIC_PREDICATES))
-    opener = F.when(F.col("toks")[0].isin(*DEMONSTRATIVES) & (F.size("toks") > 3), F.concat_ws(" ", F.slice("toks", 1, 2))).otherwise(F.col("toks")[0])
-    r4 = usable.groupBy("doc_id", F.concat(opener, F.lit(" … "), F.col("word")).alias("key")).agg(F.count("*").alias("count"), lines, F.min_by("text", "idx").alias("text")).where("count >= 3")
+    says = c("masked").rlike(unicode_rx(CHANGE)) | c("masked").rlike(unicode_rx(TIMES))
+    r6 = recs.where(c("masked").rlike("[0-9]") & says & change & bare(c("masked")) & distinct & bare(before))
+    r6 = r6.select("doc_id", F.lit("R6").alias("id"), c("after").alias("key"), F.lit(1).cast("long").alias("count"), one, F.array("line").alias("lines"), "text")
+
+    numeric = recs.where(c("masked").rlike("보다|대비|비해|비교") & c("masked").rlike(unicode_rx(NUMBER)))
+    k = numeric.select("doc_id", "idx", "section", "line", "text", F.explode(baseline_keys(c("toks"))).alias("key"))
+    places = F.array_sort(F.collect_list(F.struct("idx", "section", "line")))
+    lines = lambda x: F.transform(x, lambda p: p["line"])
+    pairs = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: (b["idx"] == a["idx"] + 1) & (b["section"] == a["section"]))
+    r1 = k.groupBy("doc_id", "key").agg(F.count("*").alias("count"), places.alias("p"), F.min_by("text", "idx").alias("text"))
+    r1 = r1.withColumn("adjacent", F.size(F.filter(pairs, lambda x: x))).where("count >= 3 or adjacent >= 1").withColumn("lines", lines(c("p"))).withColumn("id", F.lit("R1"))
+
+    usable = recs.where((F.size("toks") >= 3) & (c("word") != "") & ~c("toks")[0].isin(*H.SENTENCE_ADVERBS) & ~c("word").isin(*GENERIC_PREDICATES))
+    opener = F.when(c("toks")[0].isin(*DEMONSTRATIVES) & (F.size("toks") > 3), F.concat_ws(" ", F.slice("toks", 1, 2))).otherwise(c("toks")[0])
+    r4 = usable.groupBy("doc_id", F.concat(opener, F.lit(" … "), c("word")).alias("key")).agg(F.count("*").alias("count"), lines(places).alias("lines"), F.min_by("text", "idx").alias("text")).where("count >= 3")
     r4 = r4.withColumn("id", F.lit("R4")).withColumn("adjacent", F.lit(0))
 
-    carry = {"lines": F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "text": F.min_by("text", "idx")}
-
-    def run(id_: str, by: list[str], key, least: int) -> DataFrame:
-        got = islands.runs(recs, by, "idx", key, least, carry)
-        return got.select("doc_id", F.lit(id_).alias("id"), F.col("key").cast("string").alias("key"), F.col("n").alias("count"), one, "lines", "text")
+    def run(id_: str, key: str, least: int) -> DataFrame:
+        got = recs.where(c(key).isNotNull()).groupBy("doc_id", f"run_{key}").agg(F.first(key).alias("key"), F.count("*").alias("count"), lines(places).alias("lines"), F.min_by("text", "idx").alias("text"))
+        return got.where(c("count") >= least).select("doc_id", F.lit(id_).alias("id"), "key", "count", one, "lines", "text")
 
-    same = F.when((F.col("word") != "") & ~F.col("word").isin(*GENERIC_PREDICATES), F.col("word"))
-    subject = F.get("toks", F.lit(0))
-    opens = F.when(H.ends(subject, SUBJECT_ENDINGS) & (F.length(subject) >= 2), F.concat_ws("\t", F.col("section").cast("string"), subject))
-    short = F.when((F.col("type") == "paragraph") & (F.length("text") < SHORT_CHARS), F.col("section").cast("string"))
-    parts = [r6, r1, r4, run("R4", ["doc_id"], same, 3), run("R3", ["doc_id"], opens, 3), run("R5", ["doc_id"], short, 4)]
-
-    pw = Window.partitionBy("doc_id").orderBy("pos")
-    p = cut.where("type = 'paragraph'").withColumn("_plain", F.ltrim(H.last_word(F.col("masked")), F.lit("*_~"))).withColumn("_decl", declared(F.col("_plain")))
-    p = p.select("doc_id", "pos", "block", "line", "text", "_decl").withColumns({f"_{k}": F.lag(k).over(pw) for k in ("block", "line", "text")}).withColumn("_before", F.lag("_decl").over(pw))
-    seen = p.where((F.col("_block") == F.col("block")) & (F.col("_decl") == F.col("_before")))
-    parts.append(seen.select("doc_id", F.lit("R7").alias("id"), F.col("_decl").alias("key"), F.lit(1).cast("long").alias("count"), one, F.array("_line", "line").alias("lines"), F.concat_ws(" ", F.substring("_text", 1, 160), F.substring("text", 1, 160)).alias("text")))
+    parts = [r6, r1, r4, run("R4", "k_same", 3), run("R3", "k_opens", 3), run("R5", "k_short", 4)]
+    seen = cut.where((c("prev_block") == c("block")) & (c("decl") == c("prev_decl")))
+    parts.append(seen.select("doc_id", F.lit("R7").alias("id"), c("decl").alias("key"), F.lit(1).cast("long").alias("count"), one, F.array("prev_line", "line").alias("lines"), F.concat_ws(" ", F.substring("prev_text", 1, 160), F.substring("text", 1, 160)).alias("text")))
 
     out = parts[0].select(cols)
     for x in parts[1:]:

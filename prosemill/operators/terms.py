@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from prosemill.functions import korean as K
 from prosemill.functions import markdown as M
+from prosemill.functions.plan import settled
 from prosemill.plans.rules import RULES, by_id
 
 from .metrics import metrics
@@ -163,8 +164,8 @@ def measure(text: str | None, facts: str | None, reports: list[re.Pattern]) -> d
 _COUNTS = pa.list_(pa.struct([("metric_id", pa.string()), ("value", pa.float64())]))
 
 
-def term_metrics(docs: DataFrame, rules=RULES, *, doc_id: str = "doc_id", text: str = "text", facts: str | None = None) -> DataFrame:
-    """doc_id, metric_id, value."""
+def _counted(docs: DataFrame, rules, doc_id: str, text: str, facts: str | None) -> DataFrame:
+    """doc_id, more: each document's counts."""
     found = by_id(rules)
     patterns = [p for k in REPORT_RULES if k in found for p in found[k].patterns]
 
@@ -175,13 +176,14 @@ def term_metrics(docs: DataFrame, rules=RULES, *, doc_id: str = "doc_id", text:
         return pa.array([[{"metric_id": k, "value": float(v)} for k, v in measure(t, s, reports).items()] for t, s in pairs], _COUNTS)
 
     sheet = F.col(facts) if facts else F.lit(None)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.inline(count(F.col(text), sheet.cast("string"))))
+    return docs.select(F.col(doc_id).alias("doc_id"), count(F.col(text), sheet.cast("string")).alias("more"))
+
+
+def term_metrics(docs: DataFrame, rules=RULES, *, doc_id: str = "doc_id", text: str = "text", facts: str | None = None) -> DataFrame:
+    """doc_id, metric_id, value."""
+    return settled(_counted(docs, rules, doc_id, text, facts)).select("doc_id", F.inline("more"))
 
 
-def all_metrics(docs: DataFrame, rules=RULES, *, facts: str | None = None, **params) -> DataFrame:
-    """doc_id, metric_id, value, chars, tone: the aggregate's metrics and those of terms."""
-    main = metrics(docs, rules, facts=facts, **params)
-    of = {k: v for k, v in params.items() if k in ("doc_id", "text")}
-    about = main.where("metric_id = 'A1.np'").select("doc_id", "chars", "tone")
-    more = term_metrics(docs, rules, facts=facts, **of).join(about, "doc_id").select("doc_id", "metric_id", "value", "chars", "tone")
-    return main.unionByName(more)
+def all_metrics(docs: DataFrame, rules=RULES, *, facts: str | None = None, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
+    """doc_id, metric_id, value, chars, tone: the aggregate's metrics and those of terms; doc_ids don't repeat."""
+    return metrics(docs, rules, facts=facts, more=_counted(docs, rules, doc_id, text, facts), doc_id=doc_id, text=text, **params)
