@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _own: dict[str, str] = {}
+#: Rows of an Arrow batch at most: beside a full JVM heap a worker holds one batch on its way in and one on its way out.
+BATCH_ROWS = 2_000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,9 @@ def sweep(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, schema: str | T.StructType, kernel: Callable[..., Iterator[dict]], *args) -> DataFrame:
     """``kernel(batches, *args)`` gets an iterator of record batches and yields dicts of columns."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     fields = to_arrow_schema(out)
 
