@@ -1,19 +1,21 @@
-"""Embedding near-dedup through a pivot-permutation index.
+"""Embedding near-dedup by exact comparison of blocks, with pivots that rule blocks out.
 
-A bounded sample of vectors serves as reference points (pivots).  Each vector
-is described by its ``prefix`` nearest pivots in order of nearness and listed
-under each of them (and its label).  Two vectors of the same lists are
-candidates if they share at least ``shared`` pivots; they are verified by
-cosine in double precision, in the list of the first pivot that they share, so
-once.  Lists are compared in blocks, so no task holds a whole list, and tasks
-return link counts and a spanning forest in place of the pairs.
+A bounded sample of vectors, spread apart, serves as reference points (pivots).
+Each vector lies in the cell of its nearest pivot.  The cells of a label are
+cut or put together to blocks of about ``BLOCK`` vectors, so a task holds two
+blocks at most, whatever the size of a cell.  A block knows the range of its
+members' cosines with every pivot; two unit vectors of cosine ``least`` differ
+by sqrt(2 - 2 least) at most in any of them, so two blocks whose ranges lie
+further apart hold no link.  All other pairs of blocks are compared whole, in
+double precision: every link is found, wherever the pivots lie.  Tasks return
+link counts and a spanning forest in place of the pairs.
+
+Blocks that no pivot parts are compared each with each, so the time grows with
+the square of a label's rows where its vectors don't lie in clusters.
 
 Equal vectors of a label are one class, whose members link with each other
 without being paired.
 
-The number of pivots follows the square root of the number of vectors, so
-lists grow as slowly; every vector is indexed, the sample only names pivots.
-
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of
 different lengths link with nothing; rows that repeat a vec_id each get a row,
@@ -24,15 +26,20 @@ extra columns are ignored; an empty table gives an empty one.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, forest, map_arrow
 
-PREFIX, SHARED = 10, 2
-#: Vectors of a list that one task compares at a time.
-BLOCK = 1024
+#: Vectors of a block; a block of several cells may hold twice as many.
+BLOCK = 2048
 MOST_PIVOTS = 4096
+#: Pivots of a larger cosine would part a dense group by chance.
+PIVOT_COSINE = 0.7
+#: Rows of a block compared at a time, and bytes of vectors that travel in a row.
+STRIP, CHUNK_BYTES = 256, 1 << 14
+#: Cosines with a pivot are exact to this.
+ROUNDING = 1e-9
 
 
 def _vectors(batches):
@@ -54,80 +61,105 @@ def _vectors(batches):
         yield out
 
 
-def _describe(batches, pivots, prefix):
-    """The nearest pivots of the vector's own length of each vector, nearest first."""
-    by_len = {n: (np.array([i for i, p in enumerate(pivots) if len(p) == n]), np.array([p for p in pivots if len(p) == n])) for n in {len(p) for p in pivots}}
+def _apart(sample: list[list[float]]) -> dict[int, np.ndarray]:
+    """By length, the vectors of the sample that aren't near an earlier one."""
+    chosen: dict[int, list] = {}
+    for v in map(np.asarray, sample):
+        own = chosen.setdefault(len(v), [])
+        if not own or (np.array(own) @ v).max() < PIVOT_COSINE:
+            own.append(v)
+    return {n: np.array(own) for n, own in chosen.items()}
+
+
+def _home(batches, pivots):
+    """The nearest pivot of the vector's own length of each vector, -1 where there is none."""
     for b in batches:
         units = b.column("unit").to_pylist()
-        near: list = [None] * len(units)
-        for n in {len(u) for u in units}:
-            rows = [k for k, u in enumerate(units) if len(u) == n]
-            if n not in by_len:  # no pivot of this length: one list for all of them
-                for k in rows:
-                    near[k] = [-n]
-                continue
-            ids, own = by_len[n]
-            sim = np.array([units[k] for k in rows]) @ own.T
-            most = min(prefix, len(ids))
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :most]
-            for k, t in zip(rows, ids[top].tolist(), strict=True):
-                near[k] = t
-        yield {"node": b.column("node"), "label": b.column("label"), "n": b.column("n"), "unit": b.column("unit"), "near": near}
+        dim = [len(u) for u in units]
+        cell = [-1] * len(units)
+        for n in set(dim) & set(pivots):
+            rows = [k for k, d in enumerate(dim) if d == n]
+            for k, c in zip(rows, (np.array([units[k] for k in rows]) @ pivots[n].T).argmax(1).tolist(), strict=True):
+                cell[k] = c
+        yield {"node": b.column("node"), "label": b.column("label"), "n": b.column("n"), "dim": dim, "cell": cell, "unit": [np.array(u).tobytes() for u in units]}
 
 
-def _verify(batches, least, shared):
-    """Rows sorted by list, block pair and block: counts of linked vectors, and a forest of the links."""
+def _runs(batches, names, key):
+    """Lists of rows of equal key columns, which come first in ``names``."""
     held: list = []
-    key = None
-
-    def out():
-        pivot, i, j = key[1:]
-        nodes = np.array([r[0] for r in held], dtype=np.int64)
-        many = np.array([r[1] for r in held], dtype=np.int64)
-        x = np.array([r[2] for r in held])
-        block = np.array([r[4] for r in held])
-        near = [r[3] for r in held]
-        a = np.flatnonzero(block == i)
-        c = np.flatnonzero(block == j) if i != j else a
-        if not len(a) or not len(c):
-            return None
-        ids, flat = np.unique(np.concatenate([np.asarray(p) for p in near]), return_inverse=True)
-        held_by = np.zeros((len(held), len(ids)), dtype=np.float32)
-        held_by[np.repeat(np.arange(len(held)), [len(p) for p in near]), flat] = 1
-        common = held_by[a] @ held_by[c].T
-        earlier = ids < pivot
-        first = held_by[a][:, earlier] @ held_by[c][:, earlier].T == 0
-        few = np.minimum(np.array([len(p) for p in near])[a][:, None], shared)
-        ok = (common >= few) & first & (x[a] @ x[c].T >= least)
-        if i == j:
-            ok = np.triu(ok, 1)
-        u, v = np.nonzero(ok)
-        if not len(u):
-            return None
-        deg = np.zeros(len(held), dtype=np.int64)
-        deg[a] += ok @ many[c]
-        deg[c] += ok.T @ many[a]
-        fu, fv = forest(nodes[a[u]], nodes[c[v]])
+    last = None
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            if row[:key] != last:
+                if held:
+                    yield last, held
+                held, last = [], row[:key]
+            held.append(row[key:])
+    if held:
+        yield last, held
+
+
+def _gather(batches, pivots):
+    """Rows sorted by block: chunks of the block's vectors, and its ranges of cosines as chunk -1."""
+    for (label, dim, block), rows in _runs(batches, ("label", "dim", "block", "node", "n", "unit"), 3):
+        x = np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), dim)
+        cosines = x @ pivots[dim].T if dim in pivots else np.zeros((len(rows), 0))
+        many = max(1, CHUNK_BYTES // (8 * dim))
+        parts = [rows[k : k + many] for k in range(0, len(rows), many)]
+        size = len(parts) + 1
+        yield {
+            "label": [label] * size,
+            "dim": [dim] * size,
+            "block": [block] * size,
+            "chunk": range(-1, len(parts)),
+            "lo": [cosines.min(0), *[None] * len(parts)],
+            "hi": [cosines.max(0), *[None] * len(parts)],
+            "nodes": [None, *([r[0] for r in p] for p in parts)],
+            "many": [None, *([r[1] for r in p] for p in parts)],
+            "units": [None, *(b"".join(r[2] for r in p) for p in parts)],
+        }
+
+
+def _joined(u: np.ndarray, v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the edges, and each number's root in it."""
+    root = np.arange(size)
+    u, v = forest(u, v)
+    root[u] = v
+    return u, v, root
+
+
+def _verify(batches, least):
+    """Rows sorted by block pair and block: counts of linked vectors, and a forest of the links."""
+    for (_, dim, i, j), rows in _runs(batches, ("label", "dim", "i", "j", "block", "nodes", "many", "units"), 4):
+        nodes, many = (np.array([n for r in rows for n in r[k]], dtype=np.int64) for k in (1, 2))
+        x = np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(-1, dim)
+        side = np.repeat([r[0] == i for r in rows], [len(r[1]) for r in rows])
+        a = np.flatnonzero(side)
+        c = a if i == j else np.flatnonzero(~side)
+        deg = np.zeros(len(x), dtype=np.int64)
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        y, weight = x[c], many[c].astype(np.float64)
+        for k in range(0, len(a), STRIP):
+            own = a[k : k + STRIP]
+            ok = x[own] @ y.T >= least
+            if i == j:
+                ok &= c[None, :] > own[:, None]
+            if not ok.any():
+                continue
+            deg[own] += (ok @ weight).astype(np.int64)
+            deg[c] += (many[own].astype(np.float64) @ ok).astype(np.int64)
+            row, col = ok.any(1), ok.any(0)
+            # one link of each member first; of the others only those between parts that these leave
+            u, v, root = _joined(np.r_[u, own[row], own[ok.argmax(0)[col]]], np.r_[v, c[ok.argmax(1)[row]], c[col]], len(x))
+            p, q = np.nonzero(ok & (root[own][:, None] != root[c][None, :]))
+            if len(p):
+                u, v, _ = _joined(np.r_[u, own[p]], np.r_[v, c[q]], len(x))
         hit = np.flatnonzero(deg)
-        return fu, fv, nodes[hit], deg[hit]
-
-    def rows():
-        for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("label", "pivot", "i", "j", "node", "n", "unit", "near", "block")), strict=True)
-        yield None
-
-    for row in rows():
-        if row is None or row[:4] != key:
-            if held and (found := out()):
-                fu, fv, node, deg = found
-                yield {"u": np.r_[fu, node], "v": np.r_[fv, node], "links": np.r_[np.zeros(len(fu), np.int64), deg]}
-            held = []
-            key = row[:4] if row else None
-        if row:
-            held.append(row[4:])
+        if len(hit):
+            yield {"u": np.r_[nodes[u], nodes[hit]], "v": np.r_[nodes[v], nodes[hit]], "links": np.r_[np.zeros(len(u), np.int64), deg[hit]]}
 
 
-def near_vectors(spark: SparkSession, table: DataFrame, *, least: float = 0.98, pivots: int | None = None, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+def near_vectors(spark: SparkSession, table: DataFrame, *, least: float = 0.98, pivots: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: vectors of one label linked where their cosine is at least ``least``."""
     scratch = Scratch(spark)
     own = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -142,14 +174,28 @@ def near_vectors(spark: SparkSession, table: DataFrame, *, least: float = 0.98,
     total = units.count()
     want = pivots or int(min(MOST_PIVOTS, max(64, total**0.5)))
     sample = [r["unit"] for r in units.orderBy(F.xxhash64("node", F.lit(7))).select("unit").limit(want).collect()]
-    described = scratch.write(map_arrow(units, "node long, label long, n long, unit array<double>, near array<int>", _describe, sample, prefix), "described")
-    lists = described.select("label", F.explode("near").alias("pivot")).groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
-    spread = described.select("node", "label", F.explode("near").alias("pivot")).join(lists, ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("label", "pivot", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    spread = spread.join(described.select("node", "n", "unit", "near"), "node")
-    dealt = spread.repartition("label", "pivot", "i", "j").sortWithinPartitions("label", "pivot", "i", "j", "block", "node")
-    found = scratch.write(map_arrow(dealt.select("label", "pivot", "i", "j", "node", "n", "unit", "near", "block"), "u long, v long, links long", _verify, least, shared), "links")
+    chosen = _apart(sample)
+    homes = scratch.write(map_arrow(units, "node long, label long, n long, dim int, cell int, unit binary", _home, chosen), "homes")
+    cells = homes.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"))
+    large = cells.where(F.col("size") > BLOCK).select("label", "dim", "cell", F.col("cell").cast("string").alias("name"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    before = F.sum("size").over(Window.partitionBy("label", "dim").orderBy("cell")) - F.col("size")
+    small = cells.where(F.col("size") <= BLOCK).select("label", "dim", "cell", F.concat(F.lit("s"), F.floor(before / BLOCK).cast("string")).alias("name"), F.lit(1).alias("parts"))
+    placed = homes.join(large.unionByName(small), ["label", "dim", "cell"])
+    placed = placed.select("label", "dim", F.concat_ws("/", "name", F.pmod(F.xxhash64("node"), "parts").cast("string")).alias("block"), "node", "n", "unit")
+    placed = placed.repartition("label", "dim", "block").sortWithinPartitions("label", "dim", "block", "node")
+    schema = "label long, dim int, block string, chunk int, lo array<double>, hi array<double>, nodes array<long>, many array<long>, units binary"
+    blocks = scratch.write(map_arrow(placed, schema, _gather, chosen), "blocks")
+    ranges = blocks.where("chunk = -1")
+    one = ranges.select("label", "dim", F.col("block").alias("i"), "lo", "hi")
+    two = ranges.select("label", "dim", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    reach = max(0.0, 2 - 2 * least) ** 0.5 + ROUNDING
+    minus = lambda p, q: F.zip_with(p, q, lambda s, t: s - t)
+    ruled_out = F.exists(minus("lo", "hi2"), lambda d: d > reach) | F.exists(minus("lo2", "hi"), lambda d: d > reach)
+    pairs = one.join(two, ["label", "dim"]).where(F.col("i") <= F.col("j")).where(~ruled_out).select("label", "dim", "i", "j")
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    dealt = sides.join(blocks.where("chunk >= 0").select("label", "dim", "block", "chunk", "nodes", "many", "units"), ["label", "dim", "block"])
+    dealt = dealt.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j", "block", "chunk")
+    found = scratch.write(map_arrow(dealt.select("label", "dim", "i", "j", "block", "nodes", "many", "units"), "u long, v long, links long", _verify, least), "links")
     linked = found.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     comp = components(spark, found.where("u <> v").select("u", "v"))
     # name each component by its smallest vec_id

@@ -58,6 +58,23 @@ def test_near_vectors(spark, monkeypatch):
     assert ed.near_vectors(spark, t.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("size", "pivots"), [(600, 128), (1_500, 256)])
+def test_near_vectors_of_a_dense_group(spark, size, pivots):
+    from prosemill.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(size)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    x = rng.normal(size=(size, 64))
+    x[: size // 3] = centre + 0.1 / 8 * x[: size // 3]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    got = near_vectors(spark, spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3), pivots=pivots).collect()
+    assert want.sum() > (size // 3) ** 2 * 0.9
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
+    assert sum(r.kept for r in got) == size - size // 3 + 1
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rng = random.Random(9)
