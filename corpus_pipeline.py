@@ -21,17 +21,13 @@ from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import pack
 
 
-#: A document goes if no language scores so much; short but clean texts score 0.27 and more.
-LEAST_SCORE = 0.2
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those that no language's classifier takes, go."""
+    """Documents without a letter, and those too unlike all training texts to be of a learned language, go."""
     model = lid.fit(spark, docs)
-    clash = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    clash = {c: f"_own_{c}" for c in ("lang_pred", "score", "likeness") if c in docs.columns}
     scored = lid.predict(spark, docs.withColumnsRenamed(clash), model)
-    kept = scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    kept = scored.where((F.col("lang_pred") != "und") & (F.col("likeness") >= model.least))
+    return kept.drop("lang_pred", "score", "likeness").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

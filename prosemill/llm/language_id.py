@@ -8,6 +8,13 @@ ridge regression is fitted one-versus-rest.  A batch of texts is scored by two
 matrix products: presence x landmarks gives the kernel block, kernel block x
 coefficients the class values.
 
+The class values of a text sum to 2 - C over C classes, whatever the text, so
+no score tells a text of no learned language.  Its *likeness* does: the share
+of its n-grams that one landmark holds (of the landmark's, if that has fewer),
+less what chance gives sets of these sizes (0: chance, 1: all).  ``Model.least`` is the bound for it,
+LIKENESS times what all but LIKE_SHARE of the training texts reach with landmarks other
+than themselves.
+
 Training takes at most ``per_class`` texts of each language, those with the
 smallest hashes of their id, and of these ``landmarks`` are landmarks; both are
 parameters.  Executors turn whole texts into sets, so a training text brings at
@@ -33,6 +40,8 @@ ORDERS, BITS = 4, 14
 PER_CLASS, LANDMARKS, RIDGE = 400, 32, 1e-3
 #: Languages beyond the most frequent of so many are not learned; all together give at most MOST_SAMPLE training texts.
 MOST_CLASSES, MOST_SAMPLE = 200, 20_000
+#: Texts of less than LIKENESS times the likeness that all but LIKE_SHARE of the training texts reach are of no learned language.
+LIKENESS, LIKE_SHARE = 0.6, 0.01
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
@@ -61,24 +70,43 @@ def has_letter(text: str | None) -> bool:
 
 
 class Model:
-    def __init__(self, classes: list[str], landmarks: np.ndarray, coefficients: np.ndarray):
-        self.classes, self.landmarks, self.coefficients = classes, landmarks, coefficients
+    def __init__(self, classes: list[str], landmarks: np.ndarray, coefficients: np.ndarray, least: float = 0.0):
+        self.classes, self.landmarks, self.coefficients, self.least = classes, landmarks, coefficients, least
+        self.sizes = (landmarks > 0).sum(0)
 
-    def values(self, texts: list[str]) -> np.ndarray:
+    def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         x = presence(texts)
-        kernel = (x @ self.landmarks) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        return kernel @ self.coefficients[:-1] + self.coefficients[-1]
+        size = np.maximum(x.sum(1, keepdims=True), 1)
+        return (x @ self.landmarks) / np.sqrt(size), size
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    def values(self, texts: list[str]) -> np.ndarray:
+        return self.kernel(texts)[0] @ self.coefficients[:-1] + self.coefficients[-1]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and likeness of each text."""
+        names, scores, like = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         able = [k for k, t in enumerate(texts) if has_letter(t)] if self.classes else []
         for i in range(0, len(able), 64):
             rows = able[i : i + 64]
-            v = self.values([texts[k] for k in rows])
+            kernel, size = self.kernel([texts[k] for k in rows])
+            v = kernel @ self.coefficients[:-1] + self.coefficients[-1]
             best = v.argmax(1)
-            for k, c, top in zip(rows, best, v.max(1), strict=True):
-                names[k], scores[k] = self.classes[c], float(np.clip((float(top) + 1) / 2, 0, 1))
-        return names, scores
+            for k, c, top, near in zip(rows, best, v.max(1), likeness(kernel, size, self.sizes).max(1), strict=True):
+                names[k], scores[k], like[k] = self.classes[c], float(np.clip((float(top) + 1) / 2, 0, 1)), float(near)
+        return names, scores, like
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
+
+
+def likeness(kernel: np.ndarray, size: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of texts (rows) and landmarks: the part of the smaller set that the larger holds, 0 for as much as chance gives.
+
+    A landmark smaller than the text and than half of the landmarks says nothing of it.
+    """
+    chance = np.maximum(size, sizes) / (1 << BITS)
+    like = (kernel * np.sqrt(size * sizes) / np.maximum(np.minimum(size, sizes), 1) - chance) / np.maximum(1 - chance, 1e-3)
+    return np.where(sizes >= np.minimum(size, np.median(sizes)), like, 0)
 
 
 def _sets(batches):
@@ -111,7 +139,10 @@ def train(sets: list[np.ndarray], labels: list[str], *, landmarks: int = LANDMAR
     gram = (phi1 * weight[:, None]).T @ phi1
     solved = np.linalg.solve(gram + ridge * len(y) * np.diag(np.r_[np.ones(phi.shape[1]), 1e-6]), (phi1 * weight[:, None]).T @ target)
     coefficients = np.r_[root @ solved[:-1], solved[-1:]]
-    return Model(classes, land, coefficients.astype(np.float32))
+    like = likeness(kernel, np.array([max(1, len(s)) for s in sets])[:, None], (land > 0).sum(0))
+    like[marks, np.arange(len(marks))] = -1
+    least = LIKENESS * max(0.0, float(np.quantile(like.max(1), LIKE_SHARE)))
+    return Model(classes, land, coefficients.astype(np.float32), least)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,15 +175,15 @@ def _predict(batches, model):
     model = model.value
     for b in batches:
         for i, j in pieces(b, "text"):
-            names, scores = model.predict(b.column("text")[i:j].to_pylist())
-            yield {"lang_pred": pa.array(names), "score": pa.array(scores, pa.float64())} | {c: b.column(c)[i:j] for c in b.schema.names if c != "text"} | {"text": b.column("text")[i:j]}
+            names, scores, like = model.judge(b.column("text")[i:j].to_pylist())
+            yield {"lang_pred": pa.array(names), "score": pa.array(scores, pa.float64()), "likeness": pa.array(like, pa.float64())} | {c: b.column(c)[i:j] for c in b.schema.names if c != "text"} | {"text": b.column("text")[i:j]}
 
 
 def predict(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
-    """rows(text, ...) with lang_pred and score."""
-    rest = [c for c in rows.columns if c not in ("lang_pred", "score")]
+    """rows(text, ...) with lang_pred, score and likeness."""
+    rest = [c for c in rows.columns if c not in ("lang_pred", "score", "likeness")]
     rows = rows.select(*rest)
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("likeness", T.DoubleType())])
     return map_arrow(rows, schema, _predict, spark.sparkContext.broadcast(model))
 
 

@@ -154,6 +154,24 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, none, "unused").count() == 0
 
 
+def test_texts_of_no_learned_language_go(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+        "Все люди",
+        " ".join("".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=2 + k % 8)) for k in range(60)),
+    ]
+    clean = ["the thing is", "Die Zeit und der", "que la ción", "All human beings are born free and equal in dignity and rights."]
+    planted = spark.createDataFrame([(9_000_000 + k, t, None, "src0", len(t)) for k, t in enumerate(foreign + clean)], docs.schema)
+    kept = {r.doc_id for r in p.language_id(spark, docs.unionByName(planted), "unused").select("doc_id").collect()}
+    assert {k for k in kept if k >= 9_000_000} == {9_000_000 + len(foreign) + k for k in range(len(clean))}
+    assert {r.doc_id for r in docs.where("text rlike '[a-zA-Z]'").select("doc_id").collect()} <= kept
+
+
 def test_stage_keeps_columns_of_clashing_names(spark):
     import corpus_pipeline as p
 
