@@ -17,7 +17,7 @@ than themselves.
 
 Training takes at most ``per_class`` texts of each language, those with the
 smallest hashes of their id, and of these ``landmarks`` are landmarks; both are
-parameters.  Executors turn whole texts into sets, so a training text brings at
+parameters.  Many languages give fewer each, but every language is learned.  Executors turn whole texts into sets, so a training text brings at
 most 2^14 numbers to the driver.  Scoring takes whole texts as well.
 
 Defined results: null text and text without any letter is ``und`` with score
@@ -38,8 +38,8 @@ from .common import map_arrow, pieces
 
 ORDERS, BITS = 4, 14
 PER_CLASS, LANDMARKS, RIDGE = 400, 32, 1e-3
-#: Languages beyond the most frequent of so many are not learned; all together give at most MOST_SAMPLE training texts.
-MOST_CLASSES, MOST_SAMPLE = 200, 20_000
+#: Training texts and landmarks of all languages together, but one each at least.
+MOST_SAMPLE, MOST_LANDMARKS = 20_000, 6_400
 #: Texts of less than LIKENESS times the likeness that all but LIKE_SHARE of the training texts reach are of no learned language.
 LIKENESS, LIKE_SHARE = 0.6, 0.01
 _MULTIPLIER = np.uint32(0x9E3779B1)
@@ -153,14 +153,15 @@ def fit(spark: SparkSession, docs: DataFrame, *, per_class: int = PER_CLASS, lan
     """Trains on labelled documents that aren't held out."""
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     pool = pool.where(F.col("text").rlike(r"\p{L}"))
-    sizes = pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_CLASSES).collect()
-    rank = (F.xxhash64(F.lit(11), "doc_id").bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))).alias("u")
+    rank = F.xxhash64(F.lit(11), "doc_id").bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))
+    sizes = pool.groupBy("lang").agg(F.count("*").alias("n"), F.min(rank).alias("least")).collect()
     sets, labels = [], []
     if sizes:
-        per_class = min(per_class, MOST_SAMPLE // len(sizes))
-        # about 1.5 per_class rows of a language pass the threshold, whatever its size
-        share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * per_class / r["n"])))))
-        few = pool.select("lang", rank, F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("u") <= share[F.col("lang")])
+        per_class = max(1, min(per_class, MOST_SAMPLE // len(sizes)))
+        landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(sizes)))
+        # about 1.5 per_class rows of a language pass the threshold, whatever its size, and one at least
+        share = spark.createDataFrame([(r["lang"], max(r["least"], min(1.0, 1.5 * per_class / r["n"]))) for r in sizes], "lang string, share double")
+        few = pool.select("lang", rank.alias("u"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(share), "lang").where("u <= share").drop("share")
         by: dict[str, list] = {}
         for r in map_arrow(few, "lang string, u double, doc_id long, grams binary", _sets).limit(2 * per_class * len(sizes)).collect():
             by.setdefault(r["lang"], []).append((r["u"], r["doc_id"], bytes(r["grams"])))

@@ -389,3 +389,17 @@ def test_refinement_names_equal_prefixes():
     for s, n in zip(starts, names):
         by.setdefault(text[s : s + 50].tobytes(), set()).add(int(n))
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+
+
+def test_every_language_is_learned(spark):
+    from prosemill.llm.language_id import identify
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(203):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(12)]
+        rows += [(10 * k + j, " ".join("".join(rng.choices(letters, k=4)) for _ in range(12)), f"l{k:03}") for j in range(10 if k < 200 else 9)]
+    got = identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    lang = {d: name for d, _, name in rows}
+    assert {r.lang_pred for r in got} == set(lang.values())
+    assert sum(r.lang_pred == lang[r.doc_id] for r in got) > 0.95 * len(rows)
