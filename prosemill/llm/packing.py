@@ -157,6 +157,7 @@ def swap_search(bins: Counter, capacity: int, patience: int = 20_000) -> Counter
                 break
         if not found:
             break
+        tried.discard((a, b))  # it helps again if a later exchange makes both again
         give, take = found
         n = bins[a] // 2 if a == b else min(bins[a], bins[b])
 

@@ -403,3 +403,15 @@ def test_every_language_is_learned(spark):
     lang = {d: name for d, _, name in rows}
     assert {r.lang_pred for r in got} == set(lang.values())
     assert sum(r.lang_pred == lang[r.doc_id] for r in got) > 0.95 * len(rows)
+
+
+def test_swap_search_leaves_no_exchange_that_helps():
+    from collections import Counter
+
+    from prosemill.llm.packing import _better, best_fit, swap_search
+
+    counts = {26: 2, 13: 1, 18: 2, 32: 1, 49: 1, 15: 2, 48: 1, 37: 3, 42: 1, 12: 1, 9: 2, 14: 1, 38: 1, 16: 1}
+    bins = swap_search(best_fit(counts, 50), 50)
+    under = [p for p in bins if sum(p) < 50]
+    assert not [(a, b) for a in under for b in under if sum(a) <= sum(b) and (a != b or bins[a] > 1) and _better(a, b, 50)]
+    assert sum((Counter({x: n * k for x, k in Counter(p).items()}) for p, n in bins.items()), Counter()) == counts
