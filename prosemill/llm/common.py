@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _own: dict[str, str] = {}
+#: Paths of tables that are still there, by the order in which they were made.
+_made: list[str] = []
 #: Rows of an Arrow batch at most: beside a full JVM heap a worker holds one batch on its way in and one on its way out.
 BATCH_ROWS = 2_000
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -26,13 +28,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a new folder where that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    return given or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="prosemill-"))
+    """The folder every executor sees: spark.checkpoint.dir; where that is unset in local mode, a new folder."""
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="prosemill-"))
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_dir(spark).rstrip('/')}/prosemill/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/prosemill/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def tables_made() -> list[str]:
+    """Paths of the tables that operators have made and not removed."""
+    return list(_made)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
 
 
 class Scratch:
@@ -70,11 +95,30 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [x for x in _made if x != path]
 
 
 def sweep(spark: SparkSession) -> None:
-    """Removes all tables that operators have left in the shared folder; results that read them end with it."""
-    remove(spark, f"{shared_dir(spark).rstrip('/')}/prosemill")
+    """Removes all tables that this application's operators have left; results that read them end with it."""
+    remove(spark, own_dir(spark))
+    _made.clear()
+
+
+#: Keys with more than one of so many parts of all rows are hot: there are at most so many of them.
+HOT_PARTS, HOT_ROWS = 100_000, 1_000
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with lookup(key, many, ...), one row a key, where ``many`` is the number of rows that have the key.
+
+    Hot keys, HOT_PARTS of them at most, are broadcast, so their rows stay where
+    they are; the others are dealt by key.  ``rows`` is read twice.
+    """
+    least = max(HOT_ROWS, total // HOT_PARTS)
+    hot, cold = lookup.where(F.col("many") > least).drop("many"), lookup.where(F.col("many") <= least).drop("many")
+    here = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return here.unionByName(rest)
 
 
 def map_arrow(df: DataFrame, schema: str | T.StructType, kernel: Callable[..., Iterator[dict]], *args) -> DataFrame:

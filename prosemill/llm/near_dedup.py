@@ -8,7 +8,8 @@ values from four different permutations find candidates: a pair of similarity
 
 Every link that counts is confirmed on the full sets:
 
-1. Documents of equal sets are one class, which its smallest doc_id stands for.
+1. Documents of equal sets are one class, which bears a number of its own and
+   is compared by one of its texts.
 2. Within a bucket (equal band), each member is confirmed against the bucket's
    smallest member: as many pairs as members, not their square.  Confirmed
    links give components.
@@ -21,9 +22,10 @@ Every link that counts is confirmed on the full sets:
 
 Defined results: null or wordless text has an empty set and links with
 nothing; with fewer words than a shingle the whole sequence is the one
-shingle; rows that repeat a doc_id each get a row, and the doc_id's links are
-those of any of them; a null doc_id links with nothing; extra columns are
-ignored; an empty table gives an empty one.
+shingle; rows that repeat a doc_id each get a row with the size of its own set,
+and the doc_id's links are those of any of them, so its texts are in one
+component; a null doc_id links with nothing; extra columns are ignored; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, forest, map_arrow, mix64, pieces
+from .common import Scratch, components, forest, join_hot, map_arrow, mix64, pieces
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 #: Members of a bucket that one task compares with each other at a time.
@@ -109,6 +111,7 @@ def _sketch(batches, k):
                     keys[n], small[n] = band, row.tobytes()
             yield {
                 "doc_id": b.column("doc_id")[i:j],
+                "mark": b.column("mark")[i:j],
                 "n_shingles": [len(s) for s in sets],
                 "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "sig": small,
@@ -144,12 +147,12 @@ def _confirm(batches, k, least, of):
             yield {"u": us, "v": vs}
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, least: int, of: int) -> DataFrame:
+def confirm(texts: DataFrame, pairs: DataFrame, k: int, least: int, of: int) -> DataFrame:
     """The pairs (u, v) whose full sets reach least/of; each v's set is made once for every CHUNK of its partners."""
     salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"))
     member = pairs.join(salts, "v").select(F.col("v").alias("g"), F.pmod(F.xxhash64("u"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("u").alias("id"))
     head = salts.select(F.col("v").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("v").alias("id"))
-    rows = member.unionByName(head).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    rows = member.unionByName(head).join(texts.select(F.col("node").alias("id"), "text"), "id")
     dealt = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "role", "id")
     return map_arrow(dealt.select("g", "salt", "role", "id", "text"), "u long, v long", _confirm, k, least, of)
 
@@ -287,15 +290,19 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 5, least: int = 75, of: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where of * intersection >= least * union."""
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = scratch.write(map_arrow(docs, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>", _sketch, k), "sketches")
+    # the mark tells the texts of a repeated doc_id apart
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    sketch = scratch.write(map_arrow(docs, "doc_id long, mark long, n_shingles long, digest binary, sig binary, bands array<long>", _sketch, k), "sketches")
     able = sketch.where("digest is not null and doc_id is not null")
-    rep = scratch.write(able.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = able.join(rep, "digest").where("doc_id = rep").drop("rep")
-    bands = chosen.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
+    one = F.min(F.struct("doc_id", "mark")).alias("one")
+    classes = able.groupBy("digest").agg(one, F.count("*").alias("many"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # numbers are made once, by the written table
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "many", F.col("one.doc_id").alias("rep"), F.col("one.mark").alias("mark"), "n", "sig", "bands"), "classes")
+    bands = classes.select(F.col("node").alias("doc"), F.explode("bands").alias("key"))
     centres = bands.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre < last")
     member = scratch.write(bands.join(centres, "key").select("key", "doc", "centre"), "buckets")
-    texts = scratch.write(docs.join(member.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    asked_for = classes.join(member.select(F.col("doc").alias("node")).distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "mark")
+    texts = scratch.write(docs.join(asked_for, ["doc_id", "mark"]).select("node", "text"), "texts")
     star = member.where("doc <> centre").select(F.col("doc").alias("u"), F.col("centre").alias("v")).distinct()
     links = scratch.write(confirm(texts, star, k, least, of), "links")
     comps = scratch.write(components(spark, links), "components")
@@ -304,18 +311,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 5, least:
     sizes = inner.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("members"), F.count("*").alias("comps")).where("comps > 1 and members > 2")
     mixed = mixed.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("members") - F.col("top.c")) / BLOCK).cast("int").alias("rests"))
-    info = chosen.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["doc"])
+    info = classes.select(F.col("node").alias("doc"), "n", "sig", "bands")
     rows = _spread(inner.join(mixed, "key")).join(info, "doc")
     asked = map_arrow(_dealt(rows), rows.schema, _in_question, least, of)
     asked = scratch.write(asked, "asked")
     if not asked.isEmpty():
-        full = asked.join(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc"), "doc")
-        more = map_arrow(_dealt(full), "u long, v long", _confirm_blocks, k, least, of)
-        comps = scratch.write(components(spark, links.unionByName(more)), "components")
+        # rows that repeat both doc_id and text bring a text twice
+        full = asked.join(texts.dropDuplicates(["node"]).withColumnRenamed("node", "doc"), "doc")
+        links = links.unionByName(scratch.write(map_arrow(_dealt(full), "u long, v long", _confirm_blocks, k, least, of), "links"))
+    several = scratch.write(_same_document(able, classes), "repeats")
+    if not asked.isEmpty() or not several.isEmpty():
+        comps = scratch.write(components(spark, links.unionByName(several)), "components")
+
+    named = classes.select("node", "digest", "rep", "many").join(comps, "node")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = scratch.write(named.join(smallest, "component").select("digest", "many", "component_id"), "linked")
+    single = classes.where("many > 1").join(linked, "digest", "left_anti").select("digest", "many", F.col("rep").alias("component_id"))
+    ids = able.select("doc_id", "digest")
+    far = join_hot(ids, linked.unionByName(single), "digest", sketch.count()).where("doc_id <> component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    far = scratch.write(far, "components")
+    scratch.drop(member, texts, links, asked, several, classes, linked)  # the result reads none of them
+
+    out = sketch.select("doc_id", "n_shingles").join(far, "doc_id", "left")
+    own = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
-    scratch.drop(member, texts, links, asked)  # the result reads none of them
 
-    named = rep.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+def _same_document(able: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the classes of a doc_id whose rows have several texts."""
+    rows = able.select("doc_id", "digest")
+    ids = rows.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    nodes = rows.join(ids, "doc_id", "left_semi").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    first = nodes.groupBy("doc_id").agg(F.min("node").alias("v"))
+    return nodes.join(first, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v").distinct()

@@ -80,6 +80,36 @@ def test_near_duplicates(spark, rows, docs, empty, monkeypatch):
     assert nd.near_duplicates(spark, empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    from prosemill.llm.near_dedup import near_duplicates
+
+    rng = random.Random(8)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b), (9, None), (12, c), (13, c), (7, c)]
+    # many rows over few ids, near copies among them
+    for k in range(200):
+        rows.append((100 + k % 60, edited(rng, (a, b, c, words(rng, 40))[k % 4], rng.choice((0, 0.01, 0.03)))))
+    sets = [({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set()) for _, t in rows]
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, (d, _) in enumerate(rows):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                x, y = sorted((find(d), find(rows[j][0])))
+                root[y] = x
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = sorted((d, len(s), find(d), find(d) == d) for (d, _), s in zip(rows, sets))
+    assert sorted(map(tuple, got)) == want
+    small = near_duplicates(spark, spark.createDataFrame(rows[:4], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in small} == {(3, 3), (5, 3), (9, 3)}
+
+
 def test_bands_come_from_different_permutations():
     from prosemill.llm import near_dedup as nd
 
