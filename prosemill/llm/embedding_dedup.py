@@ -1,17 +1,26 @@
-"""Embedding near-dedup by exact comparison of blocks, with pivots that rule blocks out.
+"""Embedding near-dedup through a pivot-permutation index.
 
 A bounded sample of vectors, spread apart, serves as reference points (pivots).
-Each vector lies in the cell of its nearest pivot.  The cells of a label are
-cut or put together to blocks of about ``BLOCK`` vectors, so a task holds two
-blocks at most, whatever the size of a cell.  A block knows the range of its
-members' cosines with every pivot; two unit vectors of cosine ``least`` differ
-by sqrt(2 - 2 least) at most in any of them, so two blocks whose ranges lie
-further apart hold no link.  All other pairs of blocks are compared whole, in
-double precision: every link is found, wherever the pivots lie.  Tasks return
-link counts and a spanning forest in place of the pairs.
-
-Blocks that no pivot parts are compared each with each, so the time grows with
-the square of a label's rows where its vectors don't lie in clusters.
+Each vector is described by its ``prefix`` nearest pivots in order of nearness,
+and listed under each of them (and its label): the inverted pivot lists.  Two
+vectors of a list are candidates if their descriptions share at least
+``shared`` pivots; a pair counts in the list of the first pivot that it shares,
+so once.  Candidates are verified by cosine in double precision.
+
+Lists are compared in blocks, so no task holds a whole list, and tasks return
+link counts and a spanning forest in place of the pairs.  No list is cut short:
+a list of all rows is compared whole, block by block.
+
+Pivots nearer to each other than PIVOT_COSINE are not taken: in a dense group
+of near copies a sample has many of its points, and the order of these would
+part the group's members by chance.  So such a group has one pivot, which all
+its members share, and their other pivots lie far off, where the members'
+small distances hardly change the order.
+
+The number of pivots follows the square root of the number of vectors, so lists
+grow as slowly, up to PIVOT_BYTES of them; beyond that (about 4e9 vectors of 64
+components) lists grow with the table.  Every vector is indexed; the sample
+only names pivots.
 
 Equal vectors of a label are one class, whose members link with each other
 without being paired.
@@ -19,69 +28,77 @@ without being paired.
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of
 different lengths link with nothing; rows that repeat a vec_id each get a row,
-their links summed over the vec_id's rows; a null vec_id links with nothing;
-extra columns are ignored; an empty table gives an empty one.
+with the number of other vec_ids that any of its vectors links with, and the
+vec_id's vectors are in one component; a null vec_id links with nothing; extra
+columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, forest, map_arrow
 
-#: Vectors of a block; a block of several cells may hold twice as many.
-BLOCK = 2048
-MOST_PIVOTS = 4096
+PREFIX, SHARED = 8, 2
+#: Vectors of a list that one task compares with each other at a time, and rows of a block compared at once.
+BLOCK, STRIP = 1024, 256
+#: All pivots together take at most so many bytes (each executor gets them).
+PIVOT_BYTES, LEAST_PIVOTS = 32 << 20, 64
 #: Pivots of a larger cosine would part a dense group by chance.
 PIVOT_COSINE = 0.7
-#: Rows of a block compared at a time, and bytes of vectors that travel in a row.
-STRIP, CHUNK_BYTES = 256, 1 << 14
-#: Cosines with a pivot are exact to this.
-ROUNDING = 1e-9
+#: Block counts of long lists are broadcast up to so many lists.
+MOST_BROADCAST = 200_000
 
 
 def _vectors(batches):
-    """Rows of usable vectors, scaled to length 1, with their raw bytes as class key."""
+    """Rows of usable vectors, scaled to length 1, with a 128-bit digest of the direction."""
     for b in batches:
-        out: dict[str, list] = {"vec_id": [], "label": [], "key": [], "unit": [], "usable": []}
+        out: dict[str, list] = {"vec_id": [], "label": [], "digest": [], "unit": []}
         for vec_id, label, x in zip(b.column("vec_id").to_pylist(), b.column("label").to_pylist(), b.column("embedding").to_pylist(), strict=True):
-            unit = key = None
+            unit = digest = None
             if vec_id is not None and label is not None and x and None not in x:
                 v = np.asarray(x, dtype=np.float64)
                 if np.isfinite(v).all() and np.any(v):
-                    v = v / np.abs(v).max()
-                    unit, key = v / np.sqrt(v @ v), (v + 0.0).tobytes()
+                    v = v / np.abs(v).max() + 0.0
+                    unit, digest = (v / np.sqrt(v @ v)).tobytes(), xxhash.xxh3_128_digest(v.tobytes())
             out["vec_id"].append(vec_id)
             out["label"].append(label)
-            out["key"].append(key)
+            out["digest"].append(digest)
             out["unit"].append(unit)
-            out["usable"].append(unit is not None)
         yield out
 
 
-def _apart(sample: list[list[float]]) -> dict[int, np.ndarray]:
+def apart(sample: list[bytes]) -> dict[int, np.ndarray]:
     """By length, the vectors of the sample that aren't near an earlier one."""
-    chosen: dict[int, list] = {}
-    for v in map(np.asarray, sample):
-        own = chosen.setdefault(len(v), [])
-        if not own or (np.array(own) @ v).max() < PIVOT_COSINE:
-            own.append(v)
-    return {n: np.array(own) for n, own in chosen.items()}
+    found: dict[int, np.ndarray] = {}
+    for size in {len(x) for x in sample}:
+        own = np.array([np.frombuffer(x) for x in sample if len(x) == size])
+        free = np.ones(len(own), bool)
+        for k in range(len(own)):
+            if free[k]:
+                free[k + 1 :] &= own[k + 1 :] @ own[k] < PIVOT_COSINE
+        found[size // 8] = own[free]
+    return found
 
 
-def _home(batches, pivots):
-    """The nearest pivot of the vector's own length of each vector, -1 where there is none."""
+def _describe(batches, pivots, prefix):
+    """The nearest pivots of the vector's own length, nearest first; -1 alone where there is none."""
+    pivots = pivots.value
     for b in batches:
         units = b.column("unit").to_pylist()
-        dim = [len(u) for u in units]
-        cell = [-1] * len(units)
-        for n in set(dim) & set(pivots):
-            rows = [k for k, d in enumerate(dim) if d == n]
-            for k, c in zip(rows, (np.array([units[k] for k in rows]) @ pivots[n].T).argmax(1).tolist(), strict=True):
-                cell[k] = c
-        yield {"node": b.column("node"), "label": b.column("label"), "n": b.column("n"), "dim": dim, "cell": cell, "unit": [np.array(u).tobytes() for u in units]}
+        near: list = [[-1]] * len(units)
+        for n in {len(u) // 8 for u in units} & set(pivots):
+            rows = [k for k, u in enumerate(units) if len(u) == 8 * n]
+            far = -(np.frombuffer(b"".join(units[k] for k in rows)).reshape(-1, n) @ pivots[n].T)
+            most = min(prefix, far.shape[1])
+            some = np.argpartition(far, most - 1, axis=1)[:, :most]
+            order = np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable")
+            for k, t in zip(rows, np.take_along_axis(some, order, 1).tolist(), strict=True):
+                near[k] = t
+        yield {"node": b.column("node"), "label": b.column("label"), "weight": b.column("weight"), "several": b.column("several"), "dim": [len(u) // 8 for u in units], "near": near, "unit": b.column("unit")}
 
 
 def _runs(batches, names, key):
@@ -99,28 +116,7 @@ def _runs(batches, names, key):
         yield last, held
 
 
-def _gather(batches, pivots):
-    """Rows sorted by block: chunks of the block's vectors, and its ranges of cosines as chunk -1."""
-    for (label, dim, block), rows in _runs(batches, ("label", "dim", "block", "node", "n", "unit"), 3):
-        x = np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), dim)
-        cosines = x @ pivots[dim].T if dim in pivots else np.zeros((len(rows), 0))
-        many = max(1, CHUNK_BYTES // (8 * dim))
-        parts = [rows[k : k + many] for k in range(0, len(rows), many)]
-        size = len(parts) + 1
-        yield {
-            "label": [label] * size,
-            "dim": [dim] * size,
-            "block": [block] * size,
-            "chunk": range(-1, len(parts)),
-            "lo": [cosines.min(0), *[None] * len(parts)],
-            "hi": [cosines.max(0), *[None] * len(parts)],
-            "nodes": [None, *([r[0] for r in p] for p in parts)],
-            "many": [None, *([r[1] for r in p] for p in parts)],
-            "units": [None, *(b"".join(r[2] for r in p) for p in parts)],
-        }
-
-
-def _joined(u: np.ndarray, v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spanned(u: np.ndarray, v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A spanning forest of the edges, and each number's root in it."""
     root = np.arange(size)
     u, v = forest(u, v)
@@ -128,80 +124,135 @@ def _joined(u: np.ndarray, v: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
     return u, v, root
 
 
-def _verify(batches, least):
-    """Rows sorted by block pair and block: counts of linked vectors, and a forest of the links."""
-    for (_, dim, i, j), rows in _runs(batches, ("label", "dim", "i", "j", "block", "nodes", "many", "units"), 4):
-        nodes, many = (np.array([n for r in rows for n in r[k]], dtype=np.int64) for k in (1, 2))
-        x = np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(-1, dim)
-        side = np.repeat([r[0] == i for r in rows], [len(r[1]) for r in rows])
-        a = np.flatnonzero(side)
-        c = a if i == j else np.flatnonzero(~side)
-        deg = np.zeros(len(x), dtype=np.int64)
+PAIR = ("label", "dim", "pivot", "i", "j")
+FOREST, DEGREE, LINK = 0, 1, 2
+
+
+def _verify(batches, least, shared):
+    """Rows sorted by list and block pair: a forest of the links, linked weights, and links that touch a class of a repeated vec_id."""
+    for (_, dim, pivot, i, j), rows in _runs(batches, (*PAIR, "block", "node", "weight", "several", "near", "unit"), len(PAIR)):
+        block, nodes, weight = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+        several = np.array([r[3] for r in rows], dtype=bool)
+        a = np.flatnonzero(block == i)
+        c = a if i == j else np.flatnonzero(block == j)
+        if not len(a) or not len(c):
+            continue
+        x = np.frombuffer(b"".join(r[5] for r in rows)).reshape(len(rows), dim)
+        many = np.array([len(r[4]) for r in rows])
+        ids, flat = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
+        listed = np.zeros((len(rows), len(ids)), dtype=np.float32)
+        listed[np.repeat(np.arange(len(rows)), many), flat] = 1
+        before = listed[:, ids < pivot]
+        y, late, wide = x[c], before[c].T, listed[c].T
+        few = np.minimum(many, shared)
+        deg = np.zeros(len(rows), dtype=np.int64)
         u, v = np.empty(0, np.int64), np.empty(0, np.int64)
-        y, weight = x[c], many[c].astype(np.float64)
+        pu, pv = [], []
         for k in range(0, len(a), STRIP):
             own = a[k : k + STRIP]
-            ok = x[own] @ y.T >= least
+            ok = (listed[own] @ wide >= few[own][:, None]) & (before[own] @ late == 0)
             if i == j:
                 ok &= c[None, :] > own[:, None]
+            if 8 * np.count_nonzero(ok) > ok.size:
+                ok &= x[own] @ y.T >= least
+            else:
+                p, q = np.nonzero(ok)
+                ok[p, q] = np.einsum("nd,nd->n", x[own[p]], y[q]) >= least
             if not ok.any():
                 continue
-            deg[own] += (ok @ weight).astype(np.int64)
-            deg[c] += (many[own].astype(np.float64) @ ok).astype(np.int64)
+            deg[own] += ok @ weight[c]
+            deg[c] += weight[own] @ ok
             row, col = ok.any(1), ok.any(0)
             # one link of each member first; of the others only those between parts that these leave
-            u, v, root = _joined(np.r_[u, own[row], own[ok.argmax(0)[col]]], np.r_[v, c[ok.argmax(1)[row]], c[col]], len(x))
+            u, v, root = _spanned(np.r_[u, own[row], own[ok.argmax(0)[col]]], np.r_[v, c[ok.argmax(1)[row]], c[col]], len(rows))
             p, q = np.nonzero(ok & (root[own][:, None] != root[c][None, :]))
             if len(p):
-                u, v, _ = _joined(np.r_[u, own[p]], np.r_[v, c[q]], len(x))
+                u, v, _ = _spanned(np.r_[u, own[p]], np.r_[v, c[q]], len(rows))
+            if several.any():
+                p, q = np.nonzero(ok & (several[own][:, None] | several[c][None, :]))
+                pu.append(own[p])
+                pv.append(c[q])
         hit = np.flatnonzero(deg)
-        if len(hit):
-            yield {"u": np.r_[nodes[u], nodes[hit]], "v": np.r_[nodes[v], nodes[hit]], "links": np.r_[np.zeros(len(u), np.int64), deg[hit]]}
+        if len(u):
+            pu, pv = (np.concatenate([np.empty(0, np.int64), *z]) for z in (pu, pv))
+            yield {
+                "kind": np.repeat([FOREST, DEGREE, LINK], [len(u), len(hit), len(pu)]),
+                "u": nodes[np.r_[u, hit, pu]],
+                "v": nodes[np.r_[v, hit, pv]],
+                "links": np.r_[np.zeros(len(u), np.int64), deg[hit], np.zeros(len(pu), np.int64)],
+            }
+
 
+def described(spark: SparkSession, units: DataFrame, pivots: int | None, prefix: int) -> DataFrame:
+    """units(node, label, weight, several, unit) with dim and near, the nearest pivots in order."""
+    size = units.agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes")).first()
+    most = max(LEAST_PIVOTS, PIVOT_BYTES // (size["bytes"] or 8))
+    want = pivots or int(min(most, max(LEAST_PIVOTS, size["n"] ** 0.5)))
+    sample = [bytes(r["unit"]) for r in units.orderBy(F.xxhash64("node", F.lit(7)), "node").select("unit").limit(want).collect()]
+    chosen = spark.sparkContext.broadcast(apart(sample))
+    return map_arrow(units, "node long, label long, weight long, several boolean, dim int, near array<int>, unit binary", _describe, chosen, prefix)
 
-def near_vectors(spark: SparkSession, table: DataFrame, *, least: float = 0.98, pivots: int | None = None) -> DataFrame:
+
+def _placed(vectors: DataFrame) -> DataFrame:
+    """Each vector once for each list and each pair of blocks that it is in."""
+    lists = vectors.select("label", "dim", F.explode("near").alias("pivot")).groupBy("label", "dim", "pivot").agg(F.count("*").alias("size"))
+    long = lists.where(F.col("size") > BLOCK).select("label", "dim", "pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    posted = vectors.withColumn("pivot", F.explode("near"))
+    posted = posted.join(F.broadcast(long) if long.count() <= MOST_BROADCAST else long, ["label", "dim", "pivot"], "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    posted = posted.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    out = posted.select("label", "dim", "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "several", "near", "unit")
+    return out.repartition(*PAIR).sortWithinPartitions(*PAIR, "node")
+
+
+def near_vectors(spark: SparkSession, table: DataFrame, *, least: float = 0.98, pivots: int | None = None, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
     """vec_id, n_links, component_id, kept: vectors of one label linked where their cosine is at least ``least``."""
     scratch = Scratch(spark)
     own = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = scratch.write(map_arrow(own, "vec_id long, label long, key binary, unit array<double>, usable boolean", _vectors), "vectors")
-    able = rows.where("usable")
-    classes = able.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    # a class is named by its smallest vec_id; that name belongs to one vector only if vec_ids don't repeat
-    node = F.xxhash64("label", "key")
-    classes = scratch.write(classes.withColumn("node", node), "classes")
-    units = able.withColumn("node", node).join(classes.select("node", "rep", "n"), "node").where("vec_id = rep").groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("unit").alias("unit"))
-    units = scratch.write(units, "units")
-    total = units.count()
-    want = pivots or int(min(MOST_PIVOTS, max(64, total**0.5)))
-    sample = [r["unit"] for r in units.orderBy(F.xxhash64("node", F.lit(7))).select("unit").limit(want).collect()]
-    chosen = _apart(sample)
-    homes = scratch.write(map_arrow(units, "node long, label long, n long, dim int, cell int, unit binary", _home, chosen), "homes")
-    cells = homes.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"))
-    large = cells.where(F.col("size") > BLOCK).select("label", "dim", "cell", F.col("cell").cast("string").alias("name"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    before = F.sum("size").over(Window.partitionBy("label", "dim").orderBy("cell")) - F.col("size")
-    small = cells.where(F.col("size") <= BLOCK).select("label", "dim", "cell", F.concat(F.lit("s"), F.floor(before / BLOCK).cast("string")).alias("name"), F.lit(1).alias("parts"))
-    placed = homes.join(large.unionByName(small), ["label", "dim", "cell"])
-    placed = placed.select("label", "dim", F.concat_ws("/", "name", F.pmod(F.xxhash64("node"), "parts").cast("string")).alias("block"), "node", "n", "unit")
-    placed = placed.repartition("label", "dim", "block").sortWithinPartitions("label", "dim", "block", "node")
-    schema = "label long, dim int, block string, chunk int, lo array<double>, hi array<double>, nodes array<long>, many array<long>, units binary"
-    blocks = scratch.write(map_arrow(placed, schema, _gather, chosen), "blocks")
-    ranges = blocks.where("chunk = -1")
-    one = ranges.select("label", "dim", F.col("block").alias("i"), "lo", "hi")
-    two = ranges.select("label", "dim", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    reach = max(0.0, 2 - 2 * least) ** 0.5 + ROUNDING
-    minus = lambda p, q: F.zip_with(p, q, lambda s, t: s - t)
-    ruled_out = F.exists(minus("lo", "hi2"), lambda d: d > reach) | F.exists(minus("lo2", "hi"), lambda d: d > reach)
-    pairs = one.join(two, ["label", "dim"]).where(F.col("i") <= F.col("j")).where(~ruled_out).select("label", "dim", "i", "j")
-    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    dealt = sides.join(blocks.where("chunk >= 0").select("label", "dim", "block", "chunk", "nodes", "many", "units"), ["label", "dim", "block"])
-    dealt = dealt.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j", "block", "chunk")
-    found = scratch.write(map_arrow(dealt.select("label", "dim", "i", "j", "block", "nodes", "many", "units"), "u long, v long, links long", _verify, least), "links")
-    linked = found.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    comp = components(spark, found.where("u <> v").select("u", "v"))
-    # name each component by its smallest vec_id
-    named = classes.select("node", "rep", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = scratch.write(map_arrow(own, "vec_id long, label long, digest binary, unit binary", _vectors), "vectors")
+    able = rows.where("unit is not null")
+    # numbers are made once, by the written table
+    classes = able.groupBy("label", "digest").agg(F.first("unit").alias("unit")).select(F.monotonically_increasing_id().alias("node"), "label", "digest", "unit")
+    classes = scratch.write(classes, "classes")
+    members = able.select("vec_id", "label", "digest").distinct().join(classes.select("label", "digest", "node"), ["label", "digest"]).select("vec_id", "node")
+    members = scratch.write(members.withColumn("several", F.count("*").over(Window.partitionBy("vec_id")) > 1), "members")
+    weights = members.groupBy("node").agg(F.count_if(~F.col("several")).alias("weight"), F.max("several").alias("several"), F.min("vec_id").alias("rep"))
+    units = scratch.write(classes.select("node", "label", "unit").join(weights, "node"), "units")
+    vectors = scratch.write(described(spark, units.drop("rep"), pivots, prefix), "described")
+    found = scratch.write(map_arrow(_placed(vectors), "kind int, u long, v long, links long", _verify, least, shared), "links")
+
+    repeated = members.where("several")
+    edges = found.where(F.col("kind") == FOREST).select("u", "v")
+    again = not repeated.isEmpty()
+    if again:
+        first = repeated.groupBy("vec_id").agg(F.min("node").alias("v"))
+        edges = edges.unionByName(repeated.join(first, "vec_id").where("node <> v").select(F.col("node").alias("u"), "v"))
+    linked = found.where(F.col("kind") == DEGREE).groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    comp = components(spark, edges)
+    named = units.select("node", "rep", "weight").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "component").join(linked, "node", "left").select("node", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("vec_id", "usable", F.when(F.col("usable"), node).alias("node")).join(named, "node", "left")
+    named = named.join(smallest, "component").join(linked, "node", "left").select("node", "component_id", (F.col("weight") + F.coalesce("links", F.lit(0))).alias("near"))
+    near = members.join(named, "node").select("vec_id", "several", "node", "component_id", "near")
+    if again:
+        near = _with_repeated(found, units, repeated, near)
+    ids = near.groupBy("vec_id").agg(F.min("component_id").alias("component_id"), F.max(F.col("near") - 1).alias("n_links"))
+    out = rows.select("vec_id").join(ids, "vec_id", "left")
     of = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), of.alias("component_id"), F.coalesce(of == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _with_repeated(found: DataFrame, units: DataFrame, repeated: DataFrame, near: DataFrame) -> DataFrame:
+    """near, with vec_ids of several vectors counted once each, and their own count over all their vectors."""
+    pairs = found.where(F.col("kind") == LINK).select("u", "v")
+    at = repeated.select("vec_id", "node")
+    around = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(at.select(F.col("node").alias("u"), F.col("node").alias("v"))).distinct()
+    # classes of one vector: the repeated vec_ids in reach, each once
+    seen = around.join(at.select(F.col("node").alias("v"), F.col("vec_id").alias("other")), "v").select("u", "other").distinct()
+    more = seen.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("more"))
+    single = near.where("not several").join(more, "node", "left").withColumn("near", F.col("near") + F.coalesce("more", F.lit(0))).select("vec_id", "component_id", "near")
+    # repeated vec_ids: the classes in reach of any of its vectors, and the repeated vec_ids there, each once
+    reach = at.select("vec_id", F.col("node").alias("u")).join(around, "u").select("vec_id", "v").distinct()
+    plain = reach.join(units.select(F.col("node").alias("v"), "weight"), "v").groupBy("vec_id").agg(F.sum("weight").alias("near"))
+    others = reach.join(at.select(F.col("node").alias("v"), F.col("vec_id").alias("other")), "v").select("vec_id", "other").distinct().groupBy("vec_id").agg(F.count("*").alias("more"))
+    own = near.where("several").select("vec_id", "component_id").distinct()
+    return single.unionByName(own.join(plain, "vec_id").join(others, "vec_id").select("vec_id", "component_id", (F.col("near") + F.col("more")).alias("near")))

@@ -75,6 +75,44 @@ def test_near_vectors_of_a_dense_group(spark, size, pivots):
     assert sum(r.kept for r in got) == size - size // 3 + 1
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    from prosemill.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(11)
+    a, b, c = rng.normal(size=(3, 16))
+    rows = [(7, a), (7, b), (9, b), (3, a), (5, a), (5, a), (20, c), (21, c + 0.01), (21, a + 0.01), (22, 2 * c)]
+    rows += [(30 + k % 25, (a, b, c)[k % 3] + rng.normal(size=16) * 0.05 * (k % 4)) for k in range(60)]
+    units = [x / np.linalg.norm(x) for _, x in rows]
+    links = {d: set() for d, _ in rows}
+    for (d, _), x in zip(rows, units):
+        for (e, _), y in zip(rows, units):
+            if d != e and x @ y >= 0.98:
+                links[d].add(e)
+    low = {d: d for d in links}
+    for _ in links:
+        low = {d: min([low[d], *(low[e] for e in links[d])]) for d in links}
+    table = spark.createDataFrame([(d, x.tolist(), 1) for d, x in rows], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = near_vectors(spark, table).collect()
+    assert sorted(map(tuple, got)) == sorted((d, len(links[d]), low[d], low[d] == d) for d, _ in rows)
+
+
+def test_recall_of_the_pivot_index(spark):
+    """Pairs just above the threshold, in a table with many more pivots than a vector names."""
+    from prosemill.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    angle = np.arccos(rng.uniform(0.9801, 0.985, (len(x), 1)))
+    both = np.concatenate([x, np.cos(angle) * x + np.sin(angle) * y])
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(both)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.component_id for r in near_vectors(spark, table, pivots=1_000).collect()}
+    assert sum(got[k + 4_000] == k for k in range(4_000)) >= 0.99 * 4_000
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rng = random.Random(9)
