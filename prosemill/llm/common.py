@@ -71,7 +71,7 @@ class Scratch:
     CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark = spark
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
@@ -82,13 +82,12 @@ class Scratch:
         finally:
             self.spark.conf.set(self.CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            if path := self.paths.pop(id(t), None):
-                remove(self.spark, path)
+            remove(self.spark, t.scratch_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

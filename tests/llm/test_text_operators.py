@@ -153,10 +153,12 @@ def test_line_index_is_reversible(spark, rows, monkeypatch):
     start = ld.LineIndex.of(spark, a, shards=2)
     both = start.insert(b)
     want = ld.LineIndex.of(spark, a.unionByName(b), shards=2)
-    rowset = lambda i: sorted((r.shard, bytes(r.key), r.n_docs, r.first_doc) for r in i.counts().collect())
+    rowset = lambda i: sorted((r.shard, bytes(r.key), r.n_docs, r.first_doc) for r in i.counts.collect())
     assert rowset(both) == rowset(want)
     back = both.delete(b.select("doc_id"))
     assert rowset(back) == rowset(start)
+    dropped = lambda i: {r.doc_id: {bytes(k) for k in r["drop"]} for r in i.own_to_drop().collect()}
+    assert dropped(both) == dropped(want) != dropped(back) == dropped(start)
     # a filter knows every live key, and every repeated one twice
     tables = {r["shard"]: ld.CuckooFilter.load(bytes(r["filter"])) for r in both.filters.collect()}
     for shard, key, n, _ in rowset(both):
@@ -165,6 +167,35 @@ def test_line_index_is_reversible(spark, rows, monkeypatch):
         assert tables[shard].count(np.array([ld._hash(key)], dtype=np.uint64))[0] >= min(n, 2)
 
 
+def test_line_index_grows(spark, monkeypatch):
+    """Many shards, parts of few rows, and inserts that need more shards."""
+    from prosemill.llm import line_dedup as ld
+
+    monkeypatch.setattr(ld, "KEYS_PER_SHARD", 16)
+    monkeypatch.setattr(ld, "PART_ROWS", 8)
+    rng = random.Random(6)
+    lines = [words(rng, 4) for _ in range(150)]
+    own = [(k, "\n".join([*rng.sample(lines, 5), "a line of every document"])) for k in range(90)]
+    a, b = (spark.createDataFrame(own[k::2], "doc_id long, text string") for k in (0, 1))
+    index = ld.LineIndex.of(spark, a, shards=1)
+    assert index.shards == 1
+    index = index.insert(b)
+    assert index.shards > 8 and index.filters.count() > 8
+    first = {}
+    for d, t in own:
+        for x in t.split("\n"):
+            first.setdefault(x.encode().lower(), d)
+    want = {}
+    for d, t in own:
+        gone = {ld.xxhash.xxh3_128_digest(x.encode().lower()) for x in t.split("\n") if len(x) >= 10 and first[x.encode().lower()] < d}
+        if gone:
+            want[d] = gone
+    got = {r.doc_id: {bytes(k) for k in r["drop"]} for r in index.own_to_drop().collect()}
+    assert got == want
+    strange = spark.createDataFrame([(500, "a line of every document\nnew line never seen before"), (-1, "a line of every document")], "doc_id long, text string")
+    assert [(r.doc_id, len(r["drop"])) for r in index.to_drop(strange).collect()] == [(500, 1)]
+
+
 def test_cuckoo_filter_inserts_counts_and_deletes():
     import numpy as np
     from prosemill.llm.line_dedup import CuckooFilter
