@@ -9,7 +9,8 @@ Bins of the same make-up are one *pattern* with a multiplicity.
 1. Best-fit decreasing over lengths gives the first patterns.
 2. Local search: moves, one-for-one and two-for-one exchanges between two
    underfull patterns, applied to as many of their bins as both have, each
-   raising the sum of squared fills, until bins run empty or nothing helps.
+   raising the sum of squared fills, until bins run empty or no pair of
+   patterns has an exchange that helps.
 3. Pieces get their rank among those of equal length (counts of each written
    chunk, summed in order) and with it a sequence and an offset.
 
@@ -21,6 +22,7 @@ columns are ignored; an empty table gives an empty one.
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections import Counter
 
@@ -29,15 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, pieces
-from .tokens import encoder, public_path
+from .tokens import Source, public_path
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
 
 
-def _cut(batches, path, end_id, capacity, ids_kept):
+def _cut(batches, source, end_id, capacity, ids_kept):
     from pyspark import TaskContext
 
-    enc = encoder(path)
+    enc = source.encoder()
     chunk = TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, dtype=np.int64)
     for b in batches:
@@ -136,46 +138,56 @@ def _better(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     return found
 
 
-def swap_search(bins: Counter, capacity: int, patience: int = 20_000) -> Counter:
-    """Local search over patterns; ``patience`` bounds the number of pattern pairs tried."""
-    bins = Counter(bins)
-    under = sorted((p for p in bins if p and sum(p) < capacity), key=sum)
-    tried: set[tuple] = set()
-    while patience > 0:
-        found = None
-        for a in under:  # empty the emptiest first
-            for b in reversed(under):
-                if (a, b) in tried or sum(a) > sum(b) or (a == b and bins[a] < 2):
-                    continue
-                tried.add((a, b))
-                patience -= 1
-                if found := _better(a, b, capacity):
-                    break
-                if patience <= 0:
-                    break
-            if found or patience <= 0:
-                break
-        if not found:
-            break
-        tried.discard((a, b))  # it helps again if a later exchange makes both again
-        give, take = found
-        n = bins[a] // 2 if a == b else min(bins[a], bins[b])
+def _changed(p: tuple, out: tuple, new: tuple) -> tuple:
+    left = list(p)
+    for x in out:
+        left.remove(x)
+    return tuple(sorted([*left, *new], reverse=True))
 
-        def changed(p: tuple, out: tuple, new: tuple) -> tuple:
-            left = list(p)
-            for x in out:
-                left.remove(x)
-            return tuple(sorted([*left, *new], reverse=True))
 
-        na, nb = changed(a, give, take), changed(b, take, give)
+def swap_search(bins: Counter, capacity: int) -> Counter:
+    """Local search over patterns until no pair of underfull ones has an exchange that helps.
+
+    Patterns wait in a queue, the emptiest first.  The one in turn is paired
+    with every underfull pattern; a pattern that an exchange makes, or of which
+    a second bin comes up, joins the queue, so every pair of the patterns that
+    are left has been tried.  It ends because squared fill rises with each exchange.
+    """
+    bins = Counter({p: n for p, n in bins.items() if p and n})
+    queue = [(sum(p), p) for p in bins if sum(p) < capacity]
+    heapq.heapify(queue)
+    under = sorted(queue)
+
+    def exchange(a: tuple, b: tuple, found: tuple[tuple, tuple]) -> None:
+        give, take = found
+        n = bins[a] // 2 if a == b else min(bins[a], bins[b])
+        new = _changed(a, give, take), _changed(b, take, give)
         for p in (a, b):
             bins[p] -= n
-        for p in (na, nb):
-            if p:
-                bins[p] += n
-        bins = +bins
-        tried -= {x for x in tried if x[0] == x[1] and x[0] in (na, nb)}
-        under = sorted((p for p in bins if sum(p) < capacity), key=sum)
+        for p in {a, b}:
+            if not bins[p]:
+                del bins[p]
+                under.pop(bisect.bisect_left(under, (sum(p), p)))
+        for p in filter(None, new):
+            had = bins[p]
+            bins[p] = had + n
+            if sum(p) < capacity and had < 2:
+                if not had:
+                    bisect.insort(under, (sum(p), p))
+                heapq.heappush(queue, (sum(p), p))
+
+    while queue:
+        fill, a = heapq.heappop(queue)
+        found = True
+        while found and bins.get(a):
+            found = None
+            for other, b in reversed(under):
+                if a == b and bins[a] < 2:
+                    continue
+                low, high = (a, b) if (fill, a) <= (other, b) else (b, a)
+                if found := _better(low, high, capacity):
+                    exchange(low, high, found)
+                    break
     return bins
 
 
@@ -196,11 +208,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pack(spark: SparkSession, docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if kept) for every piece."""
-    path = tokenizer or public_path("byte_bpe_50k.json")
+    source = Source(spark, tokenizer or public_path("byte_bpe_50k.json"))
     scratch = Scratch(spark)
     schema = PIECE_SCHEMA + (", ids array<long>" if keep_ids else "")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    cut = scratch.write(map_arrow(own, schema, _cut, path, end_id, capacity, keep_ids), "pieces")
+    cut = scratch.write(map_arrow(own, schema, _cut, source, end_id, capacity, keep_ids), "pieces")
     by_chunk = cut.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     before = by_chunk.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("chunk", "length", F.coalesce("before", F.lit(0)).alias("before"))

@@ -308,7 +308,9 @@ def test_fingerprint_is_local():
     assert fingerprints([b"", b"aaaa"])[0] == "" and likeness("", "") == 1
 
 
-def test_token_counts_and_cache(spark, rows, docs, empty):
+def test_token_counts_and_cache(spark, rows, docs, empty, monkeypatch):
+    from prosemill.llm import common
+    from prosemill.llm import token_counts as tc
     from prosemill.llm.common import new_path
     from prosemill.llm.token_counts import CACHE_SCHEMA, count_tokens
     from prosemill.llm.tokens import public_path
@@ -323,6 +325,10 @@ def test_token_counts_and_cache(spark, rows, docs, empty):
         stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).count()
         assert stored == len({r[1] or "" for r in rows})  # the second run encodes nothing
     assert count_tokens(spark, empty).count() == 0
+    few = spark.createDataFrame([(1, "a text"), (2, "a text"), (3, "another"), (4, None)], "doc_id long, text string")
+    monkeypatch.setattr(tc, "MOST_BROADCAST", 1)  # missing texts are found by a join
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    assert sorted(tuple(r) for r in count_tokens(spark, few).collect()) == [(1, 6, 2, False), (2, 6, 2, False), (3, 7, 1, False), (4, 0, 0, False)]
     for name in ("word_bpe_49k.json", "piece_bpe_32k.model"):
         assert count_tokens(spark, docs, tokenizer=public_path(name)).count() == len(rows)
 
@@ -466,6 +472,23 @@ def test_every_language_is_learned(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in got) > 0.95 * len(rows)
 
 
+def test_swaps_save_bins_that_best_fit_leaves():
+    from collections import Counter
+
+    from prosemill.llm.packing import best_fit, swap_search
+
+    saved = 0
+    rng = random.Random(14)
+    for _ in range(300):
+        counts = Counter(rng.randint(8, 30) for _ in range(rng.randint(20, 60)))
+        first = best_fit(counts, 50)
+        better = swap_search(first, 50)
+        assert sum((Counter({x: n * k for x, k in Counter(p).items()}) for p, n in better.items()), Counter()) == counts
+        assert sum(better.values()) <= sum(first.values())
+        saved += sum(better.values()) < sum(first.values())
+    assert saved > 5
+
+
 def test_swap_search_leaves_no_exchange_that_helps():
     from collections import Counter
 
@@ -476,3 +499,16 @@ def test_swap_search_leaves_no_exchange_that_helps():
     under = [p for p in bins if sum(p) < 50]
     assert not [(a, b) for a in under for b in under if sum(a) <= sum(b) and (a != b or bins[a] > 1) and _better(a, b, 50)]
     assert sum((Counter({x: n * k for x, k in Counter(p).items()}) for p, n in bins.items()), Counter()) == counts
+
+
+def test_swap_search_of_many_patterns_ends():
+    from collections import Counter
+
+    from prosemill.llm.packing import _better, best_fit, swap_search
+
+    rng = random.Random(15)
+    counts = Counter(rng.randint(200, 1_000) for _ in range(20_000))
+    bins = swap_search(best_fit(counts, 1_024), 1_024)
+    under = [p for p in bins if sum(p) < 1_024]
+    pairs = [(a, b) for a in under for b in under if sum(a) <= sum(b) and (a != b or bins[a] > 1)]
+    assert not [x for x in rng.sample(pairs, min(len(pairs), 20_000)) if _better(*x, 1_024)]
