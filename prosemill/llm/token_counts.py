@@ -5,6 +5,13 @@ by its SHA-256 digest.  Stored counts are joined by (content digest, tokenizer
 version); only distinct content that is not stored is encoded, once, and its
 counts are appended to the cache.
 
+Which digests miss is found on digests alone.  Up to MOST_BROADCAST of them
+are sent to the texts, so only missing texts are shuffled, and none if nothing
+misses; beyond that every distinct text is shuffled once for each task that
+reads it, copies having been put together before.  Counts return to documents
+by digest; the few digests of very many documents are broadcast, so their
+documents stay where they are.
+
 Defined results: null text counts as empty (0 bytes, 0 tokens); rows that
 repeat a doc_id each get their own count; a null doc_id stays null; other
 columns are ignored, whatever their names; an empty table gives an empty one.
@@ -19,14 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, new_path, pieces
-from .tokens import encoder, public_path
+from .common import Scratch, join_hot, map_arrow, new_path, pieces
+from .tokens import Source, public_path
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
+#: Missing digests (32 bytes each) are broadcast up to this many.
+MOST_BROADCAST = 500_000
 
 
-def _digests(batches, path):
-    enc = encoder(path)
+def _digests(batches, source):
+    enc = source.encoder()
     for b in batches:
         for i, j in pieces(b, "text"):
             texts = [enc.normal(t or "") for t in b.column("text")[i:j].to_pylist()]
@@ -39,20 +48,20 @@ def _digests(batches, path):
             }
 
 
-def _encode(batches, path):
-    enc = encoder(path)
+def _encode(batches, source):
+    enc = source.encoder()
     for b in batches:
         for i, j in pieces(b, "text"):
             yield {"digest": b.column("digest")[i:j], "version": [enc.version] * (j - i), "n_tokens": [len(x) for x in enc.ids(b.column("text")[i:j].to_pylist())]}
 
 
-def _digested(docs: DataFrame, path: str) -> DataFrame:
-    enc = encoder(path)
+def _digested(docs: DataFrame, source: Source) -> DataFrame:
+    enc = source.encoder()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if enc.quick:  # no normaliser: the digest is taken in the JVM
         text = F.coalesce("text", F.lit(""))
         return own.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
-    return map_arrow(own, "doc_id long, n_bytes long, digest binary, text string", _digests, path)
+    return map_arrow(own, "doc_id long, n_bytes long, digest binary, text string", _digests, source)
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, *, tokenizer: str | None = None, cache: str | None = None, limit: int = 512) -> DataFrame:
@@ -60,28 +69,40 @@ def count_tokens(spark: SparkSession, docs: DataFrame, *, tokenizer: str | None
 
     ``cache`` is the folder of the cache table; a new, empty one if None.
     """
-    path = tokenizer or public_path("byte_bpe_50k.json")
-    version = encoder(path).version
+    source = Source(spark, tokenizer or public_path("byte_bpe_50k.json"))
+    version = source.encoder().version
     cache = cache or new_path(spark, "token_cache")
     scratch = Scratch(spark)
-    full = _digested(docs, path)
+    full = _digested(docs, source)
     rows = scratch.write(full.drop("text"), "digests")
+    digests = scratch.write(rows.groupBy("digest").agg(F.count("*").alias("many")), "digests")
     try:
         spark.read.schema(CACHE_SCHEMA).parquet(cache).limit(1).collect()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first")).join(known, "digest", "left_anti")
-    misses = full.alias("d").join(first.alias("f"), (F.col("d.doc_id").eqNullSafe(F.col("f.first"))) & (F.col("d.digest") == F.col("f.digest")), "left_semi").select("digest", "text")
-    # rows that repeat both doc_id and text are encoded alike and stored once
-    counted = map_arrow(misses, CACHE_SCHEMA, _encode, path).groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens"))
-    before = spark.conf.get(Scratch.CLEAN, "false")
-    spark.conf.set(Scratch.CLEAN, "true")
-    try:
-        counted.write.mode("append").option("compression", "zstd").parquet(cache)
-    finally:
-        spark.conf.set(Scratch.CLEAN, before)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+    def stored() -> DataFrame:
+        rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
+        return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+    misses = scratch.write(digests.join(stored(), "digest", "left_anti").select("digest"), "misses")
+    if n := misses.count():
+        texts = full.select("digest", "text")
+        if n <= MOST_BROADCAST:
+            texts = texts.join(F.broadcast(misses), "digest", "left_semi")
+        # equal digests have equal texts, which are put together where they are read, before they are shuffled
+        texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
+        if n > MOST_BROADCAST:
+            texts = texts.join(misses, "digest", "left_semi")
+        before = spark.conf.get(Scratch.CLEAN, "false")
+        spark.conf.set(Scratch.CLEAN, "true")
+        try:
+            map_arrow(texts, CACHE_SCHEMA, _encode, source).write.mode("append").option("compression", "zstd").parquet(cache)
+        finally:
+            spark.conf.set(Scratch.CLEAN, before)
+    counted = scratch.write(digests.join(stored(), "digest"), "counted")
+    scratch.drop(digests, misses)  # the result reads rows and counted
+    out = join_hot(rows, counted, "digest", rows.count())
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

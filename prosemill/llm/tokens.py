@@ -7,6 +7,7 @@ import hashlib
 import json
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 #: The splitting pattern of byte-level BPE files that set use_regex.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,12 +28,10 @@ class Encoder:
     added token's string, or that tiktoken refuses, go to tokenizers.
     """
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            raw = f.read()
-        self.version = hashlib.sha256(path.rsplit("/", 1)[-1].encode() + b"\0" + raw).hexdigest()
+    def __init__(self, name: str, raw: bytes):
+        self.version = hashlib.sha256(name.encode() + b"\0" + raw).hexdigest()
         self.quick, self.added, self.pieces = None, [], None
-        if path.endswith(".model"):
+        if name.endswith(".model"):
             import sentencepiece
 
             self.pieces = sentencepiece.SentencePieceProcessor(model_proto=raw)
@@ -97,9 +96,30 @@ class Encoder:
         return self.full.normalizer.normalize_str(text)
 
 
-@functools.lru_cache(maxsize=4)
+_known: dict[str, Encoder] = {}
+
+
+class Source:
+    """A tokenizer file's bytes, read by the driver and broadcast: executors need no path of the driver's."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        with open(path, "rb") as f:
+            raw = f.read()
+        self.name = path.rsplit("/", 1)[-1]
+        self.digest = hashlib.sha256(self.name.encode() + b"\0" + raw).hexdigest()
+        self.raw = spark.sparkContext.broadcast(raw)
+
+    def encoder(self) -> Encoder:
+        if self.digest not in _known:
+            if len(_known) > 3:
+                _known.clear()
+            _known[self.digest] = Encoder(self.name, self.raw.value)
+        return _known[self.digest]
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    with open(path, "rb") as f:
+        return Encoder(path.rsplit("/", 1)[-1], f.read())
 
 
 def public_path(name: str) -> str:
