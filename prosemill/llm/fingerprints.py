@@ -180,7 +180,8 @@ def fingerprint_pairs(spark: SparkSession, docs: DataFrame, *, ranges: int | Non
     seats = F.array(F.struct(part.alias("part"), F.lit(False).alias("guest")))
     more = F.when(F.col("_host").isNotNull(), F.array(F.struct(F.col("_host").alias("part"), F.lit(True).alias("guest")))).otherwise(F.array().cast("array<struct<part:int,guest:boolean>>"))
     seated = docs.join(F.broadcast(host), F.col("doc_id") == F.col("_top"), "left").select("doc_id", "text", F.explode(F.concat(seats, more)).alias("s")).select("s.part", "s.guest", "doc_id", "text")
-    dealt = seated.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
+    # range numbers are partition numbers: hashes of so few would meet in some partitions and leave others empty
+    dealt = seated.repartitionById(max(1, max(order, default=0) + 1), "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
     return map_arrow(dealt, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", _pairs)
 
 
