@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The rates go to every task only up to this many sources; beyond it they are joined by shuffle.
 MOST_BROADCAST = 100_000
 MOST_RATE = 500.0
@@ -56,7 +58,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, size: float)
         n = n.withColumn("w", F.lit(1.0))
     else:
         w = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, w double")
-        n = n.join(w.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+        n = n.join(w.withColumnRenamed("source", "given"), F.col("source").eqNullSafe(F.col("given")), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
     total = n.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     rate = F.col("w") / F.lit(total["w"] or None).cast("double") * F.lit(float(total["n"] or 0)) * F.lit(float(size)) / F.col("n")
     r = n.select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
@@ -68,12 +70,13 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str | None, float
     """All columns of docs, and copy (from 0), n_copies, mix_rate, mix_key; ``size`` is the mix's size over the corpus'."""
     r = rates(docs, weights, size)
     own = {"copy", "n_copies", "mix_rate", "mix_key"}
-    docs = docs.select(*(c for c in docs.columns if c not in own))
-    r = r.select(F.col("source").alias("_mix_source"), F.col("rate").alias("mix_rate"), F.col("most").alias("_mix_most"))
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in own))
+    of, most = fresh("mix_source", docs.columns), fresh("mix_most", docs.columns)
+    r = r.select(F.col("source").alias(of), F.col("rate").alias("mix_rate"), F.col("most").alias(most))
     n_sources = docs.select("source").distinct().count()
-    joined = docs.join(F.broadcast(r) if n_sources <= MOST_BROADCAST else r, F.col("source").eqNullSafe(F.col("_mix_source")))
-    counted = joined.withColumn("n_copies", copies(seed, F.col("doc_id"), F.col("mix_rate"), F.col("_mix_most")))
+    joined = docs.join(F.broadcast(r) if n_sources <= MOST_BROADCAST else r, F.col("source").eqNullSafe(F.col(of)))
+    counted = joined.withColumn("n_copies", copies(seed, F.col("doc_id"), F.col("mix_rate"), F.col(most)))
     kept = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
-    out = kept.withColumn("mix_key", key).drop("_mix_source", "_mix_most")
+    out = kept.withColumn("mix_key", key).drop(of, most)
     return out.orderBy("mix_key") if shuffle else out
