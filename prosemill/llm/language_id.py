@@ -16,7 +16,7 @@ LIKENESS times what all but LIKE_SHARE of the training texts reach with landmark
 than themselves.
 
 Training takes at most ``per_class`` texts of each language, those with the
-smallest hashes of their id, and of these ``landmarks`` are landmarks; both are
+smallest hashes of their id (rows that repeat an id count as one), and of these ``landmarks`` are landmarks; both are
 parameters.  Many languages give fewer each, but every language is learned.  Executors turn whole texts into sets, so a training text brings at
 most 2^14 numbers to the driver.  Scoring takes whole texts as well.
 
@@ -113,7 +113,7 @@ def _sets(batches):
     for b in batches:
         for i, j in pieces(b, "text"):
             sets = [np.unique(gram_ids(t)).astype("<u2").tobytes() for t in b.column("text")[i:j].to_pylist()]
-            yield {"lang": b.column("lang")[i:j], "u": b.column("u")[i:j], "doc_id": b.column("doc_id")[i:j], "grams": sets}
+            yield {"lang": b.column("lang")[i:j], "u": b.column("u")[i:j], "share": b.column("share")[i:j], "doc_id": b.column("doc_id")[i:j], "grams": sets}
 
 
 def train(sets: list[np.ndarray], labels: list[str], *, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -161,9 +161,12 @@ def fit(spark: SparkSession, docs: DataFrame, *, per_class: int = PER_CLASS, lan
         landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(sizes)))
         # about 1.5 per_class rows of a language pass the threshold, whatever its size, and one at least
         share = spark.createDataFrame([(r["lang"], max(r["least"], min(1.0, 1.5 * per_class / r["n"]))) for r in sizes], "lang string, share double")
-        few = pool.select("lang", rank.alias("u"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(share), "lang").where("u <= share").drop("share")
+        few = pool.select("lang", rank.alias("u"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(share), "lang").where("u <= share")
+        # rows that repeat a doc_id count as one; the order settles which rows are taken, wherever they lie
+        few = few.groupBy("lang", "doc_id").agg(F.min("u").alias("u"), F.min("share").alias("share"), F.min("text").alias("text"))
+        few = map_arrow(few, "lang string, u double, share double, doc_id long, grams binary", _sets)
         by: dict[str, list] = {}
-        for r in map_arrow(few, "lang string, u double, doc_id long, grams binary", _sets).limit(2 * per_class * len(sizes)).collect():
+        for r in few.orderBy(F.col("u") / F.col("share"), "lang", "doc_id").limit(2 * per_class * len(sizes)).collect():
             by.setdefault(r["lang"], []).append((r["u"], r["doc_id"], bytes(r["grams"])))
         for lang in sorted(by):
             for _, _, grams in sorted(by[lang])[:per_class]:
