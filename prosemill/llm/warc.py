@@ -7,19 +7,24 @@ record id, their number, and on the last one the total length.  Of equal
 payloads of at least ``least`` bytes the smallest id is a response, the others
 are revisits with headers only.  Archives are gzip files of plain WARC
 records, written by Spark's text writer (a record's last byte is its line
-feed), so any file system that Spark knows will do.
+feed), so any file system that Spark knows will do.  The records are put
+together to lines of LINE_BYTES or one page, and a file takes FILE_LINES of
+them, so an archive's size is bounded.
 
 Reading.  Archive files are parsed record by record; whole records go straight
 on.  Segments are shuffled by origin id, ordered by number within each origin,
 checked for gaps and against the total length, joined, and the chunk framing is
-decoded.  Only segments move; a record's group is one HTTP message.
+decoded.  Only segments move; a record's group is one HTTP message.  A revisit's
+payload is that of the response it names, so its length and digest are held
+against that response's.
 
 Defined results: null text is an empty payload; rows that repeat an id each get
 a record, the first of equal ones being the response (ties by nothing else
 matter: their payloads are equal); a row with a null id is written without a
 page id header and comes back with a null id; extra columns are ignored; an
 empty table gives an empty one; a damaged message (missing segment, wrong
-length, broken chunk) comes back with ``damage`` set and a null payload.
+length, broken chunk, no response) comes back with ``damage`` set and a null
+payload.
 """
 
 from __future__ import annotations
@@ -32,9 +37,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, new_path, pieces
+from .common import Scratch, join_hot, map_arrow, new_path, pieces
 
 SEGMENT, CHUNK_BYTES = 16 << 10, 4 << 10
+LINE_BYTES, FILE_LINES = 1 << 20, 32
+#: Digests of repeated payloads (some 100 bytes each) are broadcast up to this many.
+MOST_BROADCAST = 200_000
 NS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 DATE = "2024-01-01T00:00:00Z"
 
@@ -97,6 +105,8 @@ def _write(batches, segment):
     from pyspark import TaskContext
 
     part, n = TaskContext.get().partitionId(), 0
+    held: list[bytes] = []
+    size = 0
     for b in batches:
         for i, j in pieces(b, "html"):
             cols = [b.column(c)[i:j].to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")]
@@ -104,8 +114,15 @@ def _write(batches, segment):
             for page_id, url, html, digest, refers in zip(*cols, strict=True):
                 raw = page_records(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers, f"{part}-{n}", segment)
                 n += 1
-                out.append(raw[:-1])  # the writer adds the last line feed
-            yield {"value": out}
+                if held and size + len(raw) > LINE_BYTES:
+                    out.append(b"".join(held)[:-1])  # the writer adds the last line feed
+                    held, size = [], 0
+                held.append(raw)
+                size += len(raw)
+            if out:
+                yield {"value": out}
+    if held:
+        yield {"value": [b"".join(held)[:-1]]}
 
 
 def parse(raw: bytes):
@@ -214,10 +231,15 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, *, least: i
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
     first = pages.where((F.col("n") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1")
-    ids = pages.where(F.col("n") >= least).select("page_id", "digest").join(first, "digest").where("page_id <> first").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
-    rows = pages.join(ids, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
+    first = Scratch(spark).write(first, "repeated")
+    if first.count() <= MOST_BROADCAST:
+        rows = pages.join(F.broadcast(first.drop("many")), "digest", "left")
+    else:
+        rows = join_hot(pages, first, "digest", pages.count(), "left")
+    refers = F.when((F.col("n") >= least) & (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to")
+    rows = rows.select("page_id", "url", "html", "digest", refers)
     out = map_arrow(rows, "value binary", _write, segment)
-    out.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", 5_000).text(path)
+    out.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = True) -> DataFrame:
@@ -226,7 +248,23 @@ def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = True)
     records = map_arrow(files, RECORDS, _records)
     whole = map_arrow(records.where("number is null"), MESSAGES, _whole, keep_payload)
     parts = records.where("number is not null").repartition("origin").sortWithinPartitions("origin", "number")
-    return whole.unionByName(map_arrow(parts, MESSAGES, _joined, keep_payload))
+    messages = whole.unionByName(map_arrow(parts, MESSAGES, _joined, keep_payload))
+    if not keep_payload:
+        messages = Scratch(spark).write(messages, "messages")
+    return _held_against_responses(messages)
+
+
+def _held_against_responses(messages: DataFrame) -> DataFrame:
+    """messages, with damage where a revisit's response is missing or another; each distinct claim is looked up once."""
+    claim = ["refers_to", "payload_bytes", "payload_digest"]
+    revisits = messages.where("record_type = 'revisit' and damage is null")
+    there = messages.where("record_type = 'response' and damage is null").select(F.col("page_id").alias("refers_to"), *claim[1:])
+    wrong = revisits.select(*claim).distinct().join(there, claim, "left_anti").select(*(F.col(c).alias(f"_{c}") for c in claim), F.lit("no response").alias("_wrong"))
+    same = F.lit(True)
+    for c in claim:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = messages.join(wrong, same & (F.col("record_type") == "revisit"), "left")
+    return out.select(*(F.coalesce("damage", "_wrong").alias(c) if c == "damage" else c for c in messages.columns))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, *, path: str | None = None, keep_payload: bool = False) -> DataFrame:

@@ -139,6 +139,32 @@ def test_warc_round_trip(spark, pages):
     assert round_trip(spark, df.where("false")).count() == 0
 
 
+def test_revisits_need_their_response(spark, tmp_path):
+    from prosemill.llm import warc
+
+    digest = hashlib.sha256(b"p" * 200).hexdigest()
+    there = warc.page_records(1, None, b"p" * 200, digest, None, "a", 4_096)
+    (tmp_path / "a.warc").write_bytes(there + b"".join(warc.page_records(k, None, p, hashlib.sha256(p).hexdigest(), of, "a", 4_096) for k, p, of in ((2, b"p" * 200, 1), (3, b"q" * 200, 1), (4, b"p" * 200, 9))))
+    for keep in (True, False):
+        got = {r.page_id: r.damage for r in warc.read_archives(spark, str(tmp_path), keep_payload=keep).collect()}
+        assert got == {1: None, 2: None, 3: "no response", 4: "no response"}
+
+
+def test_archives_are_cut_by_size(spark, tmp_path, monkeypatch):
+    from prosemill.llm import common, warc
+
+    monkeypatch.setattr(warc, "FILE_LINES", 1)
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = random.Random(2)
+    page = "".join(rng.choices("abcdefgh", k=400_000))
+    df = spark.createDataFrame([(k, None, page[: -(k % 3) - 1]) for k in range(12)] + [(40 + k, None, page) for k in range(9)] + [(60, None, None)], "page_id long, url string, html string").repartition(1)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(spark, df, path=str(tmp_path / "w")).collect()}
+    want = {k: ("response", None, 399_999 - k) if k < 3 else ("revisit", k % 3, 399_999 - k % 3) for k in range(12)}
+    assert got == want | {40 + k: ("revisit", 40, 400_000) if k else ("response", None, 400_000) for k in range(9)} | {60: ("response", None, 0)}
+    assert len(list((tmp_path / "w").glob("part-*"))) > 1
+
+
 def test_warc_damage(spark, tmp_path):
     from prosemill.llm import warc
 

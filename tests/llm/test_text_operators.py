@@ -231,6 +231,43 @@ def test_language_id(spark, rows, docs, empty):
     assert {r.lang_pred for r in identify(spark, nothing).collect()} == {"und"}
 
 
+def test_kernel_scores_against_sets():
+    """Kernel, landmarks and class values from Python sets and a dense solve."""
+    import numpy as np
+    from prosemill.llm import language_id as li
+
+    rng = random.Random(9)
+    sample = [("".join(rng.choices(s, k=40)), name) for _ in range(12) for name, s in (("a", "abcde fgh"), ("b", "abc xyz uvw"), ("c", "mnopq abc"))]
+
+    def grams(t):
+        return set(li.gram_ids(t).tolist())
+
+    # blended spectrum: the numbers of all n-grams of one to four letters, and of nothing else
+    t = sample[0][0]
+    assert len(li.gram_ids(t)) == sum(len(t) - n + 1 for n in range(1, 5))
+    assert grams(t) == set().union(*(li.gram_ids(t[k : k + n])[-1:].tolist() for n in range(1, 5) for k in range(len(t) - n + 1)))
+
+    def kernel(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    sets = [grams(t) for t, _ in sample]
+    model = li.train([np.array(sorted(s)) for s in sets], [c for _, c in sample], landmarks=5)
+    marks = [s for c in "abc" for s in [s for s, (_, d) in zip(sets, sample) if d == c][:5]]
+    low = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(low)
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    phi = np.array([[kernel(s, m) for m in marks] for s in sets]) @ root
+    phi = np.c_[phi, np.ones(len(phi))]
+    target = np.array([[1.0 if d == c else -1.0 for c in "abc"] for _, d in sample])
+    solved = np.linalg.solve(phi.T @ phi + li.RIDGE * len(phi) * np.diag([1.0] * (phi.shape[1] - 1) + [1e-6]), phi.T @ target)
+    fresh = ["".join(rng.choices(s, k=30)) for s in ("abcde fgh", "abc xyz uvw", "mnopq abc")]
+    want = np.c_[np.array([[kernel(grams(t), m) for m in marks] for t in fresh]) @ root, np.ones(3)] @ solved
+    assert np.allclose(model.values(fresh), want, atol=1e-3)
+    names, scores = model.predict(fresh)
+    assert names == ["abc"[k] for k in want.argmax(1)] and np.allclose(scores, np.clip((want.max(1) + 1) / 2, 0, 1), atol=1e-3)
+
+
 def test_language_id_accuracy(spark):
     from prosemill.llm.language_id import identify
 
@@ -271,6 +308,20 @@ def test_mixing(spark, rows, docs, empty):
     assert mix(spark, docs, weights={"s0": 0.0}).count() == 0
 
 
+def test_own_names_of_the_operators_may_be_taken(spark):
+    from prosemill.llm.line_dedup import dedup_lines
+    from prosemill.llm.mixing import mix
+
+    names = ["_doc", "_text", "_drop", "_n_lines", "_n_dropped", "_sha", "doc", "drop", "sha", "DROP_", "_mix_source", "_mix_most", "mix_source", "mix_most", "given", "n", "w", "rate", "most"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names)
+    docs = spark.createDataFrame([(k, "a line that all of them hold\nand one", "s", *range(len(names))) for k in range(3)], schema)
+    lines, mixed = dedup_lines(spark, docs), mix(spark, docs, size=4.0)
+    assert sorted((r.doc_id, r.n_dropped, r.text) for r in lines.collect()) == [(0, 0, "a line that all of them hold\nand one"), (1, 1, "and one"), (2, 1, "and one")]
+    for out in (lines, mixed, dedup_lines(spark, docs, digests=True).join(docs, "doc_id")):
+        rows = out.select(*names).collect()
+        assert rows and all(tuple(r) == tuple(range(len(names))) for r in rows)
+
+
 def test_mixing_at_high_rates(spark):
     from prosemill.llm.mixing import mix
 
@@ -298,6 +349,62 @@ def test_fingerprints(spark, rows, docs, empty):
     assert fingerprint_pairs(spark, empty).count() == 0
 
 
+def test_parse_against_its_definition():
+    """Runs, coin tossing on lists of bits, and local maxima, symbol by symbol, without arrays of the operator's."""
+    import numpy as np
+    from prosemill.llm import fingerprints as fp
+
+    def toss(labels, width):
+        out = []
+        for k, x in enumerate(labels):
+            left = labels[k - 1] if k else x ^ (2**width - 1)
+            at = next(b for b in range(width) if (x >> b) & 1 != (left >> b) & 1)
+            out.append(2 * at + ((x >> at) & 1))
+        return out
+
+    def mixed(x):
+        x &= 2**64 - 1
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % 2**64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def level(symbols, byte):
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        labels, width = [x for x, _ in runs], 8 if byte else 64
+        for _ in range(3 if byte else 4):
+            labels = toss(labels, width)
+            width = 8
+        assert max(labels) < 6 or len(labels) == 1 or not byte
+        starts = [k for k in range(len(labels)) if k == 0 or 0 < k < len(labels) - 1 and labels[k - 1] < labels[k] > labels[k + 1]]
+        names = []
+        for a, z in zip(starts, [*starts[1:], len(labels)]):
+            total = z - a
+            for k in range(a, z):
+                x, n = runs[k]
+                name = mixed((x + 1) * 0x9E3779B97F4A7C15) if byte else x
+                if n > 1:
+                    name = mixed(name + n * 0xD6E8FEB86659FD93)
+                total += name * (mixed(1000 + (k - a) % 256) | 1)
+            names.append(mixed(total))
+        return names
+
+    rng = random.Random(4)
+    texts = [words(rng, n).encode() for n in (1, 3, 60, 300)] + [b"a", b"ab", b"aaaa", b"aabbaabb" * 9, bytes(range(256)), "한글 ☃ ß".encode() * 5]
+    symbols, starts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts[:-1]])
+    slow = [list(t) for t in texts]
+    for k in range(fp.LEVELS):
+        symbols, starts = fp.parse(symbols, starts)
+        slow = [level(s, k == 0) for s in slow]
+        assert [p.tolist() for p in np.split(symbols, starts[1:])] == slow
+
+
 def test_fingerprint_is_local():
     from prosemill.llm.fingerprints import fingerprints, likeness
 
