@@ -239,8 +239,93 @@ def test_texts_of_no_learned_language_go(spark):
 def test_stage_keeps_columns_of_clashing_names(spark):
     import corpus_pipeline as p
 
-    docs = spark.createDataFrame([(1, "some words of text here\nand a line", "en", "s", 30, 1.5, "x", True), (2, "other words altogether\nand a line", "en", "s", 30, 2.5, "y", False)], "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, kept boolean")
+    names = "score lang_pred likeness kept n_lines n_dropped kept_sha256 copy n_copies mix_rate mix_key _doc _mix_source column_5 Component_ID n_shingles mark drop".split()
+    schema = "doc_id long, text string, " + ", ".join(f"{c} int" for c in names) + ", lang string, source string, n_chars long"
+    texts = ["some words of text here\nand a line", "other words altogether\nand a line"]
+    docs = spark.createDataFrame([(k, t, *(10 * c + k for c in range(len(names))), "en", "s", 30) for k, t in enumerate(texts)], schema)
     for _, stage in p.STAGES[:-1]:
         out = stage(spark, docs, "unused")
         assert out.columns == docs.columns
-        assert all(r.score in (1.5, 2.5) and r.lang_pred in ("x", "y") for r in out.collect())
+        rows = out.collect()
+        assert rows and all(tuple(r)[2:-3] == tuple(10 * c + r.doc_id for c in range(len(names))) for r in rows)
+
+
+def test_pipeline_against_brute_force(spark):
+    """The whole run on a small table, each stage's decisions made anew row by row."""
+    import math
+    import zlib
+
+    import corpus_pipeline as p
+    from prosemill.llm import language_id as li
+    from prosemill.llm.tokens import public_path
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(tuple(r) for r in docs.select("doc_id", "text", "source").collect())
+    model = li.fit(spark, docs)
+    step = [r for r in rows if r[1] and any(map(str.isalpha, r[1])) and model.judge([r[1]])[2][0] >= model.least]
+
+    def key(line):
+        k = line.strip(" \t\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+        return k if len(k) >= 10 else None
+
+    holders = {}
+    for d, t, _ in step:
+        for x in t.split("\n"):
+            holders.setdefault(key(x), set()).add(d)
+    lines = []
+    for d, t, s in step:
+        kept = "\n".join(x for x in t.split("\n") if key(x) is None or d == min(holders[key(x)]))
+        if kept == t or kept.strip(" "):
+            lines.append((d, kept, s))
+
+    sets = {}
+    for d, t, _ in lines:
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    near = [r for r in lines if find(r[0]) == r[0]]
+
+    n = {}
+    for _, _, s in near:
+        n[s] = n.get(s, 0) + 1
+    tok = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    want = []
+    for d, t, s in near:
+        rate = len(near) / len(n) / n[s]
+        u = int(hashlib.md5(f"17|{d}".encode()).hexdigest()[:12], 16) / 2**48
+        k, q = 0, math.exp(-rate)
+        c = q
+        while c <= u:
+            k += 1
+            q *= rate / k
+            c += q
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 1_024 or 1_024, len(ids), 1_024), len(ids)]
+        want += k * [(d, j, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())) for j, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+    got = p.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    assert len(rows) >= len(step) > len(near) > 0
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 1_024
+    assert len(bins) <= sum(r.length for r in got) / 1_024 * 1.05 + 2
