@@ -30,6 +30,8 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -315,13 +317,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 5, least:
     rows = _spread(inner.join(mixed, "key")).join(info, "doc")
     asked = map_arrow(_dealt(rows), rows.schema, _in_question, least, of)
     asked = scratch.write(asked, "asked")
+    edges = [scratch.write(_same_document(able, classes), "repeats")]
     if not asked.isEmpty():
         # rows that repeat both doc_id and text bring a text twice
         full = asked.join(texts.dropDuplicates(["node"]).withColumnRenamed("node", "doc"), "doc")
-        links = links.unionByName(scratch.write(map_arrow(_dealt(full), "u long, v long", _confirm_blocks, k, least, of), "links"))
-    several = scratch.write(_same_document(able, classes), "repeats")
-    if not asked.isEmpty() or not several.isEmpty():
-        comps = scratch.write(components(spark, links.unionByName(several)), "components")
+        edges.append(scratch.write(map_arrow(_dealt(full), "u long, v long", _confirm_blocks, k, least, of), "links"))
+    if not all(e.isEmpty() for e in edges):
+        comps = scratch.write(components(spark, reduce(DataFrame.unionByName, edges, links)), "components")
 
     named = classes.select("node", "digest", "rep", "many").join(comps, "node")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -330,7 +332,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 5, least:
     ids = able.select("doc_id", "digest")
     far = join_hot(ids, linked.unionByName(single), "digest", sketch.count()).where("doc_id <> component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     far = scratch.write(far, "components")
-    scratch.drop(member, texts, links, asked, several, classes, linked)  # the result reads none of them
+    scratch.drop(member, texts, links, asked, classes, linked, *edges)  # the result reads none of them
 
     out = sketch.select("doc_id", "n_shingles").join(far, "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
