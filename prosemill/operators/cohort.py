@@ -37,14 +37,22 @@ def first_reason(reasons: list[tuple[str, Column]]) -> Column:
 
 
 def select(articles: DataFrame, reasons: list[tuple[str, Column]], *, author: str = "author", by: list[str] = (), order: list[str] = ("date", "id"), most: int = PER_AUTHOR) -> DataFrame:
-    """articles with reason and included: the first reason that holds, then at most ``most`` of a named author in order."""
+    """articles with reason and included: the first reason that holds, then at most ``most`` of a named author in order.
+
+    ``by`` and ``order`` together name an article.
+    """
     a = articles.withColumn("reason", first_reason(reasons) if reasons else F.lit(None).cast("string"))
     named = F.coalesce(F.trim(F.split(author, ",")[0]), F.lit(""))
     counts = F.col("reason").isNull() & (named != "")
-    w = Window.partitionBy(*by, counts, named).orderBy(*order)
-    over = counts & (F.row_number().over(w) > most)
-    a = a.withColumn("_over", over)
-    return a.withColumn("reason", F.when(F.col("_over"), f"more than {most} of an author").otherwise(F.col("reason"))).drop("_over").withColumn("included", F.col("reason").isNull())
+    # the rank is a limit of each group, which Spark applies before it deals rows: no task gets all rows of an author
+    w = Window.partitionBy(*by, "_author").orderBy(*order)
+    first = a.where(counts).select(*by, *order, named.alias("_author")).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most)
+    first = first.select(*(F.col(c).alias(f"_{c}") for c in (*by, *order)), F.lit(True).alias("_first"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, *order)))
+    a = a.join(first, same & counts, "left")
+    over = counts & F.col("_first").isNull()
+    a = a.withColumn("reason", F.when(over, f"more than {most} of an author").otherwise(F.col("reason")))
+    return a.drop("_first", *(f"_{c}" for c in (*by, *order))).withColumn("included", F.col("reason").isNull())
 
 
 # Reasons to leave an article out, in the order in which they are asked.

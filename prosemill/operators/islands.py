@@ -14,3 +14,19 @@ def runs(df: DataFrame, by: list[str], order: str, key: Column, least: int, carr
     df = df.withColumn("_new", new).withColumn("_run", F.sum(F.col("_new").cast("int")).over(w))
     got = df.where(F.col("_key").isNotNull()).groupBy(*by, "_run").agg(F.first("_key").alias("key"), F.count("*").alias("n"), F.min(order).alias("first"), *(c.alias(k) for k, c in carry.items()))
     return got.where(F.col("n") >= least).drop("_run")
+
+
+def following(df: DataFrame, by: str, order: str, value: str, *, ranges: int = 64) -> DataFrame:
+    """df with ``next``: the value of the row that follows within ``by`` in ``order``, a number without repeats.
+
+    The order is cut into ranges, and each range gets the first row of the next
+    one from a table of first rows, so no task holds all rows of a group.
+    """
+    cuts = sorted(set(df.where(F.col(order).isNotNull()).approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.1 / ranges)))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    df = df.withColumn("_range", at)
+    firsts = df.groupBy(by, "_range").agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_first"))
+    ahead = firsts.withColumn("_ahead", F.lead("_first").over(Window.partitionBy(by).orderBy("_range"))).select(F.col(by).alias("_by"), F.col("_range").alias("_of"), "_ahead")
+    own = df.withColumn("_next", F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(by, "_range").orderBy(order)))
+    out = own.join(ahead, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")), "left")
+    return out.withColumn("next", F.coalesce("_next", "_ahead")["v"]).drop("_range", "_next", "_by", "_of", "_ahead")

@@ -12,6 +12,8 @@ EVENT = (
     "item struct<type:string, command:string, exit_code:int, message:string>"
 )
 USAGE = ("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
+#: Fixed value: the title of what stands before the first heading.
+OPENING = "(도입)"
 LOAD_ERROR = r"Skill `[^`]+` exceeded the main prompt context limit and was truncated\.|Failed to load skill[^\r\n]*"
 
 
@@ -127,7 +129,30 @@ def sections(docs: DataFrame) -> DataFrame:
     opens = (F.col("_fence") == 0) & F.col("line").rlike(r"(?U)^##\s+(.*?)\s*#*\s*$")
     lines = lines.withColumn("_title", F.when(opens, F.trim(head))).withColumn("nth", F.sum(opens.cast("int")).over(w))
     body = F.transform(F.array_sort(F.collect_list(F.when(F.col("_title").isNull(), F.struct("i", "line")))), lambda x: x["line"])
-    return lines.groupBy("doc_id", "nth").agg(F.coalesce(F.max("_title"), F.lit("(도입)")).alias("title"), F.trim(F.concat_ws("\n", body), F.lit("\n ")).alias("body"))
+    return lines.groupBy("doc_id", "nth").agg(F.coalesce(F.max("_title"), F.lit(OPENING)).alias("title"), F.trim(F.concat_ws("\n", body), F.lit("\n ")).alias("body"))
+
+
+def changed_sections(pairs: DataFrame) -> DataFrame:
+    """pair_id, nth, title, before, after of pairs(pair_id, before, after): sections whose words differ.
+
+    Texts with the same titles in the same order match by place, others by
+    title, where the last of equal titles in ``after`` counts.
+    """
+    def side(c: str) -> DataFrame:
+        own = sections(pairs.select(F.col("pair_id").alias("doc_id"), F.col(c).alias("text")))
+        # what stands before the first heading is a section even if it is empty
+        opening = pairs.select(F.col("pair_id").alias("doc_id"), F.lit(0).cast("long").alias("nth"), F.lit(OPENING).alias("title"), F.lit("").alias("body"))
+        return own.unionByName(opening.join(own.where("nth = 0").select("doc_id"), "doc_id", "left_anti"))
+
+    b, a = side("before"), side("after")
+    titles = lambda d, name: d.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "title"))), lambda x: x["title"]).alias(name))
+    same = titles(b, "t").join(titles(a, "u"), "doc_id").select("doc_id", (F.col("t") == F.col("u")).alias("same"))
+    b = b.join(same, "doc_id")
+    placed = b.where("same").join(a.select("doc_id", "nth", F.col("body").alias("after")), ["doc_id", "nth"])
+    last = a.groupBy("doc_id", "title").agg(F.max_by("body", "nth").alias("after"))
+    named = b.where("not same").join(last, ["doc_id", "title"])
+    cols = (F.col("doc_id").alias("pair_id"), "nth", "title", F.col("body").alias("before"), "after")
+    return placed.select(*cols).unionByName(named.select(*cols)).where(squeezed(F.col("before")) != squeezed(F.col("after")))
 
 
 def grade(checks: DataFrame, answers: DataFrame, files: DataFrame, calls: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,7 +124,7 @@ def declared(word: Column) -> Column:
     return F.when(ok, word)
 
 
-def features(u: DataFrame, rules=RULES) -> DataFrame:
+def features(u: DataFrame, rules=RULES, *, short: bool = False) -> DataFrame:
     """Labelled units as narrow rows: flags and numbers that metrics sum up, and text only where a metric needs it.
 
     All of it is made before units are dealt by document, so what is dealt is
@@ -168,18 +168,20 @@ def features(u: DataFrame, rules=RULES) -> DataFrame:
         "f_emoji": (heads | prose) & text.rlike(EMOJI), "f_semicolon": prose & ~c("in_refs") & F.regexp_replace(text, H.PLACEHOLDER, "").contains(";"),
         "n_emdash": some(marked & ~in_list, marks(EM_DASH) + marks(SPACED_HYPHEN)), "n_policy": some(marked, F.when(in_list, marks(DIGIT_RANGE)).otherwise(marks(POLICY_MARKS))),
         "f_question": body & c("question"), "f_beyond": heads & any_of(masked, by_id(rules)["G8.beyond_simple"].patterns) if "G8.beyond_simple" in hit else F.lit(False),
-        "f_off_default": _off_tone("HAPNIDA", "default"), "f_off_casual": _off_tone("HAEYO", "casual"), "f_banned": _judged() & H.ends(c("word"), H.BANNED),
+        "f_off_default": _off_tone("HAPNIDA", "default", short), "f_off_casual": _off_tone("HAEYO", "casual"), "f_banned": _judged() & H.ends(c("word"), H.BANNED),
         "decl": some(in_para, declared(c("_plain"))), "title_text": some(heads, text), "title_masked": some(heads, masked),
     }
     quoted = hit.get("A14.quoted_english_token", F.lit(False))
     out |= {f"r_{i}": hit[r.id] & ~quoted if r.id in REPORT_RULES else hit[r.id] for i, r in enumerate(rules)}
-    keep = ("doc_id", "pos", "block", "line", "level", "list_id", "depth", "para", "cls", "bucket")
+    keep = ["doc_id", "pos", "block", "line", "level", "list_id", "depth", "para", "cls", "bucket"]
+    if "more" in u.columns:
+        keep.append("more")
     return u.select(*keep, *(v.alias(k) for k, v in out.items()))
 
 
-def prepared(docs: DataFrame, rules=RULES, **params) -> DataFrame:
+def prepared(docs: DataFrame, rules=RULES, *, parsed: DataFrame | None = None, short: bool = False, **params) -> DataFrame:
     """Features with what neighbours bring, from one window order."""
-    u = settled(features(labelled(units(docs, **params)), rules))
+    u = settled(features(labelled(units(docs, **params) if parsed is None else parsed), rules, short=short))
     w = Window.partitionBy("doc_id").orderBy("pos")
     c = F.col
     same_block = lambda shift: shift("block").over(w) == c("block")
@@ -220,6 +222,8 @@ def wide(docs: DataFrame, rules=RULES, **params) -> DataFrame:
         "off_default": count("f_off_default"), "off_casual": count("f_off_casual"), "banned": count("f_banned"),
     }
     aggs |= {f"r_{i}": count(f"r_{i}") for i in range(len(rules))}
+    if "more" in u.columns:
+        aggs["more"] = F.first("more", ignorenulls=True)
     return u.groupBy("doc_id").agg(*(v.alias(k) for k, v in aggs.items()))
 
 
@@ -228,10 +232,15 @@ def _judged() -> Column:
     return F.col("body") & ~F.col("cls").isin("NOUN", "OTHER") & ~F.col("in_refs")
 
 
-def _off_tone(cls: str, tone: str) -> Column:
+def _off_tone(cls: str, tone: str, short: bool = False) -> Column:
+    """Sentences of another tone; in short texts a formal one may ask with "-seyo" and "-ingayo"."""
+    word, asked = F.col("word"), F.rtrim("text").endswith("?")
     listed = (F.col("cls") == "NOMINAL") & (F.col("type") != "paragraph")
     off = _judged() & ~listed & ~F.col("cls").isin(cls, "Q_KKAYO")
-    return off & ~H.ends(F.col("word"), H.BANNED) if tone == "casual" else off
+    if tone == "casual":
+        return off & ~H.ends(word, H.BANNED)
+    # fixed values: endings of requests and of questions
+    return off & ~F.when(asked, word.endswith("인가요")).otherwise(word.endswith("세요")) if short else off
 
 
 def tone(w: DataFrame) -> Column:
@@ -282,17 +291,20 @@ def values(rules=RULES) -> dict[str, Column]:
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def py_round(value: pd.Series, places: pd.Series) -> pd.Series:
-    """Rounding half to even on the exact binary value, which no built-in function does."""
-    return pd.Series([None if pd.isna(v) else float(round(v, int(p))) for v, p in zip(value, places, strict=True)])
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def py_round(values: pa.Array, places: pa.Array) -> pa.Array:
+    """Arrays rounded half to even on the exact binary value, which no built-in function does; one call a batch of documents."""
+    out = [vs and [None if v is None else float(round(v, p)) for v, p in zip(vs, ps, strict=True)] for vs, ps in zip(values.to_pylist(), places.to_pylist(), strict=True)]
+    return pa.array(out, pa.list_(pa.float64()))
 
 
-def metrics(docs: DataFrame, rules=RULES, *, rounded: bool = True, given_tone: str | None = None, facts: str | None = None, more: DataFrame | None = None, **params) -> DataFrame:
+def metrics(docs: DataFrame, rules=RULES, *, rounded: bool = True, given_tone: str | None = None, facts: str | None = None, **params) -> DataFrame:
     """doc_id, metric_id, value, chars, tone: every metric of every document.
 
     Words of style whose stem stands in the document's fact sheet don't count.
-    ``more``(doc_id, more: array of metric_id and value) adds counts made elsewhere.
+    ``parsed`` takes units made elsewhere, with a column more (an array of
+    metric_id and value) on each document's first; ``short`` judges the tone as
+    that of a short text.
     """
     w = wide(docs, rules, **params)
     style = next((f"r_{i}" for i, r in enumerate(rules) if r.id == "A5.style_words"), None)
@@ -302,13 +314,14 @@ def metrics(docs: DataFrame, rules=RULES, *, rounded: bool = True, given_tone: s
         w = w.withColumn(style, F.size("stems").cast("long"))
     w = w.withColumn("tone", F.lit(given_tone) if given_tone else tone(w))
     named = F.array(*(F.struct(F.lit(k).alias("metric_id"), v.cast("double").alias("value"), F.lit(PLACES.get(k, 3)).alias("places")) for k, v in values(rules).items()))
-    if more is not None:
+    if "more" in w.columns:
         added = F.transform("more", lambda x: F.struct(x["metric_id"].alias("metric_id"), x["value"].alias("value"), F.lit(0).alias("places")))
-        w = w.join(more, "doc_id", "left")
         named = F.concat(named, F.coalesce(added, F.array().cast("array<struct<metric_id:string,value:double,places:int>>")))
-    long = w.select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), "tone", F.inline(named))
-    value = py_round("value", "places") if rounded else F.col("value")
-    return long.select("doc_id", "metric_id", value.alias("value"), "chars", "tone")
+    w = w.select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), "tone", named.alias("named"))
+    if rounded:
+        w = settled(w.withColumn("exact", py_round(F.transform("named", lambda x: x["value"]), F.transform("named", lambda x: x["places"]))))
+        w = w.withColumn("named", F.zip_with("named", "exact", lambda x, v: F.struct(x["metric_id"].alias("metric_id"), v.alias("value"))))
+    return w.select("doc_id", "chars", "tone", F.inline("named")).select("doc_id", "metric_id", "value", "chars", "tone")
 
 
 def stats(docs: DataFrame, rules=RULES, **params) -> DataFrame:

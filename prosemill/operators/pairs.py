@@ -76,13 +76,16 @@ def fidelity(pairs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     out = gone.unionByName(p.select("pair_id", F.inline(diffs)).select("pair_id", "metric_id", "value", none))
     if terms is None:
         return out.unionByName(p.select("pair_id", F.lit("F8.terms").alias("metric_id"), F.lit(0).alias("value"), none))
-    terms = terms.where("en <> '' and ko <> ''")
-    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        terms = F.broadcast(terms)
+    # a term meets the texts that hold its first run of Latin letters; terms without one meet all texts
+    terms = terms.where("en <> '' and ko <> ''").withColumn("word", F.lower(F.regexp_extract("en", "[A-Za-z]+", 0)))
     prose = F.regexp_replace(F.regexp_replace("source", FENCED, " "), SPAN, " ")
     escaped = F.concat(F.lit("\\Q"), F.col("en"), F.lit("\\E"))
     form = F.concat(F.when(F.col("en") == F.lower("en"), "(?i)").otherwise(""), F.lit("(?<![A-Za-z])"), escaped, F.lit("(?![A-Za-z])"))
-    wrong = p.select("pair_id", prose.alias("prose"), "target").join(terms, F.regexp_like("prose", form) & ~F.col("target").contains(F.col("ko")))
+    said = p.select("pair_id", prose.alias("prose"), "target")
+    words = F.array_union(F.array(F.lit("")), F.transform(F.regexp_extract_all("prose", F.lit("[A-Za-z]+"), F.lit(0)), F.lower))
+    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    met = said.select("pair_id", F.explode(words).alias("word")).join(F.broadcast(terms) if few else terms, "word")
+    wrong = said.join(met, "pair_id").where(F.regexp_like("prose", form) & ~F.col("target").contains(F.col("ko")))
     wrong = wrong.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.concat_ws(" → ", "en", "ko"))).alias("items"))
     eight = p.select("pair_id").join(wrong, "pair_id", "left").select("pair_id", F.lit("F8.terms").alias("metric_id"), F.coalesce(F.size("items"), F.lit(0)).alias("value"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.unionByName(eight)

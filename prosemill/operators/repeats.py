@@ -88,8 +88,10 @@ def _ordered(docs: DataFrame, **params) -> DataFrame:
     c = F.col
     u = _sentences(docs, **params)
     counts = (c("type") == "paragraph") | ~c("cls").isin("NOUN", "OTHER")
-    u = u.withColumn("counts", counts & ~c("in_refs")).withColumn("toks", H.tokens(c("masked")))
-    decl = F.when(c("type") == "paragraph", declared(F.ltrim(H.last_word(c("masked")), F.lit("*_~"))))
+    # words are made before what is read off them, or the generated code repeats them past what compiles
+    u = u.withColumn("counts", counts & ~c("in_refs")).withColumn("toks", H.tokens(c("masked"))).withColumn("_plain", F.ltrim(H.last_word(c("masked")), F.lit("*_~")))
+    u = settled(u.drop("raw", "bold", "depth", "level", "list_id", "para", "nth", "last"))
+    decl = F.when(c("type") == "paragraph", declared(c("_plain")))
     subject = F.get("toks", F.lit(0))
     u = u.withColumns({
         "decl": decl,

@@ -21,6 +21,7 @@ from prosemill.functions.plan import settled
 from prosemill.plans.rules import RULES, by_id
 
 from .metrics import metrics
+from .units import ARROW_UNITS, UNITS, exploded, rows_of
 
 ALWAYS = ("G10.num_particle", "A19.term_mix", "A20.species_first", "A20.term_in_list", "A20.abbr_first", "A18.bare_author", "A21.sseuda_senses", "A5.native_verbs", "A7.see_judgment")
 WITH_FACTS = ("A19.term_avoid", "A20.term_first", "A20.table_combined_row", "A20.untabled", "A15.unknown_numbers")
@@ -47,8 +48,8 @@ def numbers(text: str, bare_digits: bool) -> list[str]:
 class Article:
     """A document's units in the views that the metrics take."""
 
-    def __init__(self, text: str | None):
-        self.units = M.units(text)
+    def __init__(self, units: list[dict]):
+        self.units = units
         self.sentences = [u for u in self.units if u["kind"] == "sentence"]
         self.body = [u for u in self.sentences if not u["in_refs"]]
         self.korean = [u for u in self.body if HANGUL.search(u["masked"])]
@@ -131,7 +132,11 @@ class Article:
 
 
 def measure(text: str | None, facts: str | None, reports: list[re.Pattern]) -> dict[str, int]:
-    a = Article(text)
+    return measured(M.units(text), facts, reports)
+
+
+def measured(units: list[dict], facts: str | None, reports: list[re.Pattern]) -> dict[str, int]:
+    a = Article(units)
     described = K.described_terms(facts) if facts is not None else []
     inside = {m.group().lower() for d in described for m in K.LATIN_RUN.finditer(d)}
     listed = described + [r for r, n in a.runs.items() if n >= 2 and r not in inside]
@@ -161,29 +166,43 @@ def measure(text: str | None, facts: str | None, reports: list[re.Pattern]) -> d
     return {k: min(v, MOST.get(k, v)) for k, v in out.items()}
 
 
-_COUNTS = pa.list_(pa.struct([("metric_id", pa.string()), ("value", pa.float64())]))
+COUNTS = T.ArrayType(T.StructType().add("metric_id", T.StringType()).add("value", T.DoubleType()))
+_ARROW_COUNTS = pa.list_(pa.struct([("metric_id", pa.string()), ("value", pa.float64())]))
 
 
-def _counted(docs: DataFrame, rules, doc_id: str, text: str, facts: str | None) -> DataFrame:
-    """doc_id, more: each document's counts."""
+def _counted(docs: DataFrame, rules, doc_id: str, text: str, facts: str | None, *, with_units: bool) -> DataFrame:
+    """doc_id, more (the document's counts) and, with ``with_units``, _u (its units): one parse of each document."""
     found = by_id(rules)
     patterns = [p for k in REPORT_RULES if k in found for p in found[k].patterns]
+    kind = T.StructType().add("more", COUNTS).add("_u", UNITS) if with_units else T.StructType().add("more", COUNTS)
+    arrow = pa.struct([("more", _ARROW_COUNTS), *([("_u", ARROW_UNITS)] if with_units else [])])
 
-    @F.arrow_udf(T.ArrayType(T.StructType().add("metric_id", T.StringType()).add("value", T.DoubleType())))
+    @F.arrow_udf(kind)
     def count(texts: pa.Array, sheets: pa.Array) -> pa.Array:
         reports = [re.compile(p) for p in patterns]
-        pairs = zip(texts.to_pylist(), sheets.to_pylist(), strict=True)
-        return pa.array([[{"metric_id": k, "value": float(v)} for k, v in measure(t, s, reports).items()] for t, s in pairs], _COUNTS)
+        out = []
+        for t, s in zip(texts.to_pylist(), sheets.to_pylist(), strict=True):
+            units = M.units(t)
+            row = {"more": [{"metric_id": k, "value": float(v)} for k, v in measured(units, s, reports).items()]}
+            out.append(row | {"_u": rows_of(units)} if with_units else row)
+        return pa.array(out, arrow)
 
     sheet = F.col(facts) if facts else F.lit(None)
-    return docs.select(F.col(doc_id).alias("doc_id"), count(F.col(text), sheet.cast("string")).alias("more"))
+    made = docs.select(F.col(doc_id).alias("doc_id"), count(F.col(text), sheet.cast("string")).alias("_m"))
+    return settled(made).select("doc_id", "_m.*")
 
 
 def term_metrics(docs: DataFrame, rules=RULES, *, doc_id: str = "doc_id", text: str = "text", facts: str | None = None) -> DataFrame:
     """doc_id, metric_id, value."""
-    return settled(_counted(docs, rules, doc_id, text, facts)).select("doc_id", F.inline("more"))
+    return _counted(docs, rules, doc_id, text, facts, with_units=False).select("doc_id", F.inline("more"))
 
 
 def all_metrics(docs: DataFrame, rules=RULES, *, facts: str | None = None, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
-    """doc_id, metric_id, value, chars, tone: the aggregate's metrics and those of terms; doc_ids don't repeat."""
-    return metrics(docs, rules, facts=facts, more=_counted(docs, rules, doc_id, text, facts), doc_id=doc_id, text=text, **params)
+    """doc_id, metric_id, value, chars, tone: the aggregate's metrics and those of terms; doc_ids don't repeat.
+
+    A document's counts travel with its first unit, so both kinds of metrics
+    come of one parse and one exchange.
+    """
+    u = exploded(_counted(docs, rules, doc_id, text, facts, with_units=True), "more")
+    u = u.withColumn("more", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("more")))
+    return metrics(docs, rules, facts=facts, parsed=u, doc_id=doc_id, text=text, **params)

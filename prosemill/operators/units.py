@@ -21,18 +21,28 @@ UNIT = {
     "pos": _INT, "kind": _TEXT, "block": _INT, "type": _TEXT, "line": _INT, "level": _INT, "list_id": _INT, "depth": _INT, "section": _INT, "in_refs": _BOOL,
     "para": _INT, "nth": _INT, "last": _BOOL, "question": _BOOL, "after": _TEXT, "bold": _INT, "text": _TEXT, "masked": _TEXT, "raw": _TEXT,
 }
-_ARROW = pa.list_(pa.struct([(n, t[1]) for n, t in UNIT.items()]))
+UNITS = T.ArrayType(T.StructType([T.StructField(n, t[0]) for n, t in UNIT.items()]))
+ARROW_UNITS = pa.list_(pa.struct([(n, t[1]) for n, t in UNIT.items()]))
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, t[0]) for n, t in UNIT.items()])))
+def rows_of(found: list[dict]) -> list[dict]:
+    return [{n: u[n] for n in UNIT} for u in found]
+
+
+@F.arrow_udf(UNITS)
 def _units(text: pa.Array) -> pa.Array:
-    return pa.array([[{n: u[n] for n in UNIT} for u in markdown.units(t)] for t in text.to_pylist()], _ARROW)
+    return pa.array([rows_of(markdown.units(t)) for t in text.to_pylist()], ARROW_UNITS)
+
+
+def exploded(parsed: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns to keep, and a row for each unit of _u; one row of nulls for a document without any."""
+    return parsed.select("doc_id", *keep, F.explode_outer("_u").alias("_u")).select("doc_id", *keep, "_u.*")
 
 
 def units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to keep, and a row for each heading, block, table row and sentence."""
     parsed = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text")).select("doc_id", *keep, _units("_text").alias("_u"))
-    return parsed.select("doc_id", *keep, F.explode_outer("_u").alias("_u")).select("doc_id", *keep, "_u.*")
+    return exploded(parsed, *keep)
 
 
 def labelled(units: DataFrame) -> DataFrame:

@@ -239,9 +239,10 @@ select source, round(case when len(list_distinct(list_concat(coalesce(a, []), co
 def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard similarity of two label sets by source; two empty sets agree."""
     j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    ids = lambda c: F.collect_set(F.when(c, F.col("doc_id").cast("string")))
-    s = j.groupBy("source").agg(ids(F.col("quality") == 1).alias("a"), ids(F.col("toxic") == 0).alias("b"))
-    return s.select("source", F.round(logs.agreement(F.col("a"), F.col("b"))["jaccard"], 6).alias("jaccard"))
+    marked = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    d = j.groupBy("source", "doc_id").agg(marked(F.col("quality") == 1).alias("a"), marked(F.col("toxic") == 0).alias("b"))
+    s = d.groupBy("source").agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") | F.col("b")).alias("either"))
+    return s.select("source", F.round(F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(1.0), 6).alias("jaccard"))
 
 
 @query(
@@ -251,10 +252,9 @@ select doc_id, len(list_filter(a, lambda x: not list_contains(b, x)))::integer a
 )
 def lost_and_new_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of a document that its source's next one lacks, and the reverse: two anti-joins as array differences."""
-    w = Window.partitionBy("source").orderBy("doc_id")
     nums = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0)))
     d = table(spark, sf_dir, "documents").select("doc_id", "source", nums("text").alias("a"))
-    d = d.withColumn("b", F.lead("a").over(w)).where("b is not null")
+    d = islands.following(d, "source", "doc_id", "a").withColumnRenamed("next", "b").where("b is not null")
     return d.select("doc_id", F.size(F.array_except("a", "b")).alias("lost"), F.size(F.array_except("b", "a")).alias("new"))
 
 
@@ -306,15 +306,33 @@ def calibrated_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.calibrate(v, registry(spark, [_row("commas", "upper", pass_max=0.88)]), groups=("en", "de")).select("metric_id", "pass_max", "warn_max", "n")
 
 
+@query("select lang, source, count(*) as n from documents group by lang, source")
+def language_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each source has in each language."""
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
 @query(
-    """select lang, count(*) filter (where source = 'src0') as src0, count(*) filter (where source = 'src1') as src1, count(*) filter (where source = 'src2') as src2 from documents group by lang"""
+    "select * from (pivot (select lang, quality, l.doc_id from labels l join documents d on l.doc_id = d.doc_id) on quality in (0, 1) using count(doc_id) group by lang) t(lang, low, high)"
 )
-def language_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumnRenamed("source", "grp")
-    return cohort.by_group(d, ["src0", "src1", "src2"], F.count("doc_id"), rows="lang").na.fill(0)
+def language_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents of each language, a column for each quality."""
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("grp", F.col("quality").cast("string"))
+    return cohort.by_group(j, ["0", "1"], F.count("doc_id"), rows="lang").na.fill(0).withColumnsRenamed({"0": "low", "1": "high"})
+
+
+POISSON_SQL = """with recursive d as (select doc_id, n_chars * 0.245::double / 1000 as mean from documents),
+q(q, name) as (values (0.95::double, 'q950'), (0.995::double, 'q995')),
+s as (
+  select doc_id, name, q, mean, 0 as k, exp(-mean) as p, exp(-mean) as c from d cross join q where mean > 0
+  union all
+  select doc_id, name, q, mean, k + 1, p * mean / (k + 1)::double, c + p * mean / (k + 1)::double from s where c < q and k < ceil(mean + 12 * sqrt(mean) + 30)
+),
+m as (select doc_id, max(k) filter (where name = 'q950') as q950, max(k) filter (where name = 'q995') as q995 from s group by doc_id)
+select d.doc_id, coalesce(q950, 0)::integer as q950, coalesce(q995, 0)::integer as q995 from d left join m on d.doc_id = m.doc_id"""
 
 
-@query()
+@query(POISSON_SQL)
 def poisson_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poisson quantiles at the expected number of hits of each document."""
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * F.lit(0.245) / 1000).alias("mean"))
