@@ -5,10 +5,10 @@ by its SHA-256 digest.  Stored counts are joined by (content digest, tokenizer
 version); only distinct content that is not stored is encoded, once, and its
 counts are appended to the cache.
 
-Which digests miss is found on digests alone.  Up to MOST_BROADCAST of them
-are sent to the texts, so only missing texts are shuffled, and none if nothing
-misses; beyond that every distinct text is shuffled once for each task that
-reads it, copies having been put together before.  Counts return to documents
+Which digests miss is found on digests alone.  If they are few beside the rest,
+and MOST_BROADCAST at most, they are sent to the texts, so only missing texts
+are shuffled, and none if nothing misses; else every distinct text is shuffled
+once for each task that reads it, copies having been put together before.  Counts return to documents
 by digest; the few digests of very many documents are broadcast, so their
 documents stay where they are.
 
@@ -31,7 +31,7 @@ from .tokens import Source, public_path
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: Missing digests (32 bytes each) are broadcast up to this many.
-MOST_BROADCAST = 500_000
+MOST_BROADCAST = 100_000
 
 
 def _digests(batches, source):
@@ -90,11 +90,11 @@ def count_tokens(spark: SparkSession, docs: DataFrame, *, tokenizer: str | None
     misses = scratch.write(digests.join(stored(), "digest", "left_anti").select("digest"), "misses")
     if n := misses.count():
         texts = full.select("digest", "text")
-        if n <= MOST_BROADCAST:
+        if few := n <= min(MOST_BROADCAST, digests.count() // 2):
             texts = texts.join(F.broadcast(misses), "digest", "left_semi")
         # equal digests have equal texts, which are put together where they are read, before they are shuffled
         texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
-        if n > MOST_BROADCAST:
+        if not few:
             texts = texts.join(misses, "digest", "left_semi")
         before = spark.conf.get(Scratch.CLEAN, "false")
         spark.conf.set(Scratch.CLEAN, "true")
