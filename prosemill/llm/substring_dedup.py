@@ -6,7 +6,7 @@ smallest doc_id of every class of equal windows.
 
 The work is cut so that equal windows meet in one task, and few bytes move:
 
-* Documents are packed into chunks of a few MB, which are written once and
+* Documents are packed into chunks of CHUNK_BYTES, which are written once and
   name themselves in all later exchanges.
 * A window's *anchor* is its q-gram of smallest hash, the leftmost of equals:
   equal windows have equal anchors.  Consecutive windows of one anchor make a
@@ -26,7 +26,13 @@ The work is cut so that equal windows meet in one task, and few bytes move:
 * The chunks turn the answers into spans.
 
 A chunk sends an anchor or fragment once, whatever the number of its documents
-that hold it, so copies shrink before they are shuffled.
+that hold it, so copies shrink before they are shuffled; fragments that it
+takes together by name are compared byte by byte.  Anchors are the smallest of
+many hashes, so they are hashed again before they are dealt to shards, which
+makes shards alike in size.
+
+A chunk sends one message to each shard for which it has something, so their
+number grows with chunks x shards, up to one message an anchor.
 
 Defined results: null text is empty; texts shorter than a window stay whole;
 rows that repeat a doc_id don't remove each other's bytes, and each gets a row;
@@ -46,8 +52,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow, mix64, pieces
 
 GRAM = 16
-CHUNK_BYTES = 4 << 20
-SHARD_BYTES = 2 << 20
+CHUNK_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 #: Bytes of fragments whose suffixes are sorted together.
 SORT_BYTES = 1 << 20
 #: Windows that are looked at together.
@@ -57,6 +63,7 @@ HOT = 2_000
 _LETTERS = mix64(np.arange(5000, 5256, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = np.uint64((1 << 24) - 1)
+_AGAIN = np.uint64(0x632BE59BD9B4E019)
 
 CHUNKS = "chunk long, ids binary, sizes binary, data binary"
 PARTS = "shard int, chunk long, data binary"
@@ -133,7 +140,7 @@ class Chunk:
         # a run ends where the next one starts or where windows stop fitting their document
         edge = np.flatnonzero(np.append(new | ~inside, True))
         stop = edge[np.searchsorted(edge, first, side="right")]
-        out["anchor"].append(grams[at[first]])
+        out["anchor"].append(mix64(grams[at[first]] ^ _AGAIN))
         out["start"].append(first + a)
         out["n"].append(stop - first)
         out["doc"].append(doc[first])
@@ -165,6 +172,12 @@ def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _touched(shard: np.ndarray) -> list[tuple[int, slice]]:
+    """The shards that stand in a sorted array, each with its place."""
+    ids, first = np.unique(shard, return_index=True)
+    return [(int(s), slice(int(a), int(z))) for s, a, z in zip(ids, first, np.append(first[1:], len(shard)), strict=True)]
+
+
 def _zipped(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
@@ -181,15 +194,12 @@ def _anchors(batches, length, shards, width):
     for b in batches:
         for ids, sizes, data, chunk in zip(*(b.column(c).to_pylist() for c in ("ids", "sizes", "data", "chunk")), strict=True):
             anchor, many = np.unique(Chunk(ids, sizes, data, length).fragments(False)["anchor"], return_counts=True)
-            shard = _shards(anchor, shards)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
             raw = anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
             out: dict[str, list] = {"shard": [], "chunk": [], "data": []}
-            for s in np.unique(shard):
-                own = slice(cuts[s], cuts[s + 1])
-                out["shard"].append(int(s))
+            for s, own in _touched(_shards(anchor, shards)):
+                out["shard"].append(s)
                 out["chunk"].append(chunk)
-                out["data"].append(_zipped(np.uint32(cuts[s + 1] - cuts[s]), raw[own].T, np.minimum(many[own], 255).astype(np.uint8)))
+                out["data"].append(_zipped(np.uint32(own.stop - own.start), raw[own].T, np.minimum(many[own], 255).astype(np.uint8)))
             yield out
 
 
@@ -248,15 +258,13 @@ def _entries(chunk: Chunk, answers: dict[int, bytes], shards: int) -> dict[str,
     """
     f = chunk.fragments(True)
     anchor, flat = np.unique(f["anchor"], return_inverse=True)
-    shard = _shards(anchor, shards)
-    cuts = np.searchsorted(shard, np.arange(shards + 1))
     shared, hot = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
-    for s, raw in answers.items():
-        n = cuts[s + 1] - cuts[s]
-        bits = np.frombuffer(_unzipped(raw), np.uint8)
+    for s, own in _touched(_shards(anchor, shards)):
+        n = own.stop - own.start
+        bits = np.frombuffer(_unzipped(answers[s]), np.uint8)
         half = (n + 7) // 8
-        shared[cuts[s] : cuts[s + 1]] = np.unpackbits(bits[:half], count=n)
-        hot[cuts[s] : cuts[s + 1]] = np.unpackbits(bits[half:], count=n)
+        shared[own] = np.unpackbits(bits[:half], count=n)
+        hot[own] = np.unpackbits(bits[half:], count=n)
     ids = chunk.ids[f["doc"]]
     low, high = np.full(len(anchor), np.iinfo(np.int64).max), np.full(len(anchor), np.iinfo(np.int64).min)
     np.minimum.at(low, flat, ids)
@@ -279,6 +287,7 @@ def _entries(chunk: Chunk, answers: dict[int, bytes], shards: int) -> dict[str,
     whole, key, n, start, doc = whole[order], key[order], n[order], start[order], doc[order]
     new = np.ones(len(key), bool)
     new[1:] = whole[1:] != whole[:-1]
+    new |= _unlike(chunk, new, start, n)
     head = np.flatnonzero(new)
     low = np.minimum.reduceat(doc, head) if len(head) else doc
     return {"key": key[head], "shard": _shards(key[head], shards), "n": n[head], "doc": low, "start": start[head], "of": np.cumsum(new) - 1, "o_start": start, "o_doc": doc}
@@ -288,18 +297,34 @@ def _bytes_of(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return text[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
+def _unlike(chunk: Chunk, new: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Members of the groups that begin where ``new`` is set whose bytes aren't all the same: each is to stand alone."""
+    out = np.zeros(len(new), bool)
+    group = np.cumsum(new) - 1
+    head = np.flatnonzero(new)
+    rest = np.flatnonzero(~new)
+    for a in range(0, len(rest), 1 << 15):
+        own = rest[a : a + (1 << 15)]
+        first = head[group[own]]
+        same = n[own] == n[first]
+        size = np.where(same, n[own], 1) + chunk.length - 1
+        differ = _bytes_of(chunk.text, start[own], size) != _bytes_of(chunk.text, start[first], size)
+        if differ.any() or not same.all():
+            same &= ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+            out |= np.isin(group, group[own[~same]])
+    return out
+
+
 def _send(batches, length, shards):
     for own, answers, _ in _with_answers(batches):
         if own is None:
             continue
         chunk = Chunk(own["ids"], own["sizes"], own["data"], length)
         e = _entries(chunk, answers, shards)
-        cuts = np.searchsorted(e["shard"], np.arange(shards + 1))
         out: dict[str, list] = {"shard": [], "chunk": [], "data": []}
-        for s in np.unique(e["shard"]):
-            k = slice(cuts[s], cuts[s + 1])
+        for s, k in _touched(e["shard"]):
             size = e["n"][k] + length - 1
-            out["shard"].append(int(s))
+            out["shard"].append(s)
             out["chunk"].append(own["chunk"])
             out["data"].append(_zipped(np.uint32(len(size)), e["key"][k], e["doc"][k], e["n"][k].astype(np.uint8), _bytes_of(chunk.text, e["start"][k], size)))
         yield out
@@ -397,13 +422,11 @@ def _spans(batches, length, shards, keep):
             continue
         chunk = Chunk(own["ids"], own["sizes"], own["data"], length)
         e = _entries(chunk, answers, shards)
-        cuts = np.searchsorted(e["shard"], np.arange(shards + 1))
         offset = np.cumsum(e["n"]) - e["n"]
         bit = np.zeros(int(e["n"].sum()), bool)
-        for s, raw in gone.items():
-            k = slice(cuts[s], cuts[s + 1])
+        for s, k in _touched(e["shard"]):
             total = int(e["n"][k].sum())
-            bit[offset[cuts[s]] : offset[cuts[s]] + total] = np.unpackbits(np.frombuffer(_unzipped(raw), np.uint8), count=total)
+            bit[offset[k.start] : offset[k.start] + total] = np.unpackbits(np.frombuffer(_unzipped(gone[s]), np.uint8), count=total)
         n = e["n"][e["of"]]
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         lose = bit[np.repeat(offset[e["of"]], n) + nth] | np.repeat(e["o_doc"] > e["doc"][e["of"]], n)
@@ -436,11 +459,12 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, *, length: int = 50,
     chunks = scratch.write(map_arrow(docs.where("doc_id is not null"), CHUNKS, _pack_chunks), "chunks")
     total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = max(8, -(-3 * total // SHARD_BYTES))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-shards // 8))
+    tasks = min(int(shards), max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-shards // 4)))
     width = min(8, max(5, -(-(int(total).bit_length() + 6) // 8)))
 
     def by_shard(df: DataFrame) -> DataFrame:
-        return df.repartition(tasks, "shard").sortWithinPartitions("shard", "chunk")
+        # shards are numbers in a row: each task gets as many as the next
+        return df.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "chunk")
 
     def by_chunk(*answers: DataFrame) -> DataFrame:
         rows = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), "ids", "sizes", "data")

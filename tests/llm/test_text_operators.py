@@ -550,6 +550,29 @@ def test_substring_dedup(spark, rows, docs, empty, monkeypatch, hot):
     assert sd.dedup_substrings(spark, empty).count() == 0
 
 
+def test_fragments_of_one_name_are_compared():
+    import numpy as np
+    from prosemill.llm import substring_dedup as sd
+
+    text = b"abcdefghij" * 40 + b"0123456789" * 40
+    chunk = sd.Chunk(np.array([1], "<i8").tobytes(), np.array([len(text)], "<i8").tobytes(), sd.zstandard.compress(text), 50)
+    start, n = np.array([0, 10, 400, 20, 0, 30]), np.array([3, 3, 3, 3, 7, 7])
+    new = np.array([True, False, False, False, True, False])  # the third is of other bytes
+    assert sd._unlike(chunk, new, start, n).tolist() == [True, True, True, True, False, False]
+    assert not sd._unlike(chunk, np.array([True, False]), start[:2], n[:2]).any()
+
+
+def test_shards_are_alike_in_size():
+    import numpy as np
+    from prosemill.llm import substring_dedup as sd
+
+    rng = random.Random(3)
+    text = words(rng, 30_000).encode()
+    chunk = sd.Chunk(np.array([1], "<i8").tobytes(), np.array([len(text)], "<i8").tobytes(), sd.zstandard.compress(text), 50)
+    shard = sd._shards(np.unique(chunk.fragments(False)["anchor"]), 16)
+    assert np.bincount(shard, minlength=16).max() < 2 * len(shard) / 16
+
+
 def test_refinement_names_equal_prefixes():
     import numpy as np
     from prosemill.llm.substring_dedup import refine
