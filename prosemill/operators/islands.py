@@ -22,7 +22,8 @@ def following(df: DataFrame, by: str, order: str, value: str, *, ranges: int = 6
     The order is cut into ranges, and each range gets the first row of the next
     one from a table of first rows, so no task holds all rows of a group.
     """
-    cuts = sorted(set(df.where(F.col(order).isNotNull()).approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.1 / ranges)))
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = sorted(set(df.where(F.col(order).isNotNull()).approxQuantile(order, shares, 0.1 / ranges))) if shares else []
     at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
     df = df.withColumn("_range", at)
     firsts = df.groupBy(by, "_range").agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_first"))

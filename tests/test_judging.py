@@ -2,25 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from prosemill.operators import cohort, hits, judging, pairs, reports, repeats, verdict
+from prosemill.operators import cohort, hits, judging, reports, repeats, verdict
 from prosemill.operators.metrics import metrics, stats
-from prosemill.plans.thresholds import _row, registry
+from prosemill.plans.thresholds import registry
 
 TEXT = "# 되요\n\n결국, 값이 같습니다. 값은 30입니다. 짧다.\n\n| a | 되요 |\n|---|---|\n\n표 뒤 문장입니다. 결국, 끝났습니다.\n\n- 항목 이름\n\n## 참고 자료\n\n결국, 목록입니다.\n"
 
 
-def test_hits(spark):
-    d = spark.createDataFrame([("d", TEXT)], "doc_id string, text string")
-    h = hits.rule_hits(d)
-    got = [(r.ord, r.line, r.match) for r in h.where("metric_id = 'G11.spelling'").orderBy("ord").collect()]
-    assert got == [(1, 1, "되요"), (2, 5, "되요")]
-    v = {r.metric_id: r.value for r in metrics(d).collect()}
-    for r in h.groupBy("metric_id").count().collect():
-        assert v[r.metric_id] == r["count"]
-    top = hits.shown(h, most=1).where("metric_id = 'A4.gyeolguk'").first()
-    assert [x.line for x in top.hits] == [3] and [x.line for x in top.more] == [8, 14]
-
-
 def test_long_hits_are_cut(spark):
     long = "결국 " + "값을 " * 100 + "봅니다."
     r = hits.rule_hits(spark.createDataFrame([(1, long)], "doc_id int, text string")).where("metric_id = 'A4.gyeolguk'").first()
@@ -35,66 +23,12 @@ def test_endings(spark):
     assert (t.tone, t.share) == ("default", 1.0)
 
 
-def test_noun_stacks(spark):
-    d = spark.createDataFrame([(1, "서버 요청 처리 지연 시간이 깁니다. 서버의 요청을 처리합니다.")], "doc_id int, text string")
-    assert [r.longest for r in hits.noun_stacks(d).collect()] == [4]
-
-
 def test_style_words_of_the_fact_sheet_do_not_count(spark):
     d = spark.createDataFrame([(1, "구조적 문제입니다. 혁신적 도구입니다.", "구조적 분석"), (2, "구조적 문제입니다.", None)], "doc_id int, text string, facts string")
     got = {r.doc_id: r.value for r in metrics(d, facts="facts").where("metric_id = 'A5.style_words'").collect()}
     assert got == {1: 1.0, 2: 1.0}
 
 
-def test_clarity_items(spark):
-    d = spark.createDataFrame([("d", TEXT)], "doc_id string, text string")
-    flagged = spark.createDataFrame([("d", "결국, 끝났습니다.")], "doc_id string, text string")
-    got = [(r.heading, r.prev, r.sentence, r["first"], r.numeric, r.check) for r in judging.clarity_items(d, flagged).orderBy("n").collect()]
-    assert got == [
-        ("되요", "(절의 첫 문장)", "결국, 값이 같습니다.", True, False, False),
-        ("되요", "결국, 값이 같습니다.", "값은 30입니다.", False, True, False),
-        ("되요", "(바로 앞은 표)", "표 뒤 문장입니다.", True, False, False),
-        ("되요", "표 뒤 문장입니다.", "결국, 끝났습니다.", False, False, True),
-    ]
-
-
-def test_language_items(spark):
-    d = spark.createDataFrame([("d", TEXT + "\n# 끝말\n" + "\n".join(f"이것은 문장 {k}번입니다.\n" for k in range(90)))], "doc_id string, text string")
-    rows = judging.language_items(d).orderBy("n").collect()
-    assert (rows[0].heading, rows[0].sentence) == ("(헤딩)", "되요") and rows[79].part == 1 and rows[80].part == 2 and len(rows) == 97
-
-
-def test_scores(spark):
-    items = spark.createDataFrame([("d", 1, True, False), ("d", 2, False, True), ("d", 3, False, False)], "doc_id string, n int, first boolean, numeric boolean")
-    answers = spark.createDataFrame([("d", 1, "needs_prev"), ("d", 2, "self_contained")], "doc_id string, n int, verdict string")
-    chars = spark.createDataFrame([("d", 500)], "doc_id string, chars long")
-    r = judging.clarity_scores(items, answers, chars).first()
-    assert (r.checked, r.answered, r.dependent, r.first_dependent, r["first"], r.numeric_dependent, r.numeric, r.rate, r.per_1k) == (3, 2, 1, 1, 1, 0, 1, 0.5, 2.0)
-    a = spark.createDataFrame([("d", 1, "awkward", "R"), ("d", 2, "awkward", None), ("d", 3, "fine", None)], "doc_id string, n int, verdict string, type string")
-    r = judging.awkward_scores(a, chars).first()
-    assert (r.answered, r.awkward, r.by_type, r.per_1k) == (3, 2, {"R": 1, "?": 1}, 4.0)
-    claims = spark.createDataFrame([("c", "unsupported", "one"), ("c", "general_knowledge", "gone")], "case_id string, verdict string, quote string")
-    r = judging.fidelity_tallies(claims, spark.createDataFrame([("c", "one two")], "case_id string, text string")).first()
-    assert (r.claims, r.unsupported, r.general_knowledge, r.quote_not_found) == (2, 1, 1, 1)
-    q = spark.createDataFrame([("a", 1, "one"), ("a", 1, "x")], "name string, run int, quote string")
-    r = judging.style_scores(q, spark.createDataFrame([("a", "one two", 500)], "name string, text string, chars long")).first()
-    assert (r.valid, r.invalid, r.per_1k) == (1, 1, 2.0)
-    assert spark.createDataFrame([([3.0, 1.0, 2.0, 9.0],)], "v array<double>").select(judging.floor_quantile(F.col("v"), 0.75)).first()[0] == 3.0
-
-
-def test_matched_cases(spark):
-    a = spark.createDataFrame([("A-x",), ("B-x",), ("C-x",)], "case string")
-    b = spark.createDataFrame([("A-old",), ("B0-old",), ("C1-old",)], "case string")
-    assert {r["case"]: r.other for r in judging.matched_cases(a, b).collect()} == {"A-x": "A-old", "B-x": "B0-old"}
-
-
-def test_run_steps(spark):
-    calls = [("Write", '{"file_path": "/w/article.md"}'), ("Read", '{"file_path": "/w/article.md"}'), ("Bash", '{"command": "python revise.py start article.md"}'), ("Read", '{"file_path": "C:\\\\w\\\\article.candidates.md"}'), ("Task", '{"prompt": "read how-to-review.md"}'), ("Edit", '{"file_path": "/w/article.md"}'), ("Bash", '{"command": "python revise.py check article.md"}'), ("Bash", '{"command": "python revise.py check article.md"}')]
-    df = spark.createDataFrame([("r", k, n, i) for k, (n, i) in enumerate(calls)], "run string, nth int, name string, input string")
-    r = judging.run_steps(df, script="revise.py", target="article.md", review="how-to-review.md", listing=".candidates.md").first()
-    assert (r.start, r.repeats, r.check, r.checks, r.edits_after_start, r.agents, r.reviewers, r.review_read, r.read_before_repeats) == (2, 3, 6, 2, 1, 1, 1, False, True)
-
-
 def test_script_calls(spark):
     s = ("lint.py", "tone.py")
     assert judging.script_calls("python3 a/lint.py --json x && cat tone.py", s) == [{"script": "lint.py", "action": "--json"}]
@@ -104,12 +38,6 @@ def test_script_calls(spark):
     assert [(r.script, r.action) for r in judging.checker_calls(df, s).collect()] == [("lint.py", "go")]
 
 
-def test_changed_hits(spark):
-    p = spark.createDataFrame([("p", "결국, 값이 같습니다. 저희 팀은 큽니다.", "값이 같습니다. 저희 팀은 큽니다.")], "pair_id string, before string, after string")
-    got = {r.metric_id: (r.changed, r.kept, r.after) for r in hits.changed_hits(p).collect()}
-    assert got["A4.gyeolguk"] == (1, 0, 0) and got["INFO.we"] == (0, 1, 1)
-
-
 def test_short_texts(spark):
     limits = verdict.short_profile(registry(spark), drop=["A8.", "A5.native_verbs"], counts={"A14.translationese_per_1k": (0, 1)})
     ids = {r.metric_id for r in limits.collect()}
@@ -131,26 +59,3 @@ def test_reports(spark):
     assert table == "| x | y | z |\n|---|---|---|\n| 1 | - | a/b |"
 
 
-def test_lint_summaries(spark):
-    res = spark.createDataFrame([("d", "A", 1.0, "FAIL"), ("d", "B", 0.0, "PASS")], "doc_id string, metric_id string, value double, status string")
-    out = judging.lint_summaries(res, verdict.verdicts(res)).first()
-    assert (out.verdict, out.issues) == ("FAIL", ["FAIL A=1.0"])
-
-
-def test_measured_articles(spark):
-    rows = [("a", "2020-01-01", "kim", None, True, 2000), ("b", "2020-01-02", "kim", None, True, 2000), ("c", "2020-01-03", "kim", None, True, 2000), ("d", "2024-09-01", "lee", None, True, 2000), ("e", "2020-01-01", "lee", "404", True, 2000), ("f", "2020-01-01", "lee", None, False, 2000), ("g", "2020-01-01", "lee", None, True, 200), ("h", "2023-05-01", "lee", None, True, 2000), ("i", "2025-05-01", "lee", None, True, 2000)]
-    meta = spark.createDataFrame([(r[0], "s", r[1], "t", *r[2:]) for r in rows], "id string, site string, date string, title string, author string, error string, technical boolean, hangul long")
-    st = spark.createDataFrame([(r[0], 2000, 40) for r in rows], "doc_id string, chars long, sentences long")
-    cl = spark.createDataFrame([(r[0], {"HAPNIDA": 39, "HAERA": 1}) for r in rows], "doc_id string, classes map<string,bigint>")
-    got = {r.id: (r.reason, r.group) for r in cohort.measure(meta, st, cl).collect()}
-    assert got == {
-        "a": (None, "default"), "b": (None, "default"), "c": ("more than 2 of an author", None), "d": (cohort.GAP, None), "e": (cohort.NO_TEXT, None),
-        "f": (cohort.NOT_TECHNICAL, None), "g": (cohort.NO_KOREAN, None), "h": (cohort.LATE, None), "i": (None, "drift-default"),
-    }
-
-
-def test_range_calibration(spark):
-    v = spark.createDataFrame([("r_ratio", x / 10, 1000, "default", "s", False) for x in range(11)], "metric_id string, value double, chars long, grp string, site string, holdout boolean")
-    r = cohort.calibrate(v, registry(spark, [_row("r_ratio", "range")])).first()
-    assert (r.pass_lo, r.pass_hi, r.warn_lo, r.warn_hi) == (0.05, 0.95, 0.0, 1.2)
-    assert pairs.DISTRIBUTION[0] == "A8."
