@@ -31,8 +31,13 @@ takes together by name are compared byte by byte.  Anchors are the smallest of
 many hashes, so they are hashed again before they are dealt to shards, which
 makes shards alike in size.
 
-A chunk sends one message to each shard for which it has something, so their
-number grows with chunks x shards, up to one message an anchor.
+Shards are numbered in ranges of hashes.  Up to FAN of them, a chunk sends each
+its own message.  More shards make FAN buckets of them: a chunk sends a message
+to each bucket; the messages of a bucket from PACK chunks or fewer are put
+together and dealt to the bucket's shards, and the answers return the same way.
+So a chunk costs a bounded number of messages, and their number grows in
+proportion to the chunks (up to FAN x PACK shards, some 6 TB of fragments; then
+with the ratio of shards to that).
 
 Defined results: null text is empty; texts shorter than a window stay whole;
 rows that repeat a doc_id don't remove each other's bytes, and each gets a row;
@@ -60,6 +65,8 @@ SORT_BYTES = 1 << 20
 BLOCK = 1 << 18
 #: Occurrences from which an anchor is hot.
 HOT = 2_000
+#: Messages that a chunk sends at most, and chunks whose messages to a bucket are put together at most.
+FAN, PACK = 256, 4096
 _LETTERS = mix64(np.arange(5000, 5256, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = np.uint64((1 << 24) - 1)
@@ -69,7 +76,7 @@ CHUNKS = "chunk long, ids binary, sizes binary, data binary"
 PARTS = "shard int, chunk long, data binary"
 
 
-def _pack_chunks(batches):
+def _pack_chunks(batches, most):
     from pyspark import TaskContext
 
     part, seq = TaskContext.get().partitionId(), 0
@@ -84,7 +91,7 @@ def _pack_chunks(batches):
         for i, j in pieces(b, "text"):
             for doc, text in zip(b.column("doc_id")[i:j].to_pylist(), b.column("text")[i:j].to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                if texts and held + len(raw) > CHUNK_BYTES:
+                if texts and held + len(raw) > most:
                     yield row()
                     seq, ids, texts, held = seq + 1, [], [], 0
                 ids.append(doc)
@@ -175,7 +182,7 @@ def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
 def _touched(shard: np.ndarray) -> list[tuple[int, slice]]:
     """The shards that stand in a sorted array, each with its place."""
     ids, first = np.unique(shard, return_index=True)
-    return [(int(s), slice(int(a), int(z))) for s, a, z in zip(ids, first, np.append(first[1:], len(shard)), strict=True)]
+    return [(int(s), slice(int(a), int(z))) for s, a, z in zip(ids, first, np.append(first, len(shard))[1:], strict=True)]
 
 
 def _zipped(*arrays: np.ndarray) -> bytes:
@@ -186,57 +193,108 @@ def _unzipped(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
 
 
+# Messages: how many entries of which chunks, and then the entries.  Answers: how many
+# bits for which chunks, and then the bits, in planes.
+
+
+def _headed(chunks: list[int], counts: list[int]) -> list[np.ndarray]:
+    return [np.array([len(chunks)], "<u4"), np.array(chunks, "<i8"), np.array(counts, "<u4")]
+
+
+def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks, counts and the rest of a message."""
+    raw = np.frombuffer(_unzipped(data), np.uint8)
+    m = int(raw[:4].view("<u4")[0])
+    return raw[4 : 4 + 8 * m].view("<i8"), raw[4 + 8 * m : 4 + 12 * m].view("<u4").astype(np.int64), raw[4 + 12 * m :]
+
+
+def _planes(rest: np.ndarray, total: int, planes: int) -> list[np.ndarray]:
+    size = (total + 7) // 8
+    return [np.unpackbits(rest[k * size : (k + 1) * size], count=total) for k in range(planes)]
+
+
+def _groups(batches, *key):
+    """Rows of sorted batches by group: (key values, list of rows)."""
+    held, last = [], None
+    for b in batches:
+        for row in b.to_pylist():
+            own = tuple(row[k] for k in key)
+            if held and own != last:
+                yield last, held
+                held = []
+            last = own
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _split(batches, planes):
+    """Answers of a bucket's shards to a pack, in order of shards, as answers to its chunks."""
+    for (bucket, _), rows in _groups(batches, "bucket", "chunk"):
+        parts: dict[int, list] = {}
+        for row in rows:
+            chunks, counts, rest = _opened(row["data"])
+            bits = _planes(rest, int(counts.sum()), planes)
+            ends = np.cumsum(counts)
+            for c, a, z in zip(chunks.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                parts.setdefault(c, []).append([p[a:z] for p in bits])
+        data = []
+        for c, own in parts.items():
+            whole = [np.concatenate([x[k] for x in own]) for k in range(planes)]
+            data.append(_zipped(*_headed([c], [len(whole[0])]), *map(np.packbits, whole)))
+        yield {"shard": [bucket] * len(parts), "chunk": list(parts), "data": data}
+
+
 # round 1
 
 
-def _anchors(batches, length, shards, width):
+def _anchors(batches, length, shards, inner, width):
     """The distinct anchors of each chunk, ``width`` bytes of each, and how often it has them (up to 255)."""
     for b in batches:
         for ids, sizes, data, chunk in zip(*(b.column(c).to_pylist() for c in ("ids", "sizes", "data", "chunk")), strict=True):
             anchor, many = np.unique(Chunk(ids, sizes, data, length).fragments(False)["anchor"], return_counts=True)
             raw = anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
             out: dict[str, list] = {"shard": [], "chunk": [], "data": []}
-            for s, own in _touched(_shards(anchor, shards)):
+            for s, own in _touched(_shards(anchor, shards) // inner):
                 out["shard"].append(s)
                 out["chunk"].append(chunk)
-                out["data"].append(_zipped(np.uint32(own.stop - own.start), raw[own].T, np.minimum(many[own], 255).astype(np.uint8)))
+                out["data"].append(_zipped(*_headed([chunk], [own.stop - own.start]), raw[own].T, np.minimum(many[own], 255).astype(np.uint8)))
             yield out
 
 
-def _groups(batches, key):
-    """Rows of sorted batches by group: (key, list of rows)."""
-    held, last = [], None
-    for b in batches:
-        for row in b.to_pylist():
-            if held and row[key] != last:
-                yield last, held
-                held = []
-            last = row[key]
-            held.append(row)
-    if held:
-        yield last, held
+def _anchor_entries(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks, counts, keys and occurrences of a message of round 1."""
+    chunks, counts, rest = _opened(data)
+    n = int(counts.sum())
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = rest[: n * width].reshape(width, n).T
+    return chunks, counts, wide.reshape(-1).view("<u8"), rest[n * width :]
 
 
-def _common(batches, width):
-    """Per chunk and anchor 2 bits: other chunks have it; it is hot."""
-    for shard, rows in _groups(batches, "shard"):
-        keys, many, sizes = [], [], []
+def _dealt_anchors(batches, shards):
+    """A bucket's messages from the chunks of a pack, whole keys, dealt to the bucket's shards."""
+    for (_, pack), rows in _groups(batches, "shard", "pack"):
+        parts: dict[int, list] = {}
         for row in rows:
-            raw = np.frombuffer(_unzipped(row["data"]), np.uint8)
-            n = int(raw[:4].view("<u4")[0])
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :width] = raw[4 : 4 + n * width].reshape(width, n).T
-            keys.append(wide.reshape(-1).view("<u8"))
-            many.append(raw[4 + n * width :].astype(np.int64))
-            sizes.append(n)
-        key, flat = np.unique(np.concatenate(keys), return_inverse=True)
+            chunks, _, key, many = _anchor_entries(row["data"], 8)
+            for s, own in _touched(_shards(key, shards)):
+                parts.setdefault(s, []).append((int(chunks[0]), key[own], many[own]))
+        data = [_zipped(*_headed([c for c, *_ in own], [len(k) for _, k, _ in own]), np.concatenate([k for _, k, _ in own]).view(np.uint8).reshape(-1, 8).T, *(m for *_, m in own)) for own in parts.values()]
+        yield {"shard": list(parts), "chunk": [pack] * len(parts), "data": data}
+
+
+def _common(batches, width, most):
+    """Per chunk and anchor 2 bits: other chunks have it; it is hot."""
+    for (shard,), rows in _groups(batches, "shard"):
+        got = [_anchor_entries(row["data"], width) for row in rows]
+        key, flat = np.unique(np.concatenate([k for *_, k, _ in got]), return_inverse=True)
         shared = np.bincount(flat, minlength=len(key))[flat] > 1
-        hot = np.bincount(flat, weights=np.concatenate(many), minlength=len(key))[flat] >= HOT
-        cuts = np.cumsum([0, *sizes])
+        hot = np.bincount(flat, weights=np.concatenate([m for *_, m in got]), minlength=len(key))[flat] >= most
+        cuts = np.cumsum([0, *(len(k) for *_, k, _ in got)])
         yield {
             "shard": [shard] * len(rows),
             "chunk": [r["chunk"] for r in rows],
-            "data": [_zipped(np.packbits(shared[a:z]), np.packbits(hot[a:z])) for a, z in zip(cuts, cuts[1:], strict=False)],
+            "data": [_zipped(*_headed(chunks, counts), np.packbits(shared[a:z]), np.packbits(hot[a:z])) for (chunks, counts, *_), a, z in zip(got, cuts, cuts[1:], strict=False)],
         }
 
 
@@ -250,7 +308,7 @@ def _with_answers(batches):
         yield own, {r["shard"]: r["data"] for r in rows if r["kind"] == 1}, {r["shard"]: r["data"] for r in rows if r["kind"] == 2}
 
 
-def _entries(chunk: Chunk, answers: dict[int, bytes], shards: int) -> dict[str, np.ndarray]:
+def _entries(chunk: Chunk, answers: dict[int, bytes], shards: int, inner: int) -> dict[str, np.ndarray]:
     """What the chunk sends in round 2, by shard and key, and the occurrences that stand behind it.
 
     Of the sent: key, shard, n (windows), doc (smallest id), start (of one occurrence).
@@ -259,12 +317,8 @@ def _entries(chunk: Chunk, answers: dict[int, bytes], shards: int) -> dict[str,
     f = chunk.fragments(True)
     anchor, flat = np.unique(f["anchor"], return_inverse=True)
     shared, hot = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
-    for s, own in _touched(_shards(anchor, shards)):
-        n = own.stop - own.start
-        bits = np.frombuffer(_unzipped(answers[s]), np.uint8)
-        half = (n + 7) // 8
-        shared[own] = np.unpackbits(bits[:half], count=n)
-        hot[own] = np.unpackbits(bits[half:], count=n)
+    for s, own in _touched(_shards(anchor, shards) // inner):
+        shared[own], hot[own] = _planes(_opened(answers[s])[2], own.stop - own.start, 2)
     ids = chunk.ids[f["doc"]]
     low, high = np.full(len(anchor), np.iinfo(np.int64).max), np.full(len(anchor), np.iinfo(np.int64).min)
     np.minimum.at(low, flat, ids)
@@ -315,21 +369,42 @@ def _unlike(chunk: Chunk, new: np.ndarray, start: np.ndarray, n: np.ndarray) ->
     return out
 
 
-def _send(batches, length, shards):
+def _send(batches, length, shards, inner):
     for own, answers, _ in _with_answers(batches):
         if own is None:
             continue
         chunk = Chunk(own["ids"], own["sizes"], own["data"], length)
-        e = _entries(chunk, answers, shards)
+        e = _entries(chunk, answers, shards, inner)
         out: dict[str, list] = {"shard": [], "chunk": [], "data": []}
-        for s, k in _touched(e["shard"]):
+        for s, k in _touched(e["shard"] // inner):
             size = e["n"][k] + length - 1
             out["shard"].append(s)
             out["chunk"].append(own["chunk"])
-            out["data"].append(_zipped(np.uint32(len(size)), e["key"][k], e["doc"][k], e["n"][k].astype(np.uint8), _bytes_of(chunk.text, e["start"][k], size)))
+            out["data"].append(_zipped(*_headed([own["chunk"]], [len(size)]), e["key"][k], e["doc"][k], e["n"][k].astype(np.uint8), _bytes_of(chunk.text, e["start"][k], size)))
         yield out
 
 
+def _fragment_entries(data: bytes) -> tuple[np.ndarray, ...]:
+    """Chunks, counts, keys, documents, windows and bytes of a message of round 2."""
+    chunks, counts, rest = _opened(data)
+    n = int(counts.sum())
+    return chunks, counts, rest[: 8 * n].view("<u8"), rest[8 * n : 16 * n].view("<i8"), rest[16 * n : 17 * n], rest[17 * n :]
+
+
+def _dealt_fragments(batches, length, shards):
+    """As ``_dealt_anchors``, of round 2."""
+    for (_, pack), rows in _groups(batches, "shard", "pack"):
+        parts: dict[int, list] = {}
+        for row in rows:
+            chunks, _, key, doc, n, text = _fragment_entries(row["data"])
+            row["data"] = None
+            ends = np.append(0, np.cumsum(n.astype(np.int64) + length - 1))
+            for s, own in _touched(_shards(key, shards)):
+                parts.setdefault(s, []).append((int(chunks[0]), key[own], doc[own], n[own], text[ends[own.start] : ends[own.stop]]))
+        data = [_zipped(*_headed([x[0] for x in own], [len(x[1]) for x in own]), *(x[k] for k in range(1, 5) for x in own)) for own in parts.values()]
+        yield {"shard": list(parts), "chunk": [pack] * len(parts), "data": data}
+
+
 def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """A number for each of the suffixes at ``starts``, equal where their first ``length`` bytes are.
 
@@ -361,19 +436,16 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 def _sort_shards(batches, length):
     """One bit for each window that a chunk has sent: a smaller document has it than the chunk said."""
-    for shard, rows in _groups(batches, "shard"):
-        keys, docs, ns, texts, sizes = [], [], [], [], []
+    for (shard,), rows in _groups(batches, "shard"):
+        got = []
         for row in rows:
-            raw = np.frombuffer(_unzipped(row["data"]), np.uint8)
-            n = int(raw[:4].view("<u4")[0])
-            keys.append(raw[4 : 4 + 8 * n].view("<u8"))
-            docs.append(raw[4 + 8 * n : 4 + 16 * n].view("<i8"))
-            ns.append(raw[4 + 16 * n : 4 + 17 * n].astype(np.int64))
-            texts.append(raw[4 + 17 * n :])
-            sizes.append(n)
+            got.append(_fragment_entries(row["data"]))
             row["data"] = None
-        key, doc, n, text = np.concatenate(keys), np.concatenate(docs), np.concatenate(ns), np.concatenate(texts)
-        del keys, docs, ns, texts
+        heads = [x[:2] for x in got]
+        key, doc, n, text = (np.concatenate([x[k] for x in got]) for k in range(2, 6))
+        n = n.astype(np.int64)
+        sizes = [int(counts.sum()) for _, counts in heads]
+        del got
         size = n + length - 1
         begin = np.cumsum(size) - size
         # equal fragments are taken together, by their exact bytes
@@ -409,24 +481,25 @@ def _sort_shards(batches, length):
             lowest[where] = best[names]
         cuts = np.cumsum([0, *sizes])
         answers = []
-        for a, z in zip(cuts, cuts[1:], strict=False):
+        for (chunks, counts), a, z in zip(heads, cuts, cuts[1:], strict=False):
             own = n[a:z]
             spot = np.repeat(offset[same[a:z]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            answers.append(_zipped(np.packbits(lowest[spot] < np.repeat(doc[a:z], own))))
+            bits = np.add.reduceat(own, np.cumsum(counts) - counts)
+            answers.append(_zipped(*_headed(chunks, bits), np.packbits(lowest[spot] < np.repeat(doc[a:z], own))))
         yield {"shard": [shard] * len(rows), "chunk": [r["chunk"] for r in rows], "data": answers}
 
 
-def _spans(batches, length, shards, keep):
+def _spans(batches, length, shards, inner, keep):
     for own, answers, gone in _with_answers(batches):
         if own is None:
             continue
         chunk = Chunk(own["ids"], own["sizes"], own["data"], length)
-        e = _entries(chunk, answers, shards)
+        e = _entries(chunk, answers, shards, inner)
         offset = np.cumsum(e["n"]) - e["n"]
         bit = np.zeros(int(e["n"].sum()), bool)
-        for s, k in _touched(e["shard"]):
+        for s, k in _touched(e["shard"] // inner):
             total = int(e["n"][k].sum())
-            bit[offset[k.start] : offset[k.start] + total] = np.unpackbits(np.frombuffer(_unzipped(gone[s]), np.uint8), count=total)
+            bit[offset[k.start] : offset[k.start] + total] = _planes(_opened(gone[s])[2], total, 1)[0]
         n = e["n"][e["of"]]
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         lose = bit[np.repeat(offset[e["of"]], n) + nth] | np.repeat(e["o_doc"] > e["doc"][e["of"]], n)
@@ -456,15 +529,31 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, *, length: int = 50,
         raise ValueError(f"length is to be from {GRAM} to {255 - GRAM}")
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = scratch.write(map_arrow(docs.where("doc_id is not null"), CHUNKS, _pack_chunks), "chunks")
-    total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    chunks = scratch.write(map_arrow(docs.where("doc_id is not null"), CHUNKS, _pack_chunks, CHUNK_BYTES), "chunks")
+    found = chunks.agg(F.sum(F.octet_length("data")).alias("bytes"), F.count("*").alias("n")).first()
+    total = int(found["bytes"] or 0)
     shards = max(8, -(-3 * total // SHARD_BYTES))
-    tasks = min(int(shards), max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-shards // 4)))
-    width = min(8, max(5, -(-(int(total).bit_length() + 6) // 8)))
-
-    def by_shard(df: DataFrame) -> DataFrame:
+    inner = -(-shards // FAN)  # shards of a bucket
+    shards = -(-shards // inner) * inner
+    packs = -(-max(1, found["n"]) // min(inner, PACK))
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-shards // 4)))
+    # a part of the key tells anchors of a shard apart but for a few; whole keys can be dealt further
+    width = 8 if inner > 1 else min(8, max(5, -(-(total.bit_length() + 6) // 8)))
+
+    def asked(messages: DataFrame, deal, dealt_args: tuple, answer, answer_args: tuple, planes: int) -> DataFrame:
+        """The shards' answers to messages(shard, chunk, data): one to each message."""
+        if inner > 1:
+            rows = messages.withColumn("pack", F.pmod(F.xxhash64("chunk"), F.lit(packs)))
+            rows = rows.repartition("shard", "pack").sortWithinPartitions("shard", "pack", "chunk")
+            messages = map_arrow(rows, PARTS, deal, *dealt_args)
         # shards are numbers in a row: each task gets as many as the next
-        return df.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "chunk")
+        rows = messages.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "chunk")
+        answers = map_arrow(rows, PARTS, answer, *answer_args)
+        if inner > 1:
+            rows = answers.withColumn("bucket", F.floor(F.col("shard") / inner).cast("int"))
+            rows = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "shard")
+            answers = map_arrow(rows, PARTS, _split, planes)
+        return answers
 
     def by_chunk(*answers: DataFrame) -> DataFrame:
         rows = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), "ids", "sizes", "data")
@@ -473,11 +562,12 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, *, length: int = 50,
             rows = rows.unionByName(a.select("chunk", F.lit(kind).alias("kind"), "shard", none.alias("ids"), none.alias("sizes"), "data"))
         return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "shard")
 
-    one = scratch.write(map_arrow(by_shard(map_arrow(chunks, PARTS, _anchors, length, shards, width)), PARTS, _common, width), "common")
-    sent = map_arrow(by_chunk(one), PARTS, _send, length, shards)
-    two = scratch.write(map_arrow(by_shard(sent), PARTS, _sort_shards, length), "gone")
+    one = asked(map_arrow(chunks, PARTS, _anchors, length, shards, inner, width), _dealt_anchors, (shards,), _common, (width, HOT), 2)
+    one = scratch.write(one, "common")
+    two = asked(map_arrow(by_chunk(one), PARTS, _send, length, shards, inner), _dealt_fragments, (length, shards), _sort_shards, (length,), 1)
+    two = scratch.write(two, "gone")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary, kept_sha256 string"
-    out = map_arrow(by_chunk(one, two), schema, _spans, length, shards, keep)
+    out = map_arrow(by_chunk(one, two), schema, _spans, length, shards, inner, keep)
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rest = docs.where("doc_id is null").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.array().cast("array<long>").alias("spans"), (raw if keep else F.lit(None).cast("binary")).alias("kept"), F.sha2(raw, 256).alias("kept_sha256"))
     return out.unionByName(rest)

@@ -521,12 +521,16 @@ def test_swaps_empty_bins():
         assert pieces == counts and sum(better.values()) <= sum(first.values())
 
 
-@pytest.mark.parametrize("hot", [3, 2_000])
-def test_substring_dedup(spark, rows, docs, empty, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "fan", "pack"), [(3, 256, 4096), (2_000, 256, 4096), (2_000, 5, 4096), (3, 3, 2)])
+def test_substring_dedup(spark, rows, docs, empty, monkeypatch, hot, fan, pack):
+    """Few hot anchors and many, shards met directly and through buckets."""
     from prosemill.llm import substring_dedup as sd
 
     monkeypatch.setattr(sd, "CHUNK_BYTES", 6_000)
     monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "FAN", fan)
+    monkeypatch.setattr(sd, "PACK", pack)
+    monkeypatch.setattr(sd, "SHARD_BYTES", 4_000)
     first = {}
     for doc, text, *_ in rows:
         raw = (text or "").encode()
