@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .logs import found_quotes
+from .logs import agreement, found_quotes, term_score
 from .metrics import unicode_rx
 from .repeats import NUMBER
 from .units import labelled, units
@@ -97,6 +97,47 @@ def style_scores(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     return got.withColumn("per_1k", F.col("valid") * 1000 / F.greatest(F.col("chars"), F.lit(1))).drop("chars")
 
 
+def terms_summaries(terms: DataFrame, runs: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row a run(doc_id, run, defined) of judged terms(doc_id, run, term, quote, explanation, missing), against texts(doc_id, text, chars).
+
+    Terms whose first quote the text lacks are left out; ``defined`` says
+    whether the central term is defined in one place; ``missing`` holds the
+    kinds of explanation that a term lacks.
+    """
+    t = found_quotes(terms, texts, key="doc_id", quote="quote").withColumnRenamed("found", "_there")
+    t = found_quotes(t, texts, key="doc_id", quote="explanation")
+    c = F.col
+    lacks = c("_there") & (F.size(F.coalesce("missing", F.array().cast("array<string>"))) > 0)
+    kinds = t.where(lacks).select("doc_id", "run", F.explode(F.array_distinct("missing")).alias("_kind")).groupBy("doc_id", "run", "_kind").agg(F.count("*").alias("_k"))
+    kinds = kinds.groupBy("doc_id", "run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_kind", "_k")))).alias("by_missing"))
+    n = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
+    counts = t.groupBy("doc_id", "run").agg(
+        n(c("_there")).alias("terms"), n(lacks).alias("missing"), n(~c("_there")).alias("invalid_quotes"),
+        n(c("_there") & (F.coalesce("explanation", F.lit("")) != "") & ~c("found")).alias("invalid_explanations"), F.array_sort(F.collect_list(F.when(lacks, c("term")))).alias("missing_terms"),
+    )
+    out = runs.join(counts, ["doc_id", "run"], "left").join(kinds, ["doc_id", "run"], "left").join(texts.select("doc_id", "chars"), "doc_id", "left")
+    out = out.na.fill(0, ["terms", "missing", "invalid_quotes", "invalid_explanations"])
+    out = out.withColumn("score", term_score(c("missing"), F.coalesce("defined", F.lit(False))))
+    out = out.withColumn("missing_ratio", F.when(c("terms") > 0, c("missing") / c("terms")))
+    return out.withColumn("missing_per_1k", c("missing") * 1000 / F.greatest(F.coalesce("chars", F.lit(0)), F.lit(1))).drop("chars")
+
+
+def run_agreement(summaries: DataFrame) -> DataFrame:
+    """doc_id, jaccard, both: terms that the first two runs of terms_summaries both flag."""
+    w = Window.partitionBy("doc_id").orderBy("run")
+    two = summaries.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
+    of = lambda k: F.coalesce(F.max(F.when(F.col("_n") == k, F.col("missing_terms"))), F.array().cast("array<string>"))
+    both = two.groupBy("doc_id").agg(agreement(of(1), of(2)).alias("x"))
+    return both.select("doc_id", "x.jaccard", "x.both")
+
+
+def run_table(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """by and a column for each name, of rows(by, name, value): a line a run, and a last one of medians."""
+    wide = rows.groupBy(by).pivot("name", columns).agg(F.first("value")).withColumn("_last", F.lit(0))
+    middle = wide.agg(*(F.median(c).alias(c) for c in columns)).select(F.lit("median").alias(by), *columns, F.lit(1).alias("_last"))
+    return wide.unionByName(middle).orderBy("_last", by).drop("_last")
+
+
 def floor_quantile(values: Column, q: float) -> Column:
     """The value at index floor(q (n - 1)) of an array in order."""
     return F.get(F.array_sort(values), F.floor(F.lit(q) * (F.size(values) - 1)).cast("int"))

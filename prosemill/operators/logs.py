@@ -156,7 +156,14 @@ def changed_sections(pairs: DataFrame) -> DataFrame:
 
 
 def grade(checks: DataFrame, answers: DataFrame, files: DataFrame, calls: DataFrame) -> DataFrame:
-    """checks(case_id, name, type, pattern, match) with passed: regex over answers, file_exists over files, tool_used over calls."""
+    """checks(case_id, name, type, pattern, match) with passed: regex over answers, file_exists over files, tool_used over calls.
+
+    A column flags (of i, m, s, x) is put before the pattern.  Checks of other
+    types, which a judge has to answer, have no row.
+    """
+    if "flags" in checks.columns:
+        given = F.coalesce("flags", F.lit(""))
+        checks = checks.withColumn("pattern", F.when(given != "", F.concat(F.lit("(?"), given, F.lit(")"), "pattern")).otherwise(F.col("pattern")))
     c = checks.where(F.col("type") == "regex").join(answers.select("case_id", "text"), "case_id", "left")
     hit = F.coalesce(F.regexp_like("text", F.col("pattern")), F.lit(False))
     rx = c.select("case_id", "name", F.when(F.col("match") == "not_contains", ~hit).otherwise(hit).alias("passed"))

@@ -508,6 +508,47 @@ def score_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TERM_TEXT = "서버는 캐시와 큐를 둡니다. 캐시는 자주 쓰는 값을 둡니다. 큐는 줄을 세웁니다."
+_TERMS = [
+    (1, "캐시", "서버는 캐시와 큐를  둡니다.", "자주 쓰는 값을 둡니다", []), (1, "큐", "서버는 캐시와 큐를 둡니다.", "", ["what", "name"]), (1, "서버", "서버는 캐시와 큐를 둡니다.", "답하는 기계", ["what"]), (1, "노드", "노드는 셋입니다.", "", ["what"]),
+    (2, "큐 ", "서버는 캐시와 큐를 둡니다.", None, ["name"]), (2, "캐시", "캐시는 자주", None, ["what"]),
+]
+
+
+@query(
+    wanted(
+        {
+            "1": {"terms": 3, "missing": 2, "invalid_quotes": 1, "invalid_explanations": 1, "missing_terms": "[서버, 큐]", "score": 1, "missing_ratio": "0.666667", "missing_per_1k": "40.0", "what": 2, "name": 1},
+            "2": {"terms": 2, "missing": 2, "invalid_quotes": 0, "invalid_explanations": 0, "missing_terms": "[캐시, 큐 ]", "score": 0, "missing_ratio": "1.0", "missing_per_1k": "40.0", "what": 1, "name": 1},
+            "3": {"terms": 0, "missing": 0, "invalid_quotes": 0, "invalid_explanations": 0, "missing_terms": None, "score": 2, "missing_ratio": None, "missing_per_1k": "0.0", "what": None, "name": None},
+            "both": {"jaccard": "0.333333", "both": "[큐]"},
+            "a": {"J5": "1.0", "J8": "4.0"}, "b": {"J5": "3.0", "J8": None}, "median": {"J5": "2.0", "J8": "4.0"},
+            "flagged": {"passed": True}, "unflagged": {"passed": False},
+        }
+    )
+)
+def terms_summary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a judge of terms, what two of them agree on, a table of runs, and a check with flags."""
+    make = spark.createDataFrame
+    terms = make([("d", *r) for r in _TERMS], "doc_id string, run int, term string, quote string, explanation string, missing array<string>")
+    runs = make([("d", 1, True), ("d", 2, False), ("d", 3, True)], "doc_id string, run int, defined boolean")
+    got = judging.terms_summaries(terms, runs, make([("d", TERM_TEXT, 50)], "doc_id string, text string, chars long"))
+    got = got.withColumns({"missing_ratio": F.round("missing_ratio", 6), "what": F.col("by_missing")["what"], "name": F.col("by_missing")["name"]})
+    both = judging.run_agreement(got).withColumn("jaccard", F.round("jaccard", 6))
+    table = judging.run_table(make([("a", "J5", 1.0), ("a", "J8", 4.0), ("b", "J5", 3.0)], "case string, name string, value double"), "case", ["J5", "J8"])
+    checks = make([("c", "flagged", "regex", "^two$", "contains", "m"), ("c", "unflagged", "regex", "^two$", "contains", None)], "case_id string, name string, type string, pattern string, match string, flags string")
+    none = make([], "case_id string, name string, path string, input string")
+    graded = logs.grade(checks, make([("c", "one\ntwo\n")], "case_id string, text string"), none, none)
+    return _union(
+        [
+            told(got, "run", "terms", "missing", "invalid_quotes", "invalid_explanations", "missing_terms", "score", "missing_ratio", "missing_per_1k", "what", "name"),
+            told(both, F.lit("both"), "jaccard", "both"),
+            told(table, "case", "J5", "J8"),
+            told(graded, "name", "passed"),
+        ]
+    )
+
+
 SHORT_TEXT = "규칙에 의해 정해집니다. 가장 유명한 도구 중 하나입니다. 문서를 봐 주세요. 문서를 보세요. 이 값인가요?"
 
 
