@@ -116,6 +116,43 @@ def largest_count(values: Column) -> Column:
     return F.aggregate(F.array_sort(values), state, step, lambda a: a["best"])
 
 
+def thrice(values: Column) -> Column:
+    """How many numbers stand in an array exactly three times: one walk over it in order."""
+    state = F.struct(F.lit(None).cast("int").alias("k"), F.lit(0).alias("n"), F.lit(0).alias("three"))
+    closed = lambda a: a["three"] + (a["n"] == 3).cast("int")
+
+    def step(a, x):
+        same = F.coalesce(a["k"] == x, F.lit(False))
+        return F.struct(x.alias("k"), F.when(same, a["n"] + 1).otherwise(1).alias("n"), F.when(same, a["three"]).otherwise(closed(a)).alias("three"))
+
+    return F.aggregate(F.array_sort(values), state, step, closed)
+
+
+def paragraph_counts(sentences: Column) -> Column:
+    """struct(paras, alone, triad, np) of sentences(p, triad, np): paragraphs, those of one sentence, and those with two or more triads and contrasts.
+
+    One walk over the sentences in order of their paragraphs.
+    """
+    flags = ("triad", "np")
+    zero = lambda *names: [F.lit(0).alias(k) for k in names]
+    state = F.struct(F.lit(None).cast("int").alias("p"), *zero("n", *flags, "paras", "alone", *(f"two_{k}" for k in flags)))
+
+    def closed(a) -> dict[str, Column]:
+        return {"paras": a["paras"] + (a["n"] > 0).cast("int"), "alone": a["alone"] + (a["n"] == 1).cast("int")} | {f"two_{k}": a[f"two_{k}"] + (a[k] >= 2).cast("int") for k in flags}
+
+    def step(a, x):
+        same = F.coalesce(a["p"] == x["p"], F.lit(False))
+        hit = {k: F.coalesce(x[k], F.lit(False)).cast("int") for k in flags}
+        own = {"n": F.when(same, a["n"] + 1).otherwise(1)} | {k: F.when(same, a[k]).otherwise(0) + hit[k] for k in flags}
+        return F.struct(x["p"].alias("p"), *(v.alias(k) for k, v in own.items()), *(F.when(same, a[k]).otherwise(v).alias(k) for k, v in closed(a).items()))
+
+    def done(a):
+        c = closed(a)
+        return F.struct(c["paras"].alias("paras"), c["alone"].alias("alone"), *(c[f"two_{k}"].alias(k) for k in flags))
+
+    return F.aggregate(F.array_sort(sentences), state, step, done)
+
+
 def declared(word: Column) -> Column:
     """The last word of a declarative sentence outside references; null of any other."""
     c = F.col
@@ -256,20 +293,16 @@ def values(rules=RULES) -> dict[str, Column]:
     chars = F.coalesce(c("chars"), F.lit(0))
     per_k = F.when(chars > 0, F.lit(1000.0) / chars).otherwise(F.lit(0.0))
     n_body = F.greatest(c("sentences"), F.lit(1))
-    paras = F.array_distinct(F.transform("per_para", lambda x: x["p"]))
-    of = lambda p, k: F.size(F.filter("per_para", lambda x: (x["p"] == p) & x[k]))
-    twice = lambda k: F.size(F.filter(F.array_distinct(F.transform(F.filter("per_para", lambda x: x[k]), lambda x: x["p"])), lambda p: of(p, k) >= 2))
-    alone = F.size(F.filter(paras, lambda p: F.size(F.filter("per_para", lambda x: x["p"] == p)) == 1))
+    paras = c("para_counts")
     pred = F.filter("buckets", lambda b: ~b.isin("NOUN", "OTHER"))
     bucket = lambda k: ratio(F.size(F.filter("buckets", lambda b: b == k)), F.greatest(F.size(pred), F.lit(1)))
-    lists = F.array_distinct("listed")
-    triple = F.size(F.filter(lists, lambda x: F.size(F.filter("listed", lambda y: y == x)) == 3))
+    triple = thrice(c("listed"))
     title = F.coalesce(reduce(lambda a, b: a | b, (any_of(c("title.masked"), r.patterns) for r in rules if r.id in CONTRAST_RULES)), F.lit(False))
     out = {k: v for k, v in place.items()}
     out["G8.beyond_simple"] = place["G8.beyond_simple"] + c("beyond")
     out |= {
         "A1.np_title": title.cast("int"), "A1.np": F.size(F.array_union("np_rule", "np_cross")),
-        "A1.np_first_para": of(F.lit(0), "np"), "A1.np_same_para": twice("np"),
+        "A1.np_first_para": F.size(F.filter("per_para", lambda x: (x["p"] == 0) & x["np"])), "A1.np_same_para": paras["np"],
         "G6.emoji": c("emoji"), "G6.semicolon": c("semicolon"), "G6.emdash": F.coalesce(c("emdash"), F.lit(0)), "G6.punct_policy": F.coalesce(c("policy"), F.lit(0)),
         "G7.conj_comma": c("g7"), "INFO.adverb_comma": c("adverbs"), "G2.exp_ending": c("g2"),
         "A2.comma_per_sentence": F.coalesce(c("commas"), F.lit(0)) / n_body, "A2.comma_sentence_ratio": c("with_comma") / n_body,
@@ -278,10 +311,10 @@ def values(rules=RULES) -> dict[str, Column]:
         "A4.para_end": place["A4.summary_start"] + place["A4.lesson_end"],
         "A8.sent_len_mean": F.coalesce(c("len_mean"), F.lit(0.0)), "A8.sent_len_cv": F.coalesce(ratio(c("len_sd"), c("len_mean")), F.lit(0.0)), "A8.long_ratio": ratio(c("long"), c("n_para")),
         "A8.ending_run4": c("run4"), "A8.same_predicate_adjacent": c("same"), "A8.ending_top_share": ratio(largest_count(pred), F.size(pred)),
-        "A8.sentences_per_para": ratio(F.size("per_para"), F.size(paras)), "A8.single_para_ratio": ratio(alone, F.size(paras)),
+        "A8.sentences_per_para": ratio(F.size("per_para"), paras["paras"]), "A8.single_para_ratio": ratio(paras["alone"], paras["paras"]),
         "A9.bold_per_1k": F.coalesce(c("bold"), F.lit(0)) * per_k, "A9.list_ratio": ratio(F.coalesce(c("list_chars"), F.lit(0)), chars),
         "A9.label_list_ratio": ratio(c("labels"), c("list_items")), "A9.heading_per_1k": c("headings") * per_k, "A9.heading_colon_ratio": ratio(c("colons"), c("headings")),
-        "A10.triad_per_1k": (c("triads") + triple) * per_k, "A10.triad_same_para": twice("triad"),
+        "A10.triad_per_1k": (c("triads") + triple) * per_k, "A10.triad_same_para": paras["triad"],
         "A11.body_questions": c("questions"), "A11.question_heading_ratio": ratio(c("asked"), c("headings")),
         "A5.word_max": largest_count(c("stems")),
         "G4.off_tone": F.when(c("tone") == "casual", c("off_casual")).otherwise(c("off_default")), "G4.banned_ending": F.when(c("tone") == "casual", c("banned")).otherwise(0),
@@ -312,7 +345,7 @@ def metrics(docs: DataFrame, rules=RULES, *, rounded: bool = True, given_tone: s
         sheets = docs.select(F.col(params.get("doc_id", "doc_id")).alias("doc_id"), F.col(facts).alias("_facts"))
         w = w.join(sheets, "doc_id", "left").withColumn("stems", F.filter("stems", lambda s: ~((s != "") & F.coalesce(F.col("_facts").contains(s), F.lit(False)))))
         w = w.withColumn(style, F.size("stems").cast("long"))
-    w = w.withColumn("tone", F.lit(given_tone) if given_tone else tone(w))
+    w = settled(w.withColumn("tone", F.lit(given_tone) if given_tone else tone(w)).withColumn("para_counts", paragraph_counts(F.col("per_para"))))
     named = F.array(*(F.struct(F.lit(k).alias("metric_id"), v.cast("double").alias("value"), F.lit(PLACES.get(k, 3)).alias("places")) for k, v in values(rules).items()))
     if "more" in w.columns:
         added = F.transform("more", lambda x: F.struct(x["metric_id"].alias("metric_id"), x["value"].alias("value"), F.lit(0).alias("places")))
