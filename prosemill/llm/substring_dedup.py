@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow, mix64, pieces
 
 GRAM = 16
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 SHARD_BYTES = 6 << 20
 #: Bytes of fragments whose suffixes are sorted together.
 SORT_BYTES = 1 << 20
