@@ -536,7 +536,9 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, *, length: int = 50,
     inner = -(-shards // FAN)  # shards of a bucket
     shards = -(-shards // inner) * inner
     packs = -(-max(1, found["n"]) // min(inner, PACK))
-    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-shards // 4)))
+    # tasks grow with the input, so that none reads more than a few chunks or shards
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    tasks, chunk_tasks = min(shards, max(usual, -(-shards // 4))), max(usual, -(-found["n"] // 2))
     # a part of the key tells anchors of a shard apart but for a few; whole keys can be dealt further
     width = 8 if inner > 1 else min(8, max(5, -(-(total.bit_length() + 6) // 8)))
 
@@ -544,14 +546,14 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, *, length: int = 50,
         """The shards' answers to messages(shard, chunk, data): one to each message."""
         if inner > 1:
             rows = messages.withColumn("pack", F.pmod(F.xxhash64("chunk"), F.lit(packs)))
-            rows = rows.repartition("shard", "pack").sortWithinPartitions("shard", "pack", "chunk")
+            rows = rows.repartition(chunk_tasks, "shard", "pack").sortWithinPartitions("shard", "pack", "chunk")
             messages = map_arrow(rows, PARTS, deal, *dealt_args)
         # shards are numbers in a row: each task gets as many as the next
         rows = messages.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "chunk")
         answers = map_arrow(rows, PARTS, answer, *answer_args)
         if inner > 1:
             rows = answers.withColumn("bucket", F.floor(F.col("shard") / inner).cast("int"))
-            rows = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "shard")
+            rows = rows.repartition(chunk_tasks, "bucket", "chunk").sortWithinPartitions("bucket", "chunk", "shard")
             answers = map_arrow(rows, PARTS, _split, planes)
         return answers
 
@@ -560,7 +562,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, *, length: int = 50,
         for kind, a in enumerate(answers, 1):
             none = F.lit(None).cast("binary")
             rows = rows.unionByName(a.select("chunk", F.lit(kind).alias("kind"), "shard", none.alias("ids"), none.alias("sizes"), "data"))
-        return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "shard")
+        return rows.repartition(chunk_tasks, "chunk").sortWithinPartitions("chunk", "kind", "shard")
 
     one = asked(map_arrow(chunks, PARTS, _anchors, length, shards, inner, width), _dealt_anchors, (shards,), _common, (width, HOT), 2)
     one = scratch.write(one, "common")
