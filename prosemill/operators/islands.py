@@ -24,10 +24,22 @@ def following(df: DataFrame, by: str, order: str, value: str, *, ranges: int = 6
     """
     shares = [k / ranges for k in range(1, ranges)]
     cuts = sorted(set(df.where(F.col(order).isNotNull()).approxQuantile(order, shares, 0.1 / ranges))) if shares else []
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    df = df.withColumn("_range", at)
+    df = df.withColumn("_range", _cuts_below(F.col(order), cuts))
     firsts = df.groupBy(by, "_range").agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_first"))
     ahead = firsts.withColumn("_ahead", F.lead("_first").over(Window.partitionBy(by).orderBy("_range"))).select(F.col(by).alias("_by"), F.col("_range").alias("_of"), "_ahead")
     own = df.withColumn("_next", F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(by, "_range").orderBy(order)))
     out = own.join(ahead, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")), "left")
     return out.withColumn("next", F.coalesce("_next", "_ahead")["v"]).drop("_range", "_next", "_by", "_of", "_ahead")
+
+
+def _cuts_below(x: Column, cuts: list[float], least: int = 0) -> Column:
+    """The number of sorted cuts that x reaches, by halving; 0 for null.
+
+    No lambda: Spark's canonical lambda variables have the ids of a session's
+    first columns, and a filter inferred for a join can then name a column that
+    its side does not have.
+    """
+    if not cuts:
+        return F.lit(least)
+    half = len(cuts) // 2
+    return F.when(x >= cuts[half], _cuts_below(x, cuts[half + 1 :], least + half + 1)).otherwise(_cuts_below(x, cuts[:half], least))

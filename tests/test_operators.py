@@ -154,6 +154,22 @@ def test_following_rows_in_many_ranges(spark):
         assert {r.v: r.next for r in islands.following(df, "g", "i", "v", ranges=ranges).collect()} == want
 
 
+def test_following_on_the_first_columns_of_a_session():
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from prosemill.operators import islands
+df = spark.createDataFrame([("g", 1, "a"), ("g", 5, "b"), ("h", 2, "c"), ("g", 9, "d")], "g string, i int, v string")
+got = islands.following(df, "g", "i", "v", ranges=3).select("v", "next").collect()
+assert {r.v: r.next for r in got} == {"a": "b", "b": "d", "c": None, "d": None}, got
+"""
+    subprocess.run([sys.executable, "-B", "-c", code], check=True, env=dict(os.environ))
+
+
 def test_corpus_operators_can_be_absent(tmp_path):
     import os
     import shutil
