@@ -32,12 +32,18 @@ many hashes, so they are hashed again before they are dealt to shards, which
 makes shards alike in size.
 
 Shards are numbered in ranges of hashes.  Up to FAN of them, a chunk sends each
-its own message.  More shards make FAN buckets of them: a chunk sends a message
-to each bucket; the messages of a bucket from PACK chunks or fewer are put
-together and dealt to the bucket's shards, and the answers return the same way.
+its own message.  More shards make FAN buckets of them.  In round 1 a chunk
+sends a message to each bucket; the messages of a bucket from PACK chunks or
+fewer are put together and dealt to the bucket's shards.  In round 2, whose
+messages are the bulk, a task puts those of SEND_PACK of its chunks or fewer
+together before it sends them, so they move once.  The answers return by bucket.
 So a chunk costs a bounded number of messages, and their number grows in
-proportion to the chunks (up to FAN x PACK shards, some 6 TB of fragments; then
-with the ratio of shards to that).
+proportion to the chunks (up to FAN x SEND_PACK shards, some 13 GB of compressed
+chunks; then with the ratio of shards to that).
+
+Where most fragments have copies elsewhere, round 2 sends some 4 times the
+input.  So it is asked in TURNS, each for a range of shards: the shuffles of one
+go before the next begins.
 
 Defined results: null text is empty; texts shorter than a window stay whole;
 rows that repeat a doc_id don't remove each other's bytes, and each gets a row;
@@ -47,7 +53,10 @@ columns are ignored; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import zstandard
@@ -67,6 +76,8 @@ BLOCK = 1 << 18
 HOT = 2_000
 #: Messages that a chunk sends at most, and chunks whose messages to a bucket are put together at most.
 FAN, PACK = 256, 4096
+#: Chunks whose fragments a task holds at most to send them together, and turns of round 2.
+SEND_PACK, TURNS = 16, 2
 _LETTERS = mix64(np.arange(5000, 5256, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = np.uint64((1 << 24) - 1)
@@ -308,8 +319,8 @@ def _with_answers(batches):
         yield own, {r["shard"]: r["data"] for r in rows if r["kind"] == 1}, {r["shard"]: r["data"] for r in rows if r["kind"] == 2}
 
 
-def _entries(chunk: Chunk, answers: dict[int, bytes], shards: int, inner: int) -> dict[str, np.ndarray]:
-    """What the chunk sends in round 2, by shard and key, and the occurrences that stand behind it.
+def _entries(chunk: Chunk, answers: dict[int, bytes], shards: int, inner: int, least: int = 0, end: int | None = None) -> dict[str, np.ndarray]:
+    """What the chunk sends in round 2 to shards from ``least`` to before ``end``, by shard and key, and the occurrences that stand behind it.
 
     Of the sent: key, shard, n (windows), doc (smallest id), start (of one occurrence).
     Of the occurrences: of (row of the sent), o_start, o_doc (id).
@@ -334,14 +345,21 @@ def _entries(chunk: Chunk, answers: dict[int, bytes], shards: int, inner: int) -
     n = np.concatenate([f["n"][take], np.ones(len(each), np.int64)])
     start = np.concatenate([f["start"][take], each])
     doc = np.concatenate([ids[take], np.repeat(ids[single], counts)])
+    shard = _shards(key, shards).astype(np.uint32)
+    if end is not None:
+        own = np.flatnonzero((shard >= least) & (shard < end))
+        shard, key, name, n, start, doc = shard[own], key[own], name[own], n[own], start[own], doc[own]
     # equal fragments side by side, shards in order: one sort of 64-bit names, one of small numbers
     whole = mix64(key + mix64(name) + n.astype(np.uint64))
     order = np.argsort(whole)
-    order = order[np.argsort(_shards(key[order], shards).astype(np.uint32), kind="stable")]
-    whole, key, n, start, doc = whole[order], key[order], n[order], start[order], doc[order]
+    order = order[np.argsort(shard[order], kind="stable")]
     new = np.ones(len(key), bool)
-    new[1:] = whole[1:] != whole[:-1]
-    new |= _unlike(chunk, new, start, n)
+    new[1:] = whole[order[1:]] != whole[order[:-1]]
+    if (alone := _unlike(chunk, new, start[order], n[order])).any():
+        # those of one name that stand alone have to come in one order, whichever shards are asked for
+        order = np.lexsort((start, whole, shard))
+        new |= alone
+    key, n, start, doc = key[order], n[order], start[order], doc[order]
     head = np.flatnonzero(new)
     low = np.minimum.reduceat(doc, head) if len(head) else doc
     return {"key": key[head], "shard": _shards(key[head], shards), "n": n[head], "doc": low, "start": start[head], "of": np.cumsum(new) - 1, "o_start": start, "o_doc": doc}
@@ -369,19 +387,31 @@ def _unlike(chunk: Chunk, new: np.ndarray, start: np.ndarray, n: np.ndarray) ->
     return out
 
 
-def _send(batches, length, shards, inner):
+def _send(batches, length, shards, inner, most, least, end):
+    """Messages with the fragments for the given shards: each chunk's, or those of ``most`` chunks together under the name of the first."""
+    held: list[dict] = []
+    first, count = None, 0
     for own, answers, _ in _with_answers(batches):
         if own is None:
             continue
         chunk = Chunk(own["ids"], own["sizes"], own["data"], length)
-        e = _entries(chunk, answers, shards, inner)
+        e = _entries(chunk, answers, shards, inner, least, end)
         out: dict[str, list] = {"shard": [], "chunk": [], "data": []}
         for s, k in _touched(e["shard"] // inner):
             size = e["n"][k] + length - 1
             out["shard"].append(s)
             out["chunk"].append(own["chunk"])
             out["data"].append(_zipped(*_headed([own["chunk"]], [len(size)]), e["key"][k], e["doc"][k], e["n"][k].astype(np.uint8), _bytes_of(chunk.text, e["start"][k], size)))
-        yield out
+        if inner == 1:
+            yield out
+            continue
+        first, count = own["chunk"] if first is None else first, count + 1
+        held += [{"shard": s, "data": d} for s, d in zip(out["shard"], out["data"], strict=True)]
+        if count == most:
+            yield from _dealt_fragments(held, first, length, shards)
+            held, first, count = [], None, 0
+    if held:
+        yield from _dealt_fragments(held, first, length, shards)
 
 
 def _fragment_entries(data: bytes) -> tuple[np.ndarray, ...]:
@@ -391,9 +421,9 @@ def _fragment_entries(data: bytes) -> tuple[np.ndarray, ...]:
     return chunks, counts, rest[: 8 * n].view("<u8"), rest[8 * n : 16 * n].view("<i8"), rest[16 * n : 17 * n], rest[17 * n :]
 
 
-def _dealt_fragments(batches, length, shards):
-    """As ``_dealt_anchors``, of round 2."""
-    for (_, pack), rows in _groups(batches, "shard", "pack"):
+def _dealt_fragments(held, pack, length, shards):
+    """Messages of a pack's chunks to buckets, put together and dealt to the buckets' shards."""
+    for _, rows in groupby(sorted(held, key=itemgetter("shard")), itemgetter("shard")):
         parts: dict[int, list] = {}
         for row in rows:
             chunks, _, key, doc, n, text = _fragment_entries(row["data"])
@@ -542,12 +572,8 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, *, length: int = 50,
     # a part of the key tells anchors of a shard apart but for a few; whole keys can be dealt further
     width = 8 if inner > 1 else min(8, max(5, -(-(total.bit_length() + 6) // 8)))
 
-    def asked(messages: DataFrame, deal, dealt_args: tuple, answer, answer_args: tuple, planes: int) -> DataFrame:
-        """The shards' answers to messages(shard, chunk, data): one to each message."""
-        if inner > 1:
-            rows = messages.withColumn("pack", F.pmod(F.xxhash64("chunk"), F.lit(packs)))
-            rows = rows.repartition(chunk_tasks, "shard", "pack").sortWithinPartitions("shard", "pack", "chunk")
-            messages = map_arrow(rows, PARTS, deal, *dealt_args)
+    def asked(messages: DataFrame, answer, answer_args: tuple, planes: int) -> DataFrame:
+        """The shards' answers to messages(shard, chunk, data): one to each message, or by bucket."""
         # shards are numbers in a row: each task gets as many as the next
         rows = messages.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "chunk")
         answers = map_arrow(rows, PARTS, answer, *answer_args)
@@ -557,19 +583,30 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, *, length: int = 50,
             answers = map_arrow(rows, PARTS, _split, planes)
         return answers
 
-    def by_chunk(*answers: DataFrame) -> DataFrame:
+    def by_chunk(count: int, *answers: DataFrame) -> DataFrame:
         rows = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), "ids", "sizes", "data")
         for kind, a in enumerate(answers, 1):
             none = F.lit(None).cast("binary")
             rows = rows.unionByName(a.select("chunk", F.lit(kind).alias("kind"), "shard", none.alias("ids"), none.alias("sizes"), "data"))
-        return rows.repartition(chunk_tasks, "chunk").sortWithinPartitions("chunk", "kind", "shard")
-
-    one = asked(map_arrow(chunks, PARTS, _anchors, length, shards, inner, width), _dealt_anchors, (shards,), _common, (width, HOT), 2)
-    one = scratch.write(one, "common")
-    two = asked(map_arrow(by_chunk(one), PARTS, _send, length, shards, inner), _dealt_fragments, (length, shards), _sort_shards, (length,), 1)
-    two = scratch.write(two, "gone")
+        return rows.repartition(count, "chunk").sortWithinPartitions("chunk", "kind", "shard")
+
+    sent = map_arrow(chunks, PARTS, _anchors, length, shards, inner, width)
+    if inner > 1:
+        sent = sent.withColumn("pack", F.pmod(F.xxhash64("chunk"), F.lit(packs)))
+        sent = sent.repartition(chunk_tasks, "shard", "pack").sortWithinPartitions("shard", "pack", "chunk")
+        sent = map_arrow(sent, PARTS, _dealt_anchors, shards)
+    one = scratch.write(asked(sent, _common, (width, HOT), 2), "common")
+    # fragments are the bulk of what moves: each turn asks some buckets, and its shuffles go when its answers are written
+    most = min(inner, SEND_PACK)
+    pack_tasks = chunk_tasks if inner == 1 else -(-max(1, found["n"]) // most)
+    edges = [inner * (shards // inner * k // TURNS) for k in range(TURNS + 1)]
+    gone = []
+    for least, end in zip(edges, edges[1:], strict=False):
+        sent = map_arrow(by_chunk(pack_tasks, one), PARTS, _send, length, shards, inner, most, least, end)
+        gone.append(scratch.write(asked(sent, _sort_shards, (length,), 1), "gone"))
+    two = functools.reduce(DataFrame.unionByName, gone)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary, kept_sha256 string"
-    out = map_arrow(by_chunk(one, two), schema, _spans, length, shards, inner, keep)
+    out = map_arrow(by_chunk(chunk_tasks, one, two), schema, _spans, length, shards, inner, keep)
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rest = docs.where("doc_id is null").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.array().cast("array<long>").alias("spans"), (raw if keep else F.lit(None).cast("binary")).alias("kept"), F.sha2(raw, 256).alias("kept_sha256"))
     return out.unionByName(rest)

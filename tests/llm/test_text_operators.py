@@ -554,6 +554,28 @@ def test_substring_dedup(spark, rows, docs, empty, monkeypatch, hot, fan, pack):
     assert sd.dedup_substrings(spark, empty).count() == 0
 
 
+def test_fragments_move_once_and_in_turns(spark, monkeypatch):
+    """No query's shuffles hold all that moves, on copies that share every fragment."""
+    from prosemill.llm import substring_dedup as sd
+
+    monkeypatch.setattr(sd, "CHUNK_BYTES", 40_000)
+    monkeypatch.setattr(sd, "FAN", 4)
+    monkeypatch.setattr(sd, "SHARD_BYTES", 40_000)
+    rng = random.Random(8)
+    texts = [words(rng, 300) for _ in range(120)]
+    docs = spark.createDataFrame([(k + 1000 * c, t) for c in range(3) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    seen = spark._jsparkSession.sharedState().statusStore()
+    before = seen.executionsCount()
+    got = sd.dedup_substrings(spark, docs).select("doc_id", "n_bytes", "n_removed").collect()
+    assert all(r.n_removed == (r.n_bytes if r.doc_id >= 1000 else 0) for r in got) and len(got) == 360
+    stages = spark.sparkContext._jsc.sc().statusStore()
+    moved = []
+    for k in range(before, seen.executionsCount()):
+        ids = seen.executionsList().apply(k).stages().mkString(",")
+        moved.append(sum(stages.lastStageAttempt(int(x)).shuffleWriteBytes() for x in ids.split(",") if x))
+    assert max(moved) < 0.5 * sum(moved), moved
+
+
 def test_fragments_of_one_name_are_compared():
     import numpy as np
     from prosemill.llm import substring_dedup as sd
